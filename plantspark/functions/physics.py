@@ -123,7 +123,7 @@ def heat_balance_invalid_si(
 def affinity_ratio(hz: Column | str, kw: Column | str) -> Column:
     """Power over speed cubed; null at standstill, so idle rows do not enter the median."""
     f = as_col(hz)
-    return F.when(f > 0, F.try_divide(as_col(kw), F.pow(f, F.lit(3.0))))
+    return F.when(f > 0, F.try_divide(as_col(kw), f * f * f))
 
 
 def plant_indicators(

@@ -126,14 +126,16 @@ def verdict(bins: DataFrame, overall: DataFrame, availability: str = "L3") -> Da
 
     Both inputs are already reduced to a few rows.
     """
-    worst = bins.agg(
-        F.coalesce(F.sum((F.col("mape") >= F.col("tolerance")).cast("int")), F.lit(0)).alias("bins_over"),
-        F.coalesce(
-            F.max(((F.col("family") == "load") & (F.col("bin") == "light") & (F.col("mape") > BASE_TOLERANCE) & (F.col("mape") < F.col("tolerance"))).cast("int")),
-            F.lit(0),
-        ).alias("light_high"),
+    over = bins.where(F.col("mape") >= F.col("tolerance"))
+    light = bins.where(
+        (F.col("family") == "load")
+        & (F.col("bin") == "light")
+        & (F.col("mape") > BASE_TOLERANCE)
+        & (F.col("mape") < F.col("tolerance"))
+    )
+    j = overall.withColumn("bins_over", over.agg(F.count(F.lit(1))).scalar()).withColumn(
+        "light_high", light.agg(F.count(F.lit(1))).scalar()
     )
-    j = overall.crossJoin(worst)
     bias = F.abs(F.col("bias_percent"))
     fails = F.array_compact(
         F.array(

@@ -257,17 +257,23 @@ class RuleTable:
 
 
 def rule_conflicts(rules: DataFrame) -> DataFrame:
-    """Pairs of rules that contradict: A requires B while A and B exclude each other."""
-    req = rules.where(F.col("kind") == "requires").select(
-        F.col("rule_id").alias("requires_rule"), F.explode("trigger").alias("device"), "required"
-    )
-    req = req.select("requires_rule", "device", F.explode("required").alias("partner"))
-    mut = rules.where(F.col("kind") == "mutex").select(
-        F.col("rule_id").alias("mutex_rule"), "trigger", F.explode("trigger").alias("device")
+    """Pairs of rules that contradict: A requires B while A and B exclude each other.
+
+    Both sides become unordered device pairs and meet in an equi join on the pair.
+    """
+    def pair(a: Column, b: Column) -> list[Column]:
+        return [F.least(a, b).alias("device_a"), F.greatest(a, b).alias("device_b")]
+
+    req = (
+        rules.where(F.col("kind") == "requires")
+        .select("rule_id", F.explode("trigger").alias("_t"), "required")
+        .select("rule_id", "_t", F.explode("required").alias("_r"))
+        .select(F.col("rule_id").alias("requires_rule"), *pair(F.col("_t"), F.col("_r")))
     )
-    return (
-        req.join(mut, "device")
-        .where((F.col("partner") != F.col("device")) & F.array_contains(F.col("trigger"), F.col("partner")))
-        .select("requires_rule", "mutex_rule", "device", "partner")
-        .distinct()
+    mut = (
+        rules.where(F.col("kind") == "mutex")
+        .select("rule_id", "trigger", F.posexplode("trigger").alias("_i", "_t"))
+        .select("rule_id", "_t", F.explode(F.slice("trigger", F.col("_i") + 2, F.size("trigger"))).alias("_r"))
+        .select(F.col("rule_id").alias("mutex_rule"), *pair(F.col("_t"), F.col("_r")))
     )
+    return req.join(mut, ["device_a", "device_b"]).where(F.col("device_a") != F.col("device_b")).distinct()

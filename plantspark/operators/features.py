@@ -150,3 +150,14 @@ def check_alignment(expected: Sequence[str], actual: Sequence[str], expected_has
 def set_overlap(a: Column, b: Column) -> Column:
     """Share of ``a`` also in ``b`` (null for an empty ``a``)."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_distinct(a)).cast("double"))
+
+
+def membership_overlap(df: DataFrame, keys: Sequence[str], item: str, in_a: Column, in_b: Column) -> DataFrame:
+    """Per key: size of set A, of A and B together, and the share of A also in B.
+
+    The sets stay rows (one per key and item), so a key with very many items is never gathered.
+    """
+    each = df.groupBy(*keys, item).agg(F.max(in_a.cast("int")).alias("_a"), F.max(in_b.cast("int")).alias("_b"))
+    return each.groupBy(*keys).agg(
+        F.sum("_a").alias("n_a"), F.sum(F.col("_a") * F.col("_b")).alias("n_both")
+    ).withColumn("overlap", F.try_divide(F.col("n_both").cast("double"), F.col("n_a").cast("double")))

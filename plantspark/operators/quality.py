@@ -210,8 +210,7 @@ def affinity_check(
     ratio = df.withColumn("affinity_ratio", physics.affinity_ratio(hz, kw))
     med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5})
     dev = F.try_divide(F.abs(F.col("affinity_ratio") - F.col("median_ratio")), F.col("median_ratio"))
-    joined = dimension_join(ratio, med, list(keys)) if keys else ratio.crossJoin(med)
-    return joined.withColumn("affinity_law_invalid", dev > F.lit(tolerance))
+    return dimension_join(ratio, med, list(keys)).withColumn("affinity_law_invalid", dev > F.lit(tolerance))
 
 
 # ------------------------------------------------------------------ filters and guards

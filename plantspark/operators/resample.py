@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def method_by_name(sensor: Column | str = "sensor") -> Column:
 
 def _row_order(ts: str, row_no: str) -> Column:
     """(ts, row_no) as one decimal, which keeps ``max_by`` inside the hash aggregate."""
-    return epoch_micros(ts).cast("decimal(38,0)") * F.lit(10**19).cast("decimal(20,0)") + F.col(row_no)
+    return epoch_micros(ts).cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col(row_no)
 
 
 def resample(

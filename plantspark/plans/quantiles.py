@@ -31,7 +31,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantiles named in ``probs``; nulls ignored.
 
-    Raises at run time if a rank should fall outside its bracket, so a result is never approximate.
+    ``keys`` holds at least one column. Raises at run time if a rank should fall outside its bracket, so a result is never approximate.
     """
     names = list(probs)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
@@ -65,7 +65,7 @@ def exact_quantiles(
         inside = inside | F.col("_v").between(x["lo"], x["hi"])
     gap = sum((F.when(F.col("_v") > x["hi"], 1).otherwise(0) for x in b), F.lit(0))
     counted = (
-        _join_keys(rows, bounds, keys)
+        rows.join(bounds, list(keys))
         .withColumn("_in", F.when(inside, F.col("_v")))
         .withColumn("_gap", F.when(inside, F.lit(None).cast("int")).otherwise(gap))
         .groupBy(*keys, "_n", "_in", "_gap")
@@ -97,9 +97,3 @@ def exact_quantiles(
 
     return picked.select(*keys, *[result(n, p) for n, p in probs.items()])
 
-
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return left.join(right, list(keys))
-    # The right side is one global aggregate row.
-    return left.crossJoin(right)
