@@ -24,14 +24,19 @@ class ConsistencyError(ValueError):
     """System and component models disagree too much, or cannot be compared."""
 
 
-def component_sum(components: DataFrame, keys: Sequence[str], kw: str, name: str = "component_kw") -> DataFrame:
-    """Sum of component predictions per key, with the number of components."""
-    return components.groupBy(*keys).agg(F.sum(kw).alias(name), F.count(F.lit(1)).alias("n_components"))
+def component_sum(
+    components: DataFrame, keys: Sequence[str], kw: str, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Sum of component predictions per key, the number of components and any ``extra`` aggregates."""
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    return components.groupBy(*keys).agg(F.sum(kw).alias("component_kw"), F.count(F.lit(1)).alias("n_components"), *more)
 
 
-def compare(system: DataFrame, components: DataFrame, keys: Sequence[str], kw: str) -> DataFrame:
+def compare(
+    system: DataFrame, components: DataFrame, keys: Sequence[str], kw: str, extra: Mapping[str, Column] | None = None
+) -> DataFrame:
     """System predictions next to the component sums. Components shrink to one row per key first."""
-    return system.join(component_sum(components, keys, kw), list(keys))
+    return system.join(component_sum(components, keys, kw, extra), list(keys))
 
 
 def load_bin(load_percent: Column) -> Column:

@@ -8,7 +8,7 @@ Only a fitted model, which scores rows, needs the candidates as rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,28 +31,28 @@ def hz_steps(lo: float = HZ_RANGE[0], hi: float = HZ_RANGE[1], step: float = 5.0
 
 
 def grid_column(axes: Mapping[str, Sequence[float]]) -> Column:
-    """All combinations of the axes as one array-of-structs literal."""
-    size = 1
-    for v in axes.values():
-        size *= len(v)
+    """All combinations of the axes as one array-of-structs column, first axis slowest."""
+    size = grid_size(axes)
     if size > MAX_GRID:
         raise ValueError(f"grid of {size} points; search in two stages instead")
-    out = None
+    strides, left = {}, size
     for name, values in axes.items():
-        axis = F.array(*[F.lit(float(x)) for x in values])
-        if out is None:
-            out = F.transform(axis, lambda x, n=name: F.struct(x.alias(n)))
-        else:
-            done = [k for k in axes if k != name][: list(axes).index(name)]
-            out = F.flatten(
-                F.transform(
-                    out,
-                    lambda p, a=axis, n=name, d=tuple(done): F.transform(
-                        a, lambda x: F.struct(*[p[k].alias(k) for k in d], x.alias(n))
-                    ),
-                )
-            )
-    return out
+        left //= len(values)
+        strides[name] = left
+
+    def point(i: Column) -> Column:
+        fields = []
+        for name, values in axes.items():
+            axis = F.array(*[F.lit(float(x)) for x in values])
+            at = F.floor(i / F.lit(strides[name])).cast("int") % F.lit(len(values))
+            fields.append(F.get(axis, at).alias(name))
+        return F.struct(*fields)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), point)
+
+
+def grid_size(axes: Mapping[str, Sequence[float]]) -> int:
+    return prod(len(v) for v in axes.values())
 
 
 def analytic_power(s: Mapping[str, Column], load: Column, low_flow_weight: float = 1.0) -> Column:
@@ -214,7 +214,7 @@ def unit_combinations(
         )
         .join(targets, plant)
     )
-    mask = F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("_u")).cast("int") - 1))
+    mask = F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("_u")) - 1))
 
     def total(field: str) -> Column:
         return F.aggregate(
@@ -267,9 +267,10 @@ def fallback_choice(
     greedy: Mapping[str, float],
     current: Sequence[str],
     relax: float = 0.1,
+    greedy_usable: Column | None = None,
 ) -> DataFrame:
     """The best candidate of the first rung that has any: 0 all rules, 1 soft rules relaxed,
-    2 the greedy setting if it meets the hard rules, 3 the current setting."""
+    2 the greedy setting if usable and within the hard rules, 3 the current setting."""
     names = list(axes)
 
     def rung(p) -> Column:
@@ -283,7 +284,7 @@ def fallback_choice(
     g = {n: F.lit(float(v)) for n, v in greedy.items()}
     c = {n: F.col(x) for n, x in zip(names, current)}
     fixed = F.array(
-        F.struct(F.when(hard(g), 2).alias("level"), scorer(g).alias("kw"), *[g[n].alias(n) for n in names]),
+        F.struct(F.when(hard(g) if greedy_usable is None else hard(g) & greedy_usable, 2).alias("level"), scorer(g).alias("kw"), *[g[n].alias(n) for n in names]),
         F.struct(F.lit(3).alias("level"), scorer(c).alias("kw"), *[c[n].cast("double").alias(n) for n in names]),
     )
     best = F.array_min(F.filter(F.concat(searched, fixed), lambda p: p["level"].isNotNull()))
@@ -343,10 +344,6 @@ def what_if(
     return with_savings(contexts.withColumns(cols), "current_kw", "recommended_kw")
 
 
-def grid_size(axes: Mapping[str, Sequence[float]]) -> int:
-    return len(list(product(*axes.values())))
-
-
 # ------------------------------------------------------------------ recorded runs
 
 

@@ -1 +1,243 @@
-"""Queries."""
+"""Queries for model metrics, consistency checks and (rows only) fitted models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plantspark.operators import consistency as co
+from plantspark.operators import features, model
+from plantspark.operators import setpoints as sp
+from plantspark.queries.registry import meters, plant, query, r6, table
+
+_PAIRS = """comp AS (
+  SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS component_kw, count(*) AS n_components,
+         avg(l_quantity) * 2.0 AS load_pct, 12.0 + avg(l_discount) * 200.0 AS wet_bulb FROM lineitem GROUP BY 1),
+pairs AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS system_kw, comp.* FROM orders JOIN comp ON o_orderkey = l_orderkey)"""
+
+
+def pairs(spark, sf):
+    parts = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("kw"),
+        "l_quantity",
+        "l_discount",
+    )
+    system = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("system_kw"))
+    extra = {"load_pct": F.avg("l_quantity") * 2.0, "wet_bulb": F.lit(12.0) + F.avg("l_discount") * 200.0}
+    return co.compare(system, parts, ["o_orderkey"], "kw", extra)
+
+
+_METRICS = """count(*) AS n, round(avg(CASE WHEN abs(system_kw) > 1e-6 THEN abs((system_kw - component_kw) / system_kw) END) * 100.0, 6) AS mape,
+  round(sqrt(avg(pow(system_kw - component_kw, 2))), 3) AS rmse, round(avg(abs(system_kw - component_kw)), 3) AS mae,
+  round(1.0 - sum(pow(system_kw - component_kw, 2)) / (var_pop(system_kw) * count(*)), 6) AS r2"""
+
+
+def _rounded(df, *keys):
+    return df.select(*keys, "n", r6("mape"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), r6("r2"))
+
+
+@query("regression_metrics", f"WITH {_PAIRS} SELECT {_METRICS} FROM pairs")
+def regression_metrics(spark, sf):
+    return _rounded(model.regression_metrics(pairs(spark, sf), "system_kw", "component_kw"))
+
+
+@query("regression_metrics_by_key", f"WITH {_PAIRS} SELECT o_orderpriority, {_METRICS} FROM pairs GROUP BY 1")
+def regression_metrics_by_key(spark, sf):
+    m = model.regression_metrics(pairs(spark, sf), "system_kw", "component_kw", ["o_orderpriority"])
+    return _rounded(m, "o_orderpriority")
+
+
+_TOL = """least(5.0 * CASE WHEN load_pct < 30 THEN 1.5 WHEN load_pct > 70 THEN 0.8 ELSE 1.0 END
+    * CASE WHEN n_components = 1 THEN 0.9 WHEN n_components = 2 THEN 1.0 ELSE 1.0 + (n_components - 2) * 0.1 END + 0.5, 15.0)"""
+
+BIN_SQL = f"""{_PAIRS}, fam AS (
+  SELECT 'load' AS family, CASE WHEN load_pct < 30 THEN 'light' WHEN load_pct > 70 THEN 'heavy' ELSE 'medium' END AS bin, *, {_TOL} AS tol FROM pairs
+  UNION ALL SELECT 'ambient', CASE WHEN wet_bulb < 20 THEN 'low' WHEN wet_bulb > 26 THEN 'high' ELSE 'mid' END, *, {_TOL} FROM pairs
+  UNION ALL SELECT 'combo', CASE WHEN n_components = 1 THEN 'single' WHEN n_components = 2 THEN 'dual' ELSE 'multi' END, *, {_TOL} FROM pairs),
+bins AS (SELECT family, bin, avg(abs(system_kw - component_kw) / system_kw) * 100.0 AS mape, avg(abs(system_kw - component_kw)) AS mae,
+    avg(component_kw - system_kw) AS bias, avg(system_kw) AS mean_system, count(*) AS n_samples, avg(tol) AS tolerance
+  FROM fam GROUP BY 1, 2 HAVING count(*) >= 10)"""
+
+
+def bins(spark, sf):
+    families = {
+        "load": co.load_bin(F.col("load_pct")),
+        "ambient": co.ambient_bin(F.col("wet_bulb")),
+        "combo": co.combo_bin(F.col("n_components")),
+    }
+    tol = co.dynamic_tolerance(F.col("load_pct"), F.col("n_components"))
+    return co.binned_metrics(pairs(spark, sf), "system_kw", "component_kw", families, tol)
+
+
+@query(
+    "consistency_bins",
+    f"""
+WITH {BIN_SQL}
+SELECT family, bin, round(mape, 6) AS mape, round(mae, 3) AS mae, round(bias, 3) AS bias, round(mean_system, 3) AS mean_system,
+       n_samples, round(tolerance, 6) AS tolerance FROM bins""",
+)
+def consistency_bins(spark, sf):
+    b = bins(spark, sf)
+    r3 = [F.round(c, 3).alias(c) for c in ("mae", "bias", "mean_system")]
+    return b.select("family", "bin", r6("mape"), *r3, "n_samples", r6("tolerance"))
+
+
+_OVERALL = """avg(abs(system_kw - component_kw) / system_kw) * 100.0 AS mape, corr(system_kw, component_kw) AS correlation,
+  avg(component_kw - system_kw) AS bias, avg(component_kw - system_kw) * 100.0 / avg(system_kw) AS bias_percent,
+  max(abs(system_kw - component_kw)) AS max_error, count(*) AS n_samples"""
+
+
+@query(
+    "consistency_overall",
+    f"""
+WITH {_PAIRS}, o AS (SELECT {_OVERALL} FROM pairs)
+SELECT round(mape, 6) AS mape, round(correlation, 6) AS correlation, round(bias, 3) AS bias, round(bias_percent, 6) AS bias_percent,
+       round(max_error, 3) AS max_error, n_samples FROM o""",
+)
+def consistency_overall(spark, sf):
+    o = co.overall_stats(pairs(spark, sf), "system_kw", "component_kw")
+    return o.select(
+        r6("mape"), r6("correlation"), F.round("bias", 3).alias("bias"), r6("bias_percent"), F.round("max_error", 3).alias("max_error"), "n_samples"
+    )
+
+
+@query(
+    "coupling_factor",
+    f"""
+WITH {BIN_SQL}
+SELECT bin, round(CASE WHEN bias > 0 THEN 1.0 + bias / mean_system ELSE 1.0 END, 3) AS gamma FROM bins WHERE family = 'load'""",
+)
+def coupling_factor(spark, sf):
+    return co.coupling_factor(bins(spark, sf))
+
+
+@query(
+    "dynamic_tolerance",
+    f"WITH {_PAIRS} SELECT o_orderkey, round({_TOL}, 6) AS tolerance FROM pairs",
+)
+def dynamic_tolerance(spark, sf):
+    tol = co.dynamic_tolerance(F.col("load_pct"), F.col("n_components"))
+    return pairs(spark, sf).select("o_orderkey", r6(tol, "tolerance"))
+
+
+@query(
+    "consistency_verdict",
+    f"""
+WITH {BIN_SQL}, o AS (SELECT {_OVERALL} FROM pairs),
+v AS (SELECT o.*, (SELECT count(*) FROM bins WHERE mape >= tolerance) AS bins_over,
+        (SELECT count(*) FROM bins WHERE family = 'load' AND bin = 'light' AND mape > 5 AND mape < tolerance) AS light_high FROM o),
+f AS (SELECT n_samples, bins_over,
+        concat_ws(',', CASE WHEN bins_over > 0 THEN 'EXCEEDS_DYNAMIC_TOLERANCE' END, CASE WHEN abs(bias_percent) > 5 THEN 'SYSTEMATIC_BIAS_DETECTED' END,
+          CASE WHEN correlation < 0.95 THEN 'TREND_MISMATCH' END, CASE WHEN max_error > 50 THEN 'OUTLIER_VIOLATION' END) AS failures,
+        concat_ws(',', CASE WHEN abs(bias_percent) > 3 AND abs(bias_percent) <= 5 THEN 'COUPLING_EFFECT_DETECTED' END,
+          CASE WHEN light_high = 1 THEN 'LIGHT_LOAD_HIGH_VARIANCE' END) AS warnings FROM v)
+SELECT *, CASE WHEN failures <> '' THEN 'FAIL' WHEN warnings <> '' THEN 'WARNING' ELSE 'FULL_CONSISTENCY' END AS verdict FROM f""",
+)
+def consistency_verdict(spark, sf):
+    v = co.verdict(bins(spark, sf), co.overall_stats(pairs(spark, sf), "system_kw", "component_kw"))
+    return v.select(
+        "n_samples", "bins_over", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"), "verdict"
+    )
+
+
+@query(
+    "system_discrepancy",
+    f"""
+WITH {_PAIRS}, d AS (SELECT max(abs(system_kw - component_kw) / system_kw) * 100.0 AS m FROM pairs)
+SELECT round(m, 6) AS max_discrepancy, CASE WHEN m > 15 THEN 'FAIL' WHEN m > 5 THEN 'WARNING' ELSE 'OK' END AS status FROM d""",
+)
+def system_discrepancy(spark, sf):
+    return co.discrepancy(pairs(spark, sf), "system_kw", "component_kw").withColumn("max_discrepancy", r6("max_discrepancy"))
+
+
+@query(
+    "missing_components",
+    """
+WITH c AS (SELECT l_orderkey, sum(l_extendedprice) AS total, coalesce(sum(l_extendedprice) FILTER (l_linenumber <= 3), 0) AS avail,
+             count(*) FILTER (l_linenumber > 3) AS n_missing FROM lineitem GROUP BY 1),
+p AS (SELECT o_orderkey, o_totalprice AS s, avail, n_missing, avail / total AS ratio, avail / 3.0 * n_missing AS est
+      FROM orders JOIN c ON o_orderkey = l_orderkey)
+SELECT o_orderkey, n_missing, round(CASE WHEN n_missing = 0 THEN avail WHEN ratio > 0.8 THEN avail + (s - avail) * 0.5
+         WHEN n_missing <= 2 THEN avail + est END, 6) AS component_kw,
+       round(CASE WHEN n_missing = 0 THEN 1.0 WHEN ratio > 0.8 THEN ratio WHEN n_missing <= 2 THEN ratio * 0.8 ELSE 0.0 END, 6) AS confidence
+FROM p""",
+)
+def missing_components(spark, sf):
+    known = F.col("l_linenumber") <= 3
+    c = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum("l_extendedprice").alias("total"),
+        F.coalesce(F.sum(F.when(known, F.col("l_extendedprice"))), F.lit(0.0)).alias("avail"),
+        F.sum((~known).cast("long")).alias("n_missing"),
+    )
+    p = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").join(c, "o_orderkey")
+    out = co.impute_missing(
+        F.col("o_totalprice"),
+        F.col("avail"),
+        F.col("n_missing"),
+        F.col("avail") / F.col("total"),
+        F.col("avail") / 3.0 * F.col("n_missing"),
+    )
+    return p.select("o_orderkey", "n_missing", *[r6(v, k) for k, v in out.items()])
+
+
+@query(
+    "model_eligibility",
+    """
+WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_suppkey, n, concat_ws(',', CASE WHEN n >= 100 THEN 'random_forest' END, CASE WHEN n >= 500 THEN 'xgboost' END,
+         CASE WHEN n >= 1000 THEN 'lightgbm' END) AS eligible FROM c""",
+)
+def model_eligibility(spark, sf):
+    n = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("eligible", F.array_join(model.eligible_models(F.col("n")), ","))
+
+
+@query(
+    "feature_overlap",
+    """
+WITH i AS (SELECT l_suppkey, l_partkey, max((l_returnflag = 'A')::INT) AS a, max((l_returnflag = 'N')::INT) AS b FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(a * b) AS BIGINT) AS n_both, round(sum(a * b)::DOUBLE / nullif(sum(a), 0), 6) AS overlap
+FROM i GROUP BY 1""",
+)
+def feature_overlap(spark, sf):
+    li = table(spark, sf, "lineitem")
+    o = features.membership_overlap(li, ["l_suppkey"], "l_partkey", F.col("l_returnflag") == "A", F.col("l_returnflag") == "N")
+    return o.withColumn("overlap", r6("overlap"))
+
+
+# ------------------------------------------------------------------ fitted models (rows only)
+
+
+def _config(kind: str, trees: int) -> model.ModelConfig:
+    return model.ModelConfig(features=("hz", "rh", "temp"), target="kw", ts="ts", kind=kind, trees=trees, depth=4)
+
+
+@query("train_score_gbt")
+def train_score_gbt(spark, sf):
+    m = meters(spark, sf)
+    fitted = model.train(m, _config("gbt", 8))
+    return fitted.score(m).select("run", "line", "kw", "prediction")
+
+
+@query("rf_interval")
+def rf_interval(spark, sf):
+    m = meters(spark, sf)
+    fitted = model.train(m, _config("random_forest", 8), split="time")
+    return model.predict_interval(fitted, m).select("run", "line", "mean", "std", "lower", "upper")
+
+
+@query("importance_rank")
+def importance_rank(spark, sf):
+    return model.train(meters(spark, sf), _config("random_forest", 5)).importance_frame(spark, 5)
+
+
+@query("setpoint_by_model")
+def setpoint_by_model(spark, sf):
+    p = plant(spark, sf)
+    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4)
+    fitted = model.train(p, cfg)
+    contexts = p.where(F.col("load_rt").isNotNull()).select(F.concat_ws("|", "site_id", F.col("ts").cast("string")).alias("context_id"), "load_rt")
+    axes = {"chw_pump_hz": sp.hz_steps(), "ct_fan_hz": sp.hz_steps()}
+    return sp.best_setpoints_by_model(
+        contexts, "context_id", fitted, lambda s: {"pump_hz": s["chw_pump_hz"], "fan_hz": s["ct_fan_hz"]}, axes
+    )
