@@ -23,6 +23,7 @@ def snake_case(name: Column | str) -> Column:
     """Header text to a snake_case identifier; null when no identifier remains.
 
     Both camel-case splits use capture groups, so any RE2-style engine gives the same result.
+    A unit with the prefix kilo stays one word (``power(kW)`` -> ``power_kw``).
     """
     c = F.trim(as_col(name))
     c = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2")
@@ -31,7 +32,7 @@ def snake_case(name: Column | str) -> Column:
     c = F.regexp_replace(c, "_+", "_")
     c = F.regexp_replace(c, "^([0-9])", "col_$1")
     c = F.regexp_replace(c, "_$", "")
-    c = F.lower(c)
+    c = F.regexp_replace(F.lower(c), "(^|_)k_(wh|w|pa|var|va|v|j)(_|$)", "$1k$2$3")
     c = F.when(c.rlike("^[a-z][a-z0-9_]*$"), c)
     return F.when(c.isin(RESERVED_NAMES), F.concat(c, F.lit("_col"))).otherwise(c)
 

@@ -51,14 +51,15 @@ class ModelConfig:
 
 
 def prepare(df: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, list[str]]:
-    """Features (cast to double, time features appended) and the label, plus the feature order."""
+    """Features (text cast to numbers, time features appended) and the label, plus the feature order."""
     time_cols: list[str] = []
     if cfg.use_time_features and cfg.ts in df.columns:
         df, time_cols = add_time_features(df, cfg.ts), TIME_FEATURES
     names = available_features(df.columns, [c for c in cfg.features if c != cfg.target]) + list(time_cols)
     if not names:
         raise ValueError("no configured feature exists in the table")
-    out = df.withColumns({c: F.col(c).try_cast("double") for c in names})
+    text = [c for c in names if df.schema[c].dataType.typeName() == "string"]
+    out = df.withColumns({c: F.col(c).try_cast("double") for c in text}) if text else df
     if cfg.target in df.columns:
         out = out.withColumn("label", F.col(cfg.target).try_cast("double"))
     return out, names

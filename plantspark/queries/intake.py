@@ -62,8 +62,8 @@ def report_points(spark, sf):
     r"""
 WITH n AS (SELECT DISTINCT p_type || ' No.' || p_size || '(kW)' AS name FROM part UNION SELECT DISTINCT p_size || '_' || p_brand FROM part),
 a AS (SELECT name, regexp_replace(regexp_replace(trim(name), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g') AS s FROM n),
-b AS (SELECT name, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'),
-        '^([0-9])', 'col_\1'), '_$', '')) AS standard FROM a)
+b AS (SELECT name, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g'),
+        '^([0-9])', 'col_\1'), '_$', '')), '(^|_)k_(wh|w|pa|var|va|v|j)(_|$)', '\1k\2\3', 'g') AS standard FROM a)
 SELECT name, standard, count(*) OVER (PARTITION BY standard) AS n_names, regexp_matches(standard, '^[a-z][a-z0-9_]*$') AS is_valid FROM b""",
 )
 def names_standardised(spark, sf):

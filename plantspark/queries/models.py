@@ -234,7 +234,7 @@ def importance_rank(spark, sf):
 @query("setpoint_by_model")
 def setpoint_by_model(spark, sf):
     p = plant(spark, sf)
-    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4)
+    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4, impute="mean")
     fitted = model.train(p, cfg)
     contexts = p.where(F.col("load_rt").isNotNull()).select(F.concat_ws("|", "site_id", F.col("ts").cast("string")).alias("context_id"), "load_rt")
     axes = {"chw_pump_hz": sp.hz_steps(), "ct_fan_hz": sp.hz_steps()}

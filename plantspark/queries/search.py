@@ -111,7 +111,7 @@ def bound_violations(spark, sf):
 
 
 _UNITS = """units AS (
-  SELECT (s_suppkey - 1) // 8 AS plant_no, s_nationkey, s_suppkey AS unit, floor(abs(s_acctbal)) + 1 AS cap,
+  SELECT s_suppkey // 8 AS plant_no, s_nationkey, s_suppkey AS unit, floor(abs(s_acctbal)) + 1 AS cap,
          (floor(abs(s_acctbal)) + 1) * (60 + s_suppkey % 5 * 5) AS kw, s_suppkey % 3 % 2 AS now,
          (s_suppkey * 7919 % 1000)::DOUBLE / 1000.0::DOUBLE AS eff
   FROM supplier)"""
@@ -122,7 +122,7 @@ def units(spark, sf):
     key = F.col("s_suppkey")
     cap = F.floor(F.abs("s_acctbal")).cast("double") + 1
     return s.select(
-        F.floor((key - 1) / 8).cast("long").alias("plant_no"),
+        F.floor(key / 8).cast("long").alias("plant_no"),
         "s_nationkey",
         key.alias("unit"),
         cap.alias("cap"),

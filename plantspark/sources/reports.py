@@ -55,7 +55,8 @@ def read_lines(
     if wide:
         # The separator is two bytes in UTF-16; little-endian unless stated otherwise.
         codec = "utf-16-be" if codec.endswith("be") else "utf-16-le"
-        reader = reader.option("lineSep", "\n").option("encoding", codec)
+        java = "UTF-16BE" if codec.endswith("be") else "UTF-16LE"
+        reader = reader.option("lineSep", "\n").option("encoding", java)
     raw = reader.text(path).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"),
