@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plantspark.functions import physics
 from plantspark.functions.timefx import minutes_between, time_chunk
-from plantspark.plans.joins import dimension_join
+from plantspark.plans.joins import salted_join
 from plantspark.plans.ordered import segments, windowed
 from plantspark.plans.quantiles import exact_quantiles
 from plantspark.schema import ROLE_FROZEN_MULTIPLIER, ROLE_ZERO_LIMIT, SERIES
@@ -182,20 +182,24 @@ def distribution_warnings(
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     return (
-        dimension_join(stats, limits, ["sensor"])
+        stats.join(limits, "sensor", "left")
         .withColumn("mean_out_of_range", ~F.col("mean").between(F.col("mean_lo"), F.col("mean_hi")))
         .withColumn("low_variance", F.col("std") < F.lit(low_variance))
     )
 
 
 def iqr_outliers(
-    df: DataFrame, keys: Sequence[str] = tuple(SERIES), value: str = "value", whiskers: float = 1.5
+    df: DataFrame,
+    keys: Sequence[str] = tuple(SERIES),
+    value: str = "value",
+    whiskers: float = 1.5,
+    salt_by: Sequence[str] = tuple(ORDER),
 ) -> DataFrame:
     """Rows outside the whiskers around the exact quartiles of their series (flag ``is_outlier``)."""
-    q = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
+    q = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75}, salt_by)
     iqr = F.col("q3") - F.col("q1")
     return (
-        dimension_join(df, q, list(keys))
+        salted_join(df, q, keys, _spread(df, salt_by, value))
         .withColumn("lower", F.col("q1") - F.lit(whiskers) * iqr)
         .withColumn("upper", F.col("q3") + F.lit(whiskers) * iqr)
         .withColumn("is_outlier", (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
@@ -203,14 +207,23 @@ def iqr_outliers(
     )
 
 
+def _spread(df: DataFrame, salt_by: Sequence[str], *fallback: str) -> list[str]:
+    return [c for c in salt_by if c in df.columns] or list(fallback)
+
+
 def affinity_check(
-    df: DataFrame, hz: str, kw: str, keys: Sequence[str], tolerance: float = 0.20
+    df: DataFrame,
+    hz: str,
+    kw: str,
+    keys: Sequence[str],
+    tolerance: float = 0.20,
+    salt_by: Sequence[str] = tuple(ORDER),
 ) -> DataFrame:
     """Add ``affinity_ratio`` and ``affinity_law_invalid`` (too far from the asset's median ratio)."""
     ratio = df.withColumn("affinity_ratio", physics.affinity_ratio(hz, kw))
-    med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5})
+    med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5}, salt_by)
     dev = F.try_divide(F.abs(F.col("affinity_ratio") - F.col("median_ratio")), F.col("median_ratio"))
-    return dimension_join(ratio, med, list(keys)).withColumn("affinity_law_invalid", dev > F.lit(tolerance))
+    return salted_join(ratio, med, keys, _spread(df, salt_by, hz, kw)).withColumn("affinity_law_invalid", dev > F.lit(tolerance))
 
 
 # ------------------------------------------------------------------ filters and guards

@@ -26,27 +26,16 @@ def _row_order(ts: str, row_no: str) -> Column:
     return epoch_micros(ts).cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col(row_no)
 
 
-def resample(
-    df: DataFrame,
-    every: str,
-    method: Column | None = None,
-    keys: Sequence[str] = tuple(SERIES),
-    ts: str = "ts",
-    value: str = "value",
-    row_no: str = "row_no",
-) -> DataFrame:
-    """One row per series and non-empty window (closed left, labelled by its start).
+METHODS = ("sum", "min", "max", "first", "last")
 
-    ``method`` is a Column over the keys naming ``mean``, ``sum``, ``min``, ``max``, ``first`` or
-    ``last``; by default it follows the sensor name. All aggregates combine before the shuffle.
-    """
-    method = method_by_name("sensor") if method is None else method
+
+def _window_aggregates(df, every, keys, ts, value, row_no, needs_order: Column) -> DataFrame:
+    """Every aggregate of a window at once; all of them combine before the shuffle."""
     v = F.col(value)
-    ordered = F.when(F.col("_m").isin("last", "first"), _row_order(ts, row_no))
-    agg = (
+    ordered = F.when(needs_order, _row_order(ts, row_no))
+    return (
         df.where(F.col(ts).isNotNull())
-        .withColumn("_m", method)
-        .groupBy(*keys, "_m", F.window(ts, every).alias("_w"))
+        .groupBy(*keys, F.window(ts, every).alias("_w"))
         .agg(
             F.avg(v).alias("_mean"),
             F.sum(v).alias("_sum"),
@@ -57,16 +46,52 @@ def resample(
             F.count(v).alias("n_readings"),
         )
     )
+
+
+def _pick(agg: DataFrame, method: Column, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     picked = F.col("_mean")
-    for name in ("sum", "min", "max", "first", "last"):
-        picked = F.when(F.col("_m") == name, F.col(f"_{name}")).otherwise(picked)
+    for name in METHODS:
+        picked = F.when(method == name, F.col(f"_{name}")).otherwise(picked)
     return agg.select(*keys, F.col("_w.start").alias(ts), picked.alias(value), "n_readings")
 
 
-def resample_with(df: DataFrame, dim: DataFrame, every: str, default: str = "mean", **kw) -> DataFrame:
-    """Resample with the ``agg_method`` a sensor table names; ``default`` where it has none."""
-    joined = df.join(dim.select("sensor", "agg_method"), "sensor", "left")
-    return resample(joined, every, F.coalesce(F.col("agg_method"), F.lit(default)), **kw)
+def resample(
+    df: DataFrame,
+    every: str,
+    method: Column | None = None,
+    keys: Sequence[str] = tuple(SERIES),
+    ts: str = "ts",
+    value: str = "value",
+    row_no: str = "row_no",
+) -> DataFrame:
+    """One row per series and non-empty window (closed left, labelled by its start).
+
+    ``method`` is a Column over ``keys`` naming ``mean``, ``sum``, ``min``, ``max``, ``first`` or
+    ``last``; by default it follows the sensor name.
+    """
+    method = method_by_name("sensor") if method is None else method
+    agg = _window_aggregates(df, every, keys, ts, value, row_no, method.isin("first", "last"))
+    return _pick(agg, method, keys, ts, value)
+
+
+def resample_with(
+    df: DataFrame,
+    dim: DataFrame,
+    every: str,
+    default: str = "mean",
+    keys: Sequence[str] = tuple(SERIES),
+    ts: str = "ts",
+    value: str = "value",
+    row_no: str = "row_no",
+) -> DataFrame:
+    """Resample with the ``agg_method`` a sensor table names; ``default`` where it has none.
+
+    The sensor table meets the windows, not the readings, so a sensor with very many readings is
+    reduced before the join.
+    """
+    agg = _window_aggregates(df, every, keys, ts, value, row_no, F.lit(True))
+    joined = agg.join(dim.select("sensor", "agg_method"), "sensor", "left")
+    return _pick(joined, F.coalesce(F.col("agg_method"), F.lit(default)), keys, ts, value)
 
 
 def keep_first(

@@ -8,24 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dimension_join(left: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a large table to a dimension unique on ``keys``.
-
-    No broadcast hint: Spark broadcasts on its own when the measured size is under its threshold,
-    and otherwise shuffles, where adaptive execution splits a skewed key on the left.
-    """
-    return left.join(dim, list(keys), how)
+SALTS = 16
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16, how: str = "left", salt_by: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
-    """Join where one key may hold a large share of ``left``.
+    """Join a large table to a small one that is unique on ``keys``, where one key may hold a
+    large share of the large table.
 
-    Left rows get a salt from the hash of ``salt_by`` (all columns by default), which is stable
-    under recomputation; the right side, unique on ``keys``, is repeated once per salt.
+    Left rows get a salt from the hash of ``salt_by``, columns that differ within a key (time, row
+    number), so the salt is the same when a lost task runs again. The right side is repeated once
+    per salt. There is no broadcast hint: Spark broadcasts the right side by itself when its
+    measured size is under the threshold, and otherwise shuffles both sides on key and salt.
     """
-    cols = list(salt_by) or left.columns
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

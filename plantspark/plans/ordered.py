@@ -136,8 +136,8 @@ def segments(
         .withColumn("_run", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_runs", F.sum("_chg").over(Window.partitionBy(*part)))
     )
-    runs = numbered.groupBy(*part, "_run", "_runs").agg(
-        F.first(state).alias(state),
+    # The state is constant within a run; as a grouping key it keeps the aggregate hash-based.
+    runs = numbered.groupBy(*part, "_run", "_runs", state).agg(
         F.min(ts).alias("seg_start"),
         F.max(ts).alias("seg_end"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -151,9 +151,8 @@ def segments(
         runs.where(at_edge)
         .withColumn("_new", F.when(F.row_number().over(w_series) == 1, 1).when(contact, 0).otherwise(1))
         .withColumn("_isle", F.sum("_new").over(w_series.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_isle")
+        .groupBy(*keys, "_isle", state)
         .agg(
-            F.first(state).alias(state),
             F.min("seg_start").alias("seg_start"),
             F.max("seg_end").alias("seg_end"),
             F.sum("n_rows").alias("n_rows"),

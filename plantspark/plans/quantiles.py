@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plantspark.plans.joins import salted_join
+
 #: Groups up to this size are ranked whole; larger ones through a bracket.
 SMALL_GROUP = 100_000
 #: Half width of the bracket as a share of the ranks, many times the sketch error.
@@ -25,16 +27,19 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
+    salt_by: Sequence[str] = (),
     small_group: int = SMALL_GROUP,
     accuracy: int = SKETCH_ACCURACY,
     margin: float = MARGIN,
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantiles named in ``probs``; nulls ignored.
 
-    ``keys`` holds at least one column. Raises at run time if a rank should fall outside its bracket, so a result is never approximate.
+    ``keys`` holds at least one column; ``salt_by`` names columns that differ between the rows of
+    a key, by which a hot key is spread when its bracket is looked up. Raises at run time if a rank should fall outside its bracket, so a result is never approximate.
     """
     names = list(probs)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    spread = [c for c in salt_by if c in df.columns and c not in keys]
+    rows = df.select(*keys, *spread, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx(
@@ -65,7 +70,7 @@ def exact_quantiles(
         inside = inside | F.col("_v").between(x["lo"], x["hi"])
     gap = sum((F.when(F.col("_v") > x["hi"], 1).otherwise(0) for x in b), F.lit(0))
     counted = (
-        rows.join(bounds, list(keys))
+        salted_join(rows, bounds, keys, [*spread, "_v"], "inner")
         .withColumn("_in", F.when(inside, F.col("_v")))
         .withColumn("_gap", F.when(inside, F.lit(None).cast("int")).otherwise(gap))
         .groupBy(*keys, "_n", "_in", "_gap")

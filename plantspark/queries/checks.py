@@ -93,7 +93,7 @@ FROM r JOIN m USING (asset)""",
 )
 def affinity_check(spark, sf):
     m = meters(spark, sf).select("asset", "run", "line", "hz", "kw")
-    out = quality.affinity_check(m, "hz", "kw", ["asset"])
+    out = quality.affinity_check(m, "hz", "kw", ["asset"], salt_by=["run", "line"])
     return out.select("asset", "run", "line", r6("affinity_ratio"), r6("median_ratio"), "affinity_law_invalid")
 
 

@@ -21,7 +21,7 @@ from plantspark.plans.joins import salted_join
 from plantspark.schema import BASIC_NULL_TOKENS
 
 # ---------------------------------------------------------------- fixed values
-HEADER_START = '^"?<>Date'
+HEADER_STARTS = ['"<>Date', '<>Date']
 DATE_WORDS = ["Date", "日期"]
 TIME_WORDS = ["Time", "時間", "时间"]
 DATETIME_WORDS = ["DateTime", "Timestamp"]
@@ -80,10 +80,19 @@ def _decoder(codec: str):
     return decode
 
 
+def raw_fields(line: Column) -> Column:
+    """Comma-separated fields as they stand; commas inside quotes stay."""
+    return F.when(line.contains('"'), F.split(line, _SPLIT_QUOTED)).otherwise(F.split(line, _SPLIT_PLAIN))
+
+
+def bare(field: Column) -> Column:
+    """A field without surrounding blanks and quotes."""
+    x = F.trim(field)
+    return F.when(x.contains('"'), F.regexp_replace(x, '^"|"$', "")).otherwise(x)
+
+
 def split_fields(line: Column) -> Column:
-    """Comma-separated fields without surrounding blanks and quotes; commas inside quotes stay."""
-    parts = F.when(line.contains('"'), F.split(line, _SPLIT_QUOTED)).otherwise(F.split(line, _SPLIT_PLAIN))
-    return F.transform(parts, lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    return F.transform(raw_fields(line), bare)
 
 
 # ------------------------------------------------------------------ header and points
@@ -91,7 +100,8 @@ def split_fields(line: Column) -> Column:
 
 def find_headers(lines: DataFrame) -> DataFrame:
     """The first line of each file that starts with ``<>Date``: ``source_file, header_no, header``."""
-    hits = lines.where(F.col("line").rlike(HEADER_START))
+    line = F.col("line")
+    hits = lines.where(line.startswith(HEADER_STARTS[0]) | line.startswith(HEADER_STARTS[1]))
     return hits.groupBy("source_file").agg(
         F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("header")
     )
@@ -133,11 +143,11 @@ def find_headers_by_words(lines: DataFrame, max_lines: int = MAX_HEADER_SCAN_LIN
     )
 
 
-def point_map(lines: DataFrame, headers: DataFrame, salts: int = 16) -> DataFrame:
+def point_map(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """``source_file, point_id, sensor`` from the preamble; a repeated point keeps its last name."""
-    marked = lines.where(F.col("line").rlike('^\\s*"?\\s*Point_'))
+    marked = lines.where(F.ltrim(F.translate(F.substring("line", 1, 40), '"', " ")).startswith("Point_"))
     parts = split_fields(F.trim("line"))
-    pre = salted_join(marked, headers.select("source_file", "header_no"), ["source_file"], salts, "inner").where(
+    pre = salted_join(marked, headers.select("source_file", "header_no"), ["source_file"], ["line_no"], "inner").where(
         F.col("line_no") < F.col("header_no")
     )
     named = pre.select(
@@ -183,7 +193,6 @@ def parse_reports(
     null_tokens: Sequence[str] = tuple(BASIC_NULL_TOKENS),
     scrub: bool = False,
     drop_null_values: bool = False,
-    salts: int = 16,
 ) -> DataFrame:
     """Lines of many reports to ``readings``.
 
@@ -193,11 +202,12 @@ def parse_reports(
     """
     site = F.lit(site_id) if isinstance(site_id, str) else site_id
     headers = find_headers(lines) if headers is None else headers
-    layout = file_layout(headers, point_map(lines, headers, salts))
-    body = lines.where(~F.col("line").rlike('^\\s*"?[*]') & (F.trim("line") != ""))
-    data = salted_join(body, layout, ["source_file"], salts, "inner").where(F.col("line_no") > F.col("header_no"))
-    fields = data.withColumn("_f", split_fields(F.col("line")))
-    cell = lambda pos: null_if_token(F.get("_f", pos), null_tokens)
+    layout = file_layout(headers, point_map(lines, headers))
+    start = F.ltrim("line")
+    body = lines.where(~start.startswith("*") & ~start.startswith('"*') & (start != ""))
+    data = salted_join(body, layout, ["source_file"], ["line_no"], "inner").where(F.col("line_no") > F.col("header_no"))
+    fields = data.withColumn("_f", raw_fields(F.col("line")))
+    cell = lambda pos: null_if_token(bare(F.get("_f", pos)), null_tokens)
     timed = fields.withColumn("ts", parse_date_time(cell(F.col("date_pos")), cell(F.col("time_pos")))).where(F.col("ts").isNotNull())
     long = timed.select("source_file", "line_no", "ts", "_f", F.explode("layout").alias("_c"))
     raw = cell(F.col("_c.pos"))
