@@ -44,10 +44,13 @@ def bucket_start(ts: Column | str, every: str) -> Column:
 
 
 def parse_date_time(date: Column | str, time: Column | str) -> Column:
-    """``2024/01/31`` and ``08:15:00`` to a naive timestamp; anything else to null."""
-    text = F.concat_ws(" ", as_col(date), as_col(time))
-    parsed = F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm:ss"))
-    return F.when(as_col(date).isNotNull() & as_col(time).isNotNull(), parsed).cast("timestamp_ntz")
+    """``2024/01/31`` and ``08:15:00`` to a naive timestamp; anything else to null.
+
+    A cast rather than a format pattern: it never passes through the session time zone.
+    """
+    text = F.concat(as_col(date), F.lit(" "), as_col(time))
+    shaped = text.rlike(r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$")
+    return F.when(shaped, F.translate(text, "/", "-").try_cast("timestamp_ntz"))
 
 
 def parse_text_timestamp(c: Column | str) -> Column:

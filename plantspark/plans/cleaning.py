@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.functions import physics
 from plantspark.functions.timefx import time_chunk
 from plantspark.operators import quality
-from plantspark.operators.resample import resample, to_wide
+from plantspark.operators.resample import keep_first, resample, to_wide
 from plantspark.plans.ordered import windowed
+from plantspark.sources.reports import read_reports
 
 
 @dataclass(frozen=True)
@@ -88,3 +89,25 @@ def clean(
     wanted = readings.where(F.col("sensor").isin(list(sensors)))
     small = resample(wanted, f"{opt.interval_minutes} minutes", keys=[*site, "sensor"], ts=ts)
     return clean_wide(to_wide(small, sensors, [*site, ts]), opt, site, ts)
+
+
+def process_directory(
+    spark: SparkSession,
+    path: str,
+    sensors: dict[str, str],
+    opt: CleanOptions,
+    pattern: str = "*.csv",
+    site_id: str = "site",
+    **reader,
+) -> tuple[DataFrame, DataFrame]:
+    """All reports of a folder as one checked wide table, and the files that gave no readings.
+
+    Each file is resampled on its own; where files overlap, the first by name keeps the window.
+    Checks that look at earlier rows then run over the merged series.
+    """
+    readings, errors = read_reports(spark, path, site_id, glob=pattern, **reader)
+    wanted = readings.where(F.col("sensor").isin(list(sensors)))
+    keys = ["site_id", "source_file", "sensor"]
+    small = resample(wanted, f"{opt.interval_minutes} minutes", keys=keys)
+    merged = keep_first(small, ["site_id", "sensor", "ts"], ["source_file"])
+    return clean_wide(to_wide(merged, sensors), opt), errors

@@ -159,6 +159,18 @@ def test_clean_chain(spark):
     assert clean_wide(rs.to_wide(long, names), CleanOptions(frozen_columns=())).count() == n
 
 
+def test_process_directory(spark, tmp_path):
+    from plantspark.plans.cleaning import process_directory
+
+    head = '"Point_1","P-1.KW"\n"<>Date","Time","Point_1"\n'
+    (tmp_path / "a.csv").write_text(head + "2024/01/01,00:00:00,1\n2024/01/01,00:02:00,3\n")
+    (tmp_path / "b.csv").write_text(head + "2024/01/01,00:01:00,100\n2024/01/01,00:05:00,7\n")
+    (tmp_path / "c.csv").write_text("nothing\n")
+    out, errors = process_directory(spark, str(tmp_path), {"P_1_KW": "kw"}, CleanOptions())
+    assert [(r.ts.minute, r.kw, r.kw_frozen) for r in out.orderBy("ts").collect()] == [(0, 2.0, False), (5, 7.0, False)]
+    assert errors.count() == 1
+
+
 # ------------------------------------------------------------------ flags
 
 
