@@ -184,7 +184,7 @@ def state_segments(
     order: Sequence[str] = ("ts", "row_no"),
 ) -> DataFrame:
     """Runs of equal state with start, end, row count and minutes."""
-    return segments(df, keys, order, state, order[0], time_chunk(order[0], slice_seconds)).withColumn(
+    return segments(df, keys, order, state, time_chunk(order[0], slice_seconds)).withColumn(
         "minutes", minutes_between("seg_start", "seg_end")
     )
 

@@ -150,7 +150,7 @@ def low_power_factor_spans(
 ) -> DataFrame:
     """Runs of readings below ``limit`` that last longer than ``min_minutes``."""
     low = df.where(F.col(value).isNotNull()).withColumn("_low", F.col(value) < F.lit(limit))
-    spans = segments(low, keys, order, "_low", order[0], time_chunk(order[0], slice_seconds))
+    spans = segments(low, keys, order, "_low", time_chunk(order[0], slice_seconds))
     return (
         spans.where(F.col("_low"))
         .withColumn("minutes", minutes_between("seg_start", "seg_end"))
@@ -196,7 +196,7 @@ def iqr_outliers(
     salt_by: Sequence[str] = tuple(ORDER),
 ) -> DataFrame:
     """Rows outside the whiskers around the exact quartiles of their series (flag ``is_outlier``)."""
-    q = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75}, salt_by)
+    q = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return (
         salted_join(df, q, keys, _spread(df, salt_by, value))
@@ -221,7 +221,7 @@ def affinity_check(
 ) -> DataFrame:
     """Add ``affinity_ratio`` and ``affinity_law_invalid`` (too far from the asset's median ratio)."""
     ratio = df.withColumn("affinity_ratio", physics.affinity_ratio(hz, kw))
-    med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5}, salt_by)
+    med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5})
     dev = F.try_divide(F.abs(F.col("affinity_ratio") - F.col("median_ratio")), F.col("median_ratio"))
     return salted_join(ratio, med, keys, _spread(df, salt_by, hz, kw)).withColumn("affinity_law_invalid", dev > F.lit(tolerance))
 

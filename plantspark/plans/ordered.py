@@ -45,19 +45,18 @@ def windowed(
     part = [*keys, "_slice"]
     w_slice = Window.partitionBy(*part).orderBy(*order)
     w_series = Window.partitionBy(*keys).orderBy(*order)
-    marked = df.withColumn("_slice", chunk).withColumns(
-        {
-            "_pos": F.row_number().over(w_slice),
-            "_len": F.count(F.lit(1)).over(Window.partitionBy(*part)),
-        }
-    )
-    inner = marked.withColumns({n: f(w_slice) for n, f in exprs.items()}).where(F.col("_pos") > lookback)
+    sliced = df.withColumn("_slice", chunk)
+    is_head = F.lag(F.lit(1), lookback).over(w_slice).isNull()
+    is_tail = F.lead(F.lit(1), lookback).over(w_slice).isNull()
+    inner = sliced.withColumns({"_head": is_head, **{n: f(w_slice) for n, f in exprs.items()}}).where(~F.col("_head"))
     edge = (
-        marked.where((F.col("_pos") <= lookback) | (F.col("_pos") > F.col("_len") - lookback))
+        sliced.withColumns({"_head": is_head, "_tail": is_tail})
+        .where(F.col("_head") | F.col("_tail"))
         .withColumns({n: f(w_series) for n, f in exprs.items()})
-        .where(F.col("_pos") <= lookback)
+        .where(F.col("_head"))
+        .drop("_tail")
     )
-    return inner.unionByName(edge).drop("_slice", "_pos", "_len")
+    return inner.unionByName(edge).drop("_slice", "_head")
 
 
 _WITHIN = {
@@ -114,39 +113,53 @@ def prefix(
 
 
 def segments(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    state: str,
-    ts: str,
-    chunk: Column,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, chunk: Column
 ) -> DataFrame:
     """Gaps and islands: one row per run of equal ``state`` with start, end and row count.
 
-    Runs are closed inside each slice first. Only the first and last run of a slice can continue
-    in a neighbour, so only those (two rows per slice) are ordered over the whole series.
+    The first column of ``order`` is the time. Inside a slice only the first and last row of each
+    run are kept, which one sort settles; the runs, far fewer than the rows, are shuffled once.
+    Only the first and last run of a slice can continue in a neighbour, so only those (two rows
+    per slice) are ordered over the whole series.
     """
     part = [*keys, "_slice"]
+    ts = order[0]
     w = Window.partitionBy(*part).orderBy(*order)
-    prev = F.lag(state).over(w)
-    numbered = (
-        df.withColumn("_slice", chunk)
-        .withColumn("_chg", (F.row_number().over(w) == 1).cast("int"))
-        .withColumn("_chg", F.when(F.col("_chg") == 1, 1).when(prev.eqNullSafe(F.col(state)), 0).otherwise(1))
-        .withColumn("_run", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_runs", F.sum("_chg").over(Window.partitionBy(*part)))
+    ends = (
+        df.select(*keys, *order, state)
+        .withColumn("_slice", chunk)
+        .withColumns(
+            {
+                "_rn": F.row_number().over(w),
+                "_prev": F.lag(state).over(w),
+                "_next": F.lead(state).over(w),
+                "_last": F.lead(F.lit(1)).over(w).isNull(),
+            }
+        )
+        .withColumn("_opens", (F.col("_rn") == 1) | ~F.col("_prev").eqNullSafe(F.col(state)))
+        .withColumn("_closes", F.col("_last") | ~F.col("_next").eqNullSafe(F.col(state)))
+        .where(F.col("_opens") | F.col("_closes"))
     )
-    # The state is constant within a run; as a grouping key it keeps the aggregate hash-based.
-    runs = numbered.groupBy(*part, "_run", "_runs", state).agg(
-        F.min(ts).alias("seg_start"),
-        F.max(ts).alias("seg_end"),
-        F.count(F.lit(1)).alias("n_rows"),
+    single = F.col("_closes")
+    runs = (
+        ends.withColumns({"_ts2": F.lead(ts).over(w), "_rn2": F.lead("_rn").over(w), "_last2": F.lead("_last").over(w)})
+        .where(F.col("_opens"))
+        .select(
+            *part,
+            state,
+            "_rn",
+            F.col(ts).alias("seg_start"),
+            F.when(single, F.col(ts)).otherwise(F.col("_ts2")).alias("seg_end"),
+            F.when(single, F.lit(1)).otherwise(F.col("_rn2") - F.col("_rn") + 1).cast("bigint").alias("n_rows"),
+            F.when(single, F.col("_last")).otherwise(F.col("_last2")).alias("_last"),
+        )
+        .repartition(*part)
     )
-    at_edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
+    at_edge = (F.col("_rn") == 1) | F.col("_last")
     cols = [*keys, state, "seg_start", "seg_end", "n_rows"]
     closed = runs.where(~at_edge).select(*cols)
-    w_series = Window.partitionBy(*keys).orderBy("_slice", "_run")
-    contact = F.when(F.col("_run") == 1, F.lag(state).over(w_series).eqNullSafe(F.col(state))).otherwise(False)
+    w_series = Window.partitionBy(*keys).orderBy("_slice", "_rn")
+    contact = F.when(F.col("_rn") == 1, F.lag(state).over(w_series).eqNullSafe(F.col(state))).otherwise(False)
     merged = (
         runs.where(at_edge)
         .withColumn("_new", F.when(F.row_number().over(w_series) == 1, 1).when(contact, 0).otherwise(1))

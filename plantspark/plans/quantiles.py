@@ -1,8 +1,9 @@
 """Exact interpolated quantiles per key that hold for keys of any size.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one buffer. Here a
-mergeable sketch first brackets each wanted rank; the second pass counts what lies below the
-bracket and ranks only the few values inside it. Both passes combine before the shuffle.
+The built-in exact ``percentile`` keeps every distinct value of a group in one buffer. Here equal
+values are counted first (combined before the shuffle, so a value repeated by a third of all rows
+costs one row), and the counts are spread over buckets that follow the order of the values. Ranks
+are located on the bucket totals; only the few buckets that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -13,92 +14,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plantspark.plans.joins import salted_join
+#: Buckets per factor e of the absolute value: 0.01 % wide.
+RESOLUTION = 10_000
+_OFFSET = 800 * RESOLUTION
 
-#: Groups up to this size are ranked whole; larger ones through a bracket.
-SMALL_GROUP = 100_000
-#: Half width of the bracket as a share of the ranks, many times the sketch error.
-MARGIN = 0.0005
-SKETCH_ACCURACY = 50_000
+
+def order_bucket(v: Column, resolution: int = RESOLUTION) -> Column:
+    """A bucket number that never falls as ``v`` rises (logarithmic in the absolute value)."""
+    size = F.least(F.abs(v), F.lit(1.7e308))
+    scaled = F.floor(F.ln(size) * F.lit(float(resolution))).cast("bigint") + F.lit(_OFFSET)
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, scaled).otherwise(-scaled)
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    salt_by: Sequence[str] = (),
-    small_group: int = SMALL_GROUP,
-    accuracy: int = SKETCH_ACCURACY,
-    margin: float = MARGIN,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], resolution: int = RESOLUTION
 ) -> DataFrame:
-    """One row per key with the linearly interpolated quantiles named in ``probs``; nulls ignored.
+    """One row per key with the linearly interpolated quantiles named in ``probs``.
 
-    ``keys`` holds at least one column; ``salt_by`` names columns that differ between the rows of
-    a key, by which a hot key is spread when its bracket is looked up. Raises at run time if a rank should fall outside its bracket, so a result is never approximate.
+    Nulls and NaN are ignored; ``keys`` holds at least one column.
     """
-    names = list(probs)
-    spread = [c for c in salt_by if c in df.columns and c not in keys]
-    rows = df.select(*keys, *spread, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(
-            "_v",
-            [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-margin, margin)],
-            accuracy,
-        ).alias("_q"),
-    )
-    inf = F.lit(float("inf"))
-    bounds = sketch.select(
-        *keys,
-        "_n",
-        F.array(
-            *[
-                F.struct(
-                    F.when(F.col("_n") <= small_group, -inf).otherwise(F.col("_q")[2 * i]).alias("lo"),
-                    F.when(F.col("_n") <= small_group, inf).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
-                )
-                for i in range(len(names))
-            ]
-        ).alias("_b"),
+    v = F.col(value).cast("double")
+    counts = (
+        df.select(*keys, v.alias("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_b", order_bucket(F.col("_v"), resolution))
     )
-    # A value inside any bracket keeps its identity, the rest collapses to one count per gap
-    # between brackets (value -> null, `_below` = how many brackets lie fully above or hold it).
-    b = [F.col("_b")[i] for i in range(len(names))]
-    inside = F.lit(False)
-    for x in b:
-        inside = inside | F.col("_v").between(x["lo"], x["hi"])
-    gap = sum((F.when(F.col("_v") > x["hi"], 1).otherwise(0) for x in b), F.lit(0))
-    counted = (
-        salted_join(rows, bounds, keys, [*spread, "_v"], "inner")
-        .withColumn("_in", F.when(inside, F.col("_v")))
-        .withColumn("_gap", F.when(inside, F.lit(None).cast("int")).otherwise(gap))
-        .groupBy(*keys, "_n", "_in", "_gap")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo_v"))
+    w_key = Window.partitionBy(*keys)
+    totals = (
+        counts.groupBy(*keys, "_b")
+        .agg(F.sum("_c").alias("_t"))
+        .withColumn("_upto", F.sum("_t").over(w_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_n", F.sum("_t").over(w_key))
+        .withColumn("_before", F.col("_upto") - F.col("_t"))
     )
-    # ``_lo_v`` orders gap counts and values alike: a gap is disjoint from every bracket.
-    w = Window.partitionBy(*keys).orderBy("_lo_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_hi_rank", F.sum("_c").over(w)).withColumn(
-        "_lo_rank", F.col("_hi_rank") - F.col("_c") + 1
-    )
-    aggs: list[Column] = []
+    ranks = {}
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
-        for tag, rank in (("lo", F.floor(pos) + 1), ("hi", F.ceil(pos) + 1)):
-            hit = (F.col("_lo_rank") <= rank) & (rank <= F.col("_hi_rank"))
-            aggs.append(F.max(F.when(hit, F.col("_in"))).alias(f"_{tag}_{name}"))
-    picked = ranked.groupBy(*keys, "_n").agg(*aggs)
-
-    def result(name: str, p: float) -> Column:
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        frac = pos - F.floor(pos)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac)
-        return (
-            F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit(f"rank of {name} outside its bracket")).cast("double"))
-            .otherwise(out)
-            .alias(name)
+        ranks[name] = (F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos))
+    wanted = F.lit(False)
+    for lo, hi, _ in ranks.values():
+        for r in (lo, hi):
+            wanted = wanted | ((F.col("_before") < r) & (r <= F.col("_upto")))
+    targets = totals.where(wanted).select(*keys, "_b", "_before", "_n")
+    inside = (
+        counts.join(targets, [*keys, "_b"])
+        .withColumn(
+            "_hi_rank",
+            F.col("_before")
+            + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)),
         )
-
-    return picked.select(*keys, *[result(n, p) for n, p in probs.items()])
-
+        .withColumn("_lo_rank", F.col("_hi_rank") - F.col("_c") + 1)
+    )
+    picks = []
+    for name, (lo, hi, _) in ranks.items():
+        for tag, r in (("lo", lo), ("hi", hi)):
+            hit = (F.col("_lo_rank") <= r) & (r <= F.col("_hi_rank"))
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}_{name}"))
+    picked = inside.groupBy(*keys, "_n").agg(*picks)
+    out = []
+    for name, (_, _, frac) in ranks.items():
+        a, b = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(F.when(a == b, a).otherwise(a + (b - a) * frac).alias(name))
+    return picked.select(*keys, *out)

@@ -53,7 +53,7 @@ def test_prefix_equals_running_window(series, rows, seconds, include):
 @pytest.mark.parametrize("seconds", [1, 60, 86_400])
 def test_segments_equal_islands(series, rows, seconds):
     s = series.withColumn("state", F.when(F.col("v") > 0, "ON").when(F.col("v") == 0, "OFF"))
-    got = segments(s, ["k"], ["ts", "n"], "state", "ts", time_chunk("ts", seconds))
+    got = segments(s, ["k"], ["ts", "n"], "state", time_chunk("ts", seconds))
     w = Window.partitionBy("k").orderBy("ts", "n")
     first = F.row_number().over(w) == 1
     chg = F.when(first, 1).when(F.lag("state").over(w).eqNullSafe(F.col("state")), 0).otherwise(1)
@@ -68,10 +68,10 @@ def test_segments_equal_islands(series, rows, seconds):
     assert got.agg(F.sum("n_rows")).first()[0] == 3000
 
 
-@pytest.mark.parametrize("small", [1, 10**6])
-def test_exact_quantiles(series, small):
+@pytest.mark.parametrize("resolution", [1, 10_000])
+def test_exact_quantiles(series, resolution):
     probs = {"q1": 0.25, "mid": 0.5, "q3": 0.75, "p0": 0.0, "p100": 1.0}
-    got = exact_quantiles(series, ["k"], "v", probs, small_group=small, margin=0.05, accuracy=500)
+    got = exact_quantiles(series, ["k"], "v", probs, resolution)
     want = series.groupBy("k").agg(F.percentile("v", list(probs.values())).alias("p"))
     for r in got.join(want, "k").collect():
         assert [r[n] for n in probs] == pytest.approx(list(r["p"]), abs=1e-12)
@@ -80,11 +80,20 @@ def test_exact_quantiles(series, small):
 
 def test_quantiles_of_mostly_equal_values(spark):
     df = spark.range(5000).select(F.lit("a").alias("k"), F.when(F.col("id") < 4000, 7.0).otherwise(F.col("id").cast("double")).alias("v"))
-    got = exact_quantiles(df, ["k"], "v", {"m": 0.5, "h": 0.95}, small_group=10, margin=0.01, accuracy=1000).first()
+    got = exact_quantiles(df, ["k"], "v", {"m": 0.5, "h": 0.95}).first()
     assert got["m"] == 7.0
     assert got["h"] == pytest.approx(4749.05)
 
 
+def test_quantiles_of_signed_and_extreme_values(spark):
+    vals = [-1e300, -5.5, -5.4, -1e-300, 0.0, 0.0, 1e-310, 0.1, 0.1000001, 7.0, 1e308, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([("a", v) for v in vals], "k string, v double")
+    real = [v for v in vals if v is not None and v == v]
+    probs = {f"q{i}": i / (len(real) - 1) for i in range(len(real))}
+    got = exact_quantiles(df, ["k"], "v", probs).first()
+    assert [got[n] for n in probs] == pytest.approx(sorted(real), rel=1e-9)
+
+
 def test_first_per_key_is_idempotent(series, rows):
     once = first_per_key(series, ["k", "ts"], ["n"])
     assert rows(first_per_key(once, ["k", "ts"], ["n"])) == rows(once)
