@@ -46,11 +46,12 @@ def bucket_start(ts: Column | str, every: str) -> Column:
 def parse_date_time(date: Column | str, time: Column | str) -> Column:
     """``2024/01/31`` and ``08:15:00`` to a naive timestamp; anything else to null.
 
-    A cast rather than a format pattern: it never passes through the session time zone.
+    A cast rather than a format pattern: it never passes through the session time zone. Each input
+    is used once, as the optimizer may copy the expression into a filter.
     """
-    text = F.concat(as_col(date), F.lit(" "), as_col(time))
-    shaped = text.rlike(r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$")
-    return F.when(shaped, F.translate(text, "/", "-").try_cast("timestamp_ntz"))
+    text = F.translate(F.concat(as_col(date), F.lit(" "), as_col(time)), "-", "?")
+    iso = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2} \d{1,2}:\d{1,2}:\d{1,2})$", "$1-$2-$3")
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_text_timestamp(c: Column | str) -> Column:

@@ -44,8 +44,9 @@ def read_lines(
     """``source_file, line_no, line`` of text files.
 
     ``line_no`` orders the lines of a file: the byte offset of the split, then the position in it.
-    ``encoding`` is any Python codec name (``utf-8``, ``utf-8-sig``, ``cp950``, ``utf-16-le`` ...);
-    a byte-order mark is removed. Damaged bytes become replacement characters.
+    ``encoding`` is any Python codec name (``utf-8``, ``utf-8-sig``, ``cp950``, ``utf-16-le`` ...)
+    or ``auto``: UTF-8, and cp950 for lines that are no valid UTF-8 (see :func:`detect_encodings`
+    for UTF-16). A byte-order mark is removed. Damaged bytes become replacement characters.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
@@ -65,11 +66,36 @@ def read_lines(
     )
     in_split = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     line_no = F.shiftleft(F.shiftright(F.col("_block"), 12), 33).bitwiseOR(in_split)
-    text = F.col("value") if codec in ("utf-8", "utf-8-sig") else _decoder(codec)(F.col("value").cast("binary"))
+    value = F.col("value")
+    if codec == "auto":
+        valid = F.is_valid_utf8(value)
+        text = F.when(valid, value).otherwise(_decoder("cp950")(F.when(~valid, value.cast("binary"))))
+    else:
+        text = value if codec in ("utf-8", "utf-8-sig") else _decoder(codec)(value.cast("binary"))
     text = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r$", "")
     return raw.select("source_file", line_no.alias("line_no"), text.alias("line"))
 
 
+def detect_encodings(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """``source_file, encoding``: UTF-16 by its byte-order mark, UTF-8 if every line is valid, else
+    cp950. The UTF-8 mark is dropped by the line reader, so such files count as plain UTF-8."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    order = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    raw = reader.text(path).select(F.col("_metadata.file_path").alias("source_file"), order.alias("_o"), "value")
+    per_file = raw.groupBy("source_file").agg(
+        F.min_by(F.hex(F.substring(F.col("value").cast("binary"), 1, 3)), "_o").alias("_start"),
+        F.bool_and(F.is_valid_utf8("value")).alias("_valid"),
+    )
+    start = F.col("_start")
+    found = (
+        F.when(start.startswith("FFFE"), "utf-16-le")
+        .when(start.startswith("FEFF"), "utf-16-be")
+        .when(F.col("_valid"), "utf-8")
+        .otherwise("cp950")
+    )
+    return per_file.select("source_file", found.alias("encoding"))
+
+
 def _decoder(codec: str):
     """A small vectorised helper: bytes of one line to text."""
 
@@ -207,7 +233,13 @@ def parse_reports(
     body = lines.where(~start.startswith("*") & ~start.startswith('"*') & (start != ""))
     data = salted_join(body, layout, ["source_file"], ["line_no"], "inner").where(F.col("line_no") > F.col("header_no"))
     fields = data.withColumn("_f", raw_fields(F.col("line")))
-    cell = lambda pos: null_if_token(bare(F.get("_f", pos)), null_tokens)
+    # Text tokens become null in the casts below by themselves; only numbers need the comparison.
+    numeric = [t for t in null_tokens if _is_number(t)]
+
+    def cell(pos: Column) -> Column:
+        text = F.btrim(F.get("_f", pos), F.lit(' "'))
+        return null_if_token(text, numeric) if numeric else text
+
     timed = fields.withColumn("ts", parse_date_time(cell(F.col("date_pos")), cell(F.col("time_pos")))).where(F.col("ts").isNotNull())
     long = timed.select("source_file", "line_no", "ts", "_f", F.explode("layout").alias("_c"))
     raw = cell(F.col("_c.pos"))
@@ -223,6 +255,14 @@ def parse_reports(
     return out.where(F.col("value").isNotNull()) if drop_null_values else out
 
 
+def _is_number(token: str) -> bool:
+    try:
+        float(token)
+    except ValueError:
+        return False
+    return True
+
+
 def ingest_errors(lines: DataFrame, readings: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Files that gave no readings, with the reason."""
     headers = find_headers(lines) if headers is None else headers

@@ -59,9 +59,10 @@ def write_readings(
         df = flags_to_json(df)
     out = sanitise_columns(df).withColumns({"year": F.year(ts), "month": F.month(ts)})
     keys = [c for c in cluster_by if c in df.columns]
+    tie = [c for c in ("row_no",) if c in df.columns]
     (
-        out.repartitionByRange("year", "month", *keys, ts)
-        .sortWithinPartitions("year", "month", *keys, ts)
+        out.repartitionByRange("year", "month", *keys, ts, *tie)
+        .sortWithinPartitions("year", "month", *keys, ts, *tie)
         .write.mode(mode)
         .partitionBy("year", "month")
         .option("maxRecordsPerFile", rows_per_file)

@@ -98,6 +98,16 @@ def test_encodings(spark, tmp_path, codec, read_as):
     assert e.count() == 0
 
 
+def test_encoding_detection(spark, tmp_path):
+    body = '"Point_1","冰水泵"\n"<>Date","Time","Point_1"\n2024/01/01,00:00:00,7\n'
+    for name, codec in {"a": "utf-8", "b": "cp950", "c": "utf-8-sig", "d": "utf-16"}.items():
+        (tmp_path / f"{name}.csv").write_bytes(body.encode(codec))
+    found = {r.source_file[-5]: r.encoding for r in reports.detect_encodings(spark, str(tmp_path)).collect()}
+    assert found == {"a": "utf-8", "b": "cp950", "c": "utf-8", "d": "utf-16-le"}
+    r, _ = reports.read_reports(spark, str(tmp_path), encoding="auto", glob="[abc].csv")
+    assert [x.sensor for x in r.collect()] == ["冰水泵"] * 3
+
+
 def test_header_by_words(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Report Date, Time\n備註\n日期,時間,溫度_1,溫度_2\n2024/01/01,00:00:00,1,2\n")
     (tmp_path / "b.csv").write_text("nothing,here\n1,2\n")
@@ -110,6 +120,14 @@ def test_header_by_words(spark, tmp_path):
     assert sorted((x.sensor, x.value) for x in r.collect()) == [("溫度_1", 1.0), ("溫度_2", 2.0)]
 
 
+def test_numeric_null_token(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('"<>Date","Time","P","Q"\n2024/01/01,00:00:00,-999,5\n2024-01-01,00:05:00,1,1\n')
+    r, _ = reports.read_reports(spark, str(tmp_path), null_tokens=["", "-999"])
+    assert sorted((x.sensor, x.value) for x in r.collect()) == [("P", None), ("Q", 5.0)]
+    dirty, _ = reports.read_reports(spark, str(tmp_path), scrub=True)
+    assert sorted((x.sensor, x.value) for x in dirty.collect()) == [("P", -999.0), ("Q", 5.0)]
+
+
 def test_first_k_files(spark, tmp_path):
     for i in (3, 1, 2):
         (tmp_path / f"{i}.csv").write_text(f'"<>Date","Time","P"\n2024/01/0{i},00:00:00,{i}\n')
