@@ -124,11 +124,17 @@ def split_fields(line: Column) -> Column:
 # ------------------------------------------------------------------ header and points
 
 
+def _is_header() -> Column:
+    return F.col("line").startswith(HEADER_STARTS[0]) | F.col("line").startswith(HEADER_STARTS[1])
+
+
+def _is_point() -> Column:
+    return F.ltrim(F.translate(F.substring("line", 1, 40), '"', " ")).startswith("Point_")
+
+
 def find_headers(lines: DataFrame) -> DataFrame:
     """The first line of each file that starts with ``<>Date``: ``source_file, header_no, header``."""
-    line = F.col("line")
-    hits = lines.where(line.startswith(HEADER_STARTS[0]) | line.startswith(HEADER_STARTS[1]))
-    return hits.groupBy("source_file").agg(
+    return lines.where(_is_header()).groupBy("source_file").agg(
         F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("header")
     )
 
@@ -171,9 +177,8 @@ def find_headers_by_words(lines: DataFrame, max_lines: int = MAX_HEADER_SCAN_LIN
 
 def point_map(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """``source_file, point_id, sensor`` from the preamble; a repeated point keeps its last name."""
-    marked = lines.where(F.ltrim(F.translate(F.substring("line", 1, 40), '"', " ")).startswith("Point_"))
     parts = split_fields(F.trim("line"))
-    pre = salted_join(marked, headers.select("source_file", "header_no"), ["source_file"], ["line_no"], "inner").where(
+    pre = salted_join(lines.where(_is_point()), headers.select("source_file", "header_no"), ["source_file"], ["line_no"], "inner").where(
         F.col("line_no") < F.col("header_no")
     )
     named = pre.select(
