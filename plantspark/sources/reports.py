@@ -242,7 +242,7 @@ def parse_reports(
     numeric = [t for t in null_tokens if _is_number(t)]
 
     def cell(pos: Column) -> Column:
-        text = F.btrim(F.get("_f", pos), F.lit(' "'))
+        text = F.trim(F.replace(F.get("_f", pos), F.lit('"'), F.lit("")))
         return null_if_token(text, numeric) if numeric else text
 
     timed = fields.withColumn("ts", parse_date_time(cell(F.col("date_pos")), cell(F.col("time_pos")))).where(F.col("ts").isNotNull())
