@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def naive_literal(moment: datetime) -> Column:
+    """A Python time as a naive UTC literal, whatever the session time zone."""
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(UTC).replace(tzinfo=None)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 of a naive timestamp."""
     t = as_col(ts)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantspark.functions import physics
-from plantspark.functions.timefx import minutes_between, time_chunk
+from plantspark.functions.timefx import minutes_between, naive_literal, time_chunk
 from plantspark.plans.joins import salted_join
 from plantspark.plans.ordered import segments, windowed
 from plantspark.plans.quantiles import exact_quantiles
@@ -261,7 +261,7 @@ def split_future(df: DataFrame, baseline: datetime, minutes: int = 5, file: str
 
     A file with any row later than ``baseline`` plus the tolerance is rejected whole.
     """
-    late = F.col(ts) > F.lit(baseline).cast("timestamp_ntz") + F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    late = F.col(ts) > naive_literal(baseline) + F.expr(f"INTERVAL {int(minutes)} MINUTES")
     rejected = (
         df.where(late).groupBy(file).agg(F.count(F.lit(1)).alias("n_future"), F.max(ts).alias("last_ts"))
     )
@@ -270,7 +270,7 @@ def split_future(df: DataFrame, baseline: datetime, minutes: int = 5, file: str
 
 def require_no_leakage(df: DataFrame, cutoff: datetime, ts: str = "ts") -> DataFrame:
     """Raise when any row lies after the cut-off."""
-    late = df.where(F.col(ts) > F.lit(cutoff).cast("timestamp_ntz"))
+    late = df.where(F.col(ts) > naive_literal(cutoff))
     sample = [r[0] for r in late.select(ts).limit(3).collect()]
     if sample:
         raise FutureDataError(f"rows after the cut-off {cutoff}, e.g. {sample}")
@@ -279,7 +279,7 @@ def require_no_leakage(df: DataFrame, cutoff: datetime, ts: str = "ts") -> DataF
 
 def implausible_timestamps(df: DataFrame, baseline: datetime, min_year: int = 2020, max_days: int = 1, ts: str = "ts") -> DataFrame:
     """Rows from before ``min_year`` or more than ``max_days`` away from the baseline date."""
-    base = F.lit(baseline).cast("timestamp_ntz").cast("date")
+    base = naive_literal(baseline).cast("date")
     return df.where((F.year(ts) < min_year) | (F.abs(F.datediff(F.col(ts).cast("date"), base)) > max_days))
 
 
