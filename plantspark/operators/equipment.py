@@ -145,6 +145,16 @@ def audit_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
+def audit_record(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row for a batch's audit trail: the rules applied, violations found and their counts."""
+    by_rule = F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "violations"))))
+    return audit_rules(df, rules).agg(
+        F.array_sort(F.collect_list("rule_id")).alias("constraints_applied"),
+        F.sum("violations").alias("violations_detected"),
+        by_rule.alias("violation_details"),
+    )
+
+
 def _rate(part: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(part * F.lit(100.0), total.cast("double")), F.lit(0.0))
 

@@ -222,8 +222,14 @@ def affinity_check(
     """Add ``affinity_ratio`` and ``affinity_law_invalid`` (too far from the asset's median ratio)."""
     ratio = df.withColumn("affinity_ratio", physics.affinity_ratio(hz, kw))
     med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5})
-    dev = F.try_divide(F.abs(F.col("affinity_ratio") - F.col("median_ratio")), F.col("median_ratio"))
-    return salted_join(ratio, med, keys, _spread(df, salt_by, hz, kw)).withColumn("affinity_law_invalid", dev > F.lit(tolerance))
+    ratio_col, mid = F.col("affinity_ratio"), F.col("median_ratio")
+    invalid = (
+        F.when(ratio_col.isNull(), F.lit(None).cast("boolean"))
+        .when(mid == 0, F.lit(True))
+        .otherwise(F.abs(ratio_col - mid) / mid > F.lit(tolerance))
+    )
+    joined = salted_join(ratio, med, keys, _spread(df, salt_by, hz, kw))
+    return joined.withColumn("affinity_law_invalid", invalid)
 
 
 # ------------------------------------------------------------------ filters and guards

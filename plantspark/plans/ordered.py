@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from plantspark.functions.timefx import time_chunk
+
 WindowExpr = Callable[[WindowSpec], Column]
 
 
@@ -186,19 +188,24 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def fit_slice_seconds(
-    df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000, lengths: Sequence[int] = (86_400 * 30, 86_400, 3_600, 60, 1)
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    target_rows: int = 1_000_000,
+    lengths: Sequence[int] = (86_400 * 30, 86_400, 3_600, 60),
 ) -> int:
-    """The longest slice length for which no series has more than ``target_rows`` rows in a slice.
+    """The longest slice length for which no series has more than ``target_rows`` rows in a slice,
+    or the shortest length if none fits.
 
-    One aggregation at the shortest length, combined before the shuffle; only the maxima come back.
+    One read: rows are counted at the shortest length (combined before the shuffle), the counts are
+    summed up for the longer ones, and one maximum per length comes back.
     """
-    from plantspark.functions.timefx import time_chunk
-
     shortest = min(lengths)
     base = df.groupBy(*keys, time_chunk(ts, shortest).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    for length in sorted(lengths, reverse=True)[:-1]:
-        step = length // shortest
-        coarse = base.groupBy(*keys, F.floor(F.col("_s") / F.lit(step)).alias("_g")).agg(F.sum("_n").alias("_n"))
-        if (coarse.agg(F.max("_n")).first()[0] or 0) <= target_rows:
-            return length
-    return shortest
+    levels = base.withColumn("_len", F.explode(F.array(*[F.lit(x) for x in lengths])))
+    per_slice = levels.groupBy(*keys, "_len", F.floor(F.col("_s") * shortest / F.col("_len")).alias("_g")).agg(
+        F.sum("_n").alias("_n")
+    )
+    worst = {r["_len"]: r["_n"] for r in per_slice.groupBy("_len").agg(F.max("_n").alias("_n")).collect()}
+    fitting = [x for x in lengths if worst.get(x, 0) <= target_rows]
+    return max(fitting) if fitting else shortest

@@ -33,6 +33,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows as they come."""
+    return df.limit(n)
+
+
 def read_scenarios(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Historical weather rows (CSV or Parquet) as contexts for a batch of searches."""
     return spark.read.parquet(path) if path.rstrip("/").endswith("parquet") else read_csv(spark, path, schema)

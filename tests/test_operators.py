@@ -122,6 +122,8 @@ def test_affinity_ignores_standstill(spark):
     r = {x.kw: x.affinity_law_invalid for x in quality.affinity_check(df, "hz", "kw", ["k"]).collect()}
     assert r == {12.5: False, 6.4: False, 25.0: True, 1.0: None}
     assert quality.drop_invalid(quality.affinity_check(df, "hz", "kw", ["k"])).count() == 3
+    idle = spark.createDataFrame([("a", 50.0, 0.0), ("a", 50.0, 0.0), ("a", 50.0, 9.0)], "k string, hz double, kw double")
+    assert quality.affinity_check(idle, "hz", "kw", ["k"]).where("affinity_law_invalid").count() == 3
 
 
 def test_circuit_breaker(spark):
@@ -205,6 +207,8 @@ def test_rules(spark):
     assert got == [[], ["REQUIRES_VIOLATION"], ["MUTEX_VIOLATION"], []]
     audit = {r.rule_id: (r.violations, r.severity) for r in eq.audit_rules(df, rules).collect()}
     assert audit == {"r": (1, "HIGH"), "m": (1, "HIGH")}
+    rec = eq.audit_record(df, rules).first()
+    assert rec.constraints_applied == ["m", "r"] and rec.violations_detected == 2 and rec.violation_details == {"r": 1, "m": 1}
     valve = spark.createDataFrame([(6.0, 0), (4.0, 0), (6.0, 1)], "valve double, fan int")
     lock = eq.Rule("v", "requires", ["valve"], ["fan"], on_above=5.0)
     assert [r[0] for r in valve.select(lock.violated()).collect()] == [True, False, False]

@@ -102,7 +102,9 @@ def test_first_per_key_is_idempotent(series, rows):
 
 def test_fit_slice_seconds(series):
     assert fit_slice_seconds(series, ["k"], "ts", 10**6) == 86_400 * 30
-    assert fit_slice_seconds(series, ["k"], "ts", 5) < 86_400
+    assert fit_slice_seconds(series, ["k"], "ts", 5) == 60
+    dense = series.where("k = 'hot'").groupBy(F.window("ts", "1 day")).count().agg(F.max("count")).first()[0]
+    assert fit_slice_seconds(series.where("k = 'hot'"), ["k"], "ts", dense) >= 86_400
 
 
 def test_epoch_micros(spark):
