@@ -271,7 +271,8 @@ def split_future(df: DataFrame, baseline: datetime, minutes: int = 5, file: str
     rejected = (
         df.where(late).groupBy(file).agg(F.count(F.lit(1)).alias("n_future"), F.max(ts).alias("last_ts"))
     )
-    return df.join(rejected.select(file), file, "left_anti"), rejected
+    accepted = salted_join(df, rejected.select(file), [file], _spread(df, [ts, "row_no"], file), "left_anti")
+    return accepted, rejected
 
 
 def require_no_leakage(df: DataFrame, cutoff: datetime, ts: str = "ts") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.functions.text import glob_to_regex, snake_case
+from plantspark.plans.joins import salted_join
 
 # ---------------------------------------------------------------- fixed values
 
@@ -170,7 +171,8 @@ def enforce_annotation(readings: DataFrame, dim: DataFrame, policy: str = "error
     if policy == "warn":
         return readings
     if policy == "skip":
-        return readings.join(dim.select(name).distinct(), name, "left_semi")
+        spread = [c for c in readings.columns if c != name]
+        return salted_join(readings, dim.select(name).distinct(), [name], spread, "left_semi")
     unknown = [r[0] for r in readings.join(dim, name, "left_anti").select(name).distinct().limit(5).collect()]
     if unknown:
         raise ValueError(f"sensors without annotation: {unknown}")

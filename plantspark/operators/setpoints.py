@@ -13,6 +13,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantspark.plans.joins import salted_join
 from plantspark.plans.ordered import prefix
 
 Scorer = Callable[[Mapping[str, Column]], Column]
@@ -198,7 +199,7 @@ def unit_combinations(
     small = units.groupBy(plant).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_units)
     now = F.col(current).cast("int") if current else F.lit(0)
     packed = (
-        units.join(small.select(plant), plant, "left_semi")
+        salted_join(units, small.select(plant), [plant], [unit], "left_semi")
         .groupBy(plant)
         .agg(
             F.array_sort(
@@ -251,7 +252,7 @@ def greedy_order(
     cut = F.floor(F.col(kw_per_rt) / F.lit(slice_width)).cast("bigint")
     run = prefix(units, [plant], [kw_per_rt, unit], {"_cum": (capacity, "sum")}, cut)
     return (
-        run.join(targets, plant)
+        salted_join(run, targets, [plant], [unit], "inner")
         .withColumn("capacity_before", F.col("_cum") - F.col(capacity))
         .withColumn("is_on", F.col("capacity_before") < F.col("target_rt"))
         .drop("_cum")
@@ -324,7 +325,7 @@ def pareto_front(
     cut = F.floor(F.col(first) / F.lit(slice_width)).cast("bigint")
     before = prefix(with_key, keys, [first], {"_before": ("_value", "min")}, cut, include_current=False)
     front = before.where(F.col("_before").isNull() | (F.col(second) < F.col("_before"))).select(*keys, first, second)
-    return df.join(front, [*keys, first, second], "left_semi")
+    return salted_join(df, front, [*keys, first, second], df.columns, "left_semi")
 
 
 def what_if(

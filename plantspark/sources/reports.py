@@ -320,4 +320,4 @@ def require_readings(readings: DataFrame) -> DataFrame:
 def first_k_files(lines: DataFrame, k: int, file: str = "source_file") -> DataFrame:
     """Rows of the first ``k`` files by name; only the ``k`` names are joined back."""
     names = lines.select(file).distinct().orderBy(file).limit(k)
-    return lines.join(names, file, "left_semi")
+    return salted_join(lines, names, [file], ["line_no"] if "line_no" in lines.columns else lines.columns, "left_semi")
