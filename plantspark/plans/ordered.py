@@ -41,14 +41,14 @@ def windowed(
     ``lookback`` rows are evaluated again over the head and tail rows of all slices, which hold
     every row they can reach. Both branches read one shuffle.
     """
-    if chunk is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({n: f(w) for n, f in exprs.items()})
-    part = [*keys, "_slice"]
-    w_slice = Window.partitionBy(*part).orderBy(*order)
     w_series = Window.partitionBy(*keys).orderBy(*order)
+    if chunk is None:
+        return df.withColumns({n: f(w_series) for n, f in exprs.items()})
+    w_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
     sliced = df.withColumn("_slice", chunk)
-    is_head = F.lag(F.lit(1), lookback).over(w_slice).isNull()
+    # By rank, not by row number: rows with equal order columns share a rank, so both branches
+    # split the slice at the same place whatever order a sort gives to such rows.
+    is_head = F.rank().over(w_slice) <= lookback
     is_tail = F.lead(F.lit(1), lookback).over(w_slice).isNull()
     inner = sliced.withColumns({"_head": is_head, **{n: f(w_slice) for n, f in exprs.items()}}).where(~F.col("_head"))
     edge = (
@@ -126,7 +126,7 @@ def segments(
     """
     part = [*keys, "_slice"]
     ts = order[0]
-    w = Window.partitionBy(*part).orderBy(*order)
+    w = Window.partitionBy(*part).orderBy(*order, state)
     ends = (
         df.select(*keys, *order, state)
         .withColumn("_slice", chunk)

@@ -100,6 +100,22 @@ def test_first_per_key_is_idempotent(series, rows):
     assert once.count() == series.select("k", "ts").distinct().count()
 
 
+def test_ties_and_copies_lose_no_row(spark, rows):
+    """Many rows share their order columns, some are full copies."""
+    t0 = datetime(2024, 1, 1)
+    data = [("hot", t0 + timedelta(seconds=60 * (i % 7)), i % 3, float(i % 5)) for i in range(900)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, n long, v double").repartition(8)
+    exprs = {"first": lambda w: F.min("ts").over(w.rowsBetween(-3, 0)), "c": lambda w: F.count("v").over(w.rowsBetween(-3, 0))}
+    want = rows(windowed(df, ["k"], ["ts"], 3, exprs, None), "ts", "first", "c")
+    for seconds in (1, 60, 3600):
+        got = windowed(df, ["k"], ["ts"], 3, exprs, time_chunk("ts", seconds))
+        assert rows(got, "ts", "first", "c") == want
+        assert rows(got, *df.columns) == rows(df)
+    s = df.withColumn("state", F.when(F.col("v") > 2, "ON").otherwise("OFF"))
+    for seconds in (1, 60, 3600):
+        assert segments(s, ["k"], ["ts"], "state", time_chunk("ts", seconds)).agg(F.sum("n_rows")).first()[0] == 900
+
+
 def test_fit_slice_seconds(series):
     assert fit_slice_seconds(series, ["k"], "ts", 10**6) == 86_400 * 30
     assert fit_slice_seconds(series, ["k"], "ts", 5) == 60
