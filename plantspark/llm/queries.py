@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import lines, mixing, quality
-from plantspark.llm.common import table
+from plantspark.llm import langid, lines, mixing, pii, quality
+from plantspark.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# ------------------------------------------------------------------ language
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 # ------------------------------------------------------------------ lines
 
 LINES_SQL = f"""
@@ -56,6 +67,28 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+# ------------------------------------------------------------------ personal data
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are of the base spans, which the plain patterns define; ``spans`` also has the disguised ones."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(listed("base_spans"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+    )
+
+
 # ------------------------------------------------------------------ mixing
 
 MIX_SQL = """
