@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import decontam, langid, lines, mixing, pii, quality
+from plantspark.llm import decontam, langid, lines, mixing, neardup, pii, quality
 from plantspark.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_copies(docs, table(spark, sf_dir, "benchmark"))
 
 
+# ------------------------------------------------------------------ near-duplicates
+
+
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 # ------------------------------------------------------------------ mixing
 
 MIX_SQL = """
