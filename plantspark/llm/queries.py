@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import decontam, langid, lines, mixing, neardup, pii, quality
+from plantspark.llm import decontam, langid, lines, lm, mixing, neardup, pii, quality
 from plantspark.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_copies(docs, table(spark, sf_dir, "benchmark"))
 
 
+# ------------------------------------------------------------------ language model
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_texts(docs.withColumn("held_out", fold(F.col("doc_id"), 7) == 2))
+
+
 # ------------------------------------------------------------------ near-duplicates
 
 
