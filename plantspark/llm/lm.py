@@ -6,61 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantspark.llm.chunks import CHUNK_BYTES, pack, unpack
 from plantspark.llm.common import columns, cut
 from plantspark.llm.shingles import Words, mix
 
 #: Longest n-gram, and how many observations the shorter n-gram counts for.
 ORDER = 2
 PRIOR = 8.0
-#: Bytes of text that are counted and scored together.
-CHUNK_BYTES = 8 << 20
 #: The code of the end of a text, which also stands before its first word; no word has it.
 END = np.uint64(0x452821E638D01377)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-# ------------------------------------------------------------------ chunks of texts
-
-
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``chunk, body``: runs of rows of about ``chunk_bytes`` of text as compressed Arrow data. Needs no shuffle."""
-    at = docs.columns.index("text")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def body() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + seq]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
-
-        for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy()
-            start = 0
-            for i, n in enumerate(lengths):
-                size += int(n)
-                if size >= chunk_bytes:
-                    held.append(batch.slice(start, i + 1 - start))
-                    yield body()
-                    start, held, size, seq = i + 1, [], 0, seq + 1
-            if start < len(batch):
-                held.append(batch.slice(start))
-        if held:
-            yield body()
-
-    return docs.mapInArrow(scan, "chunk long, body binary")
-
-
-def unpack(body: bytes) -> pa.Table:
-    return pa.ipc.open_stream(body).read_all()
-
-
 class Grams:
     """The n-grams of a chunk: for each order their distinct codes, sorted, and where each position's is among them."""
 

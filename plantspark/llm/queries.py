@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import decontam, langid, lines, lm, mixing, neardup, pii, quality
+from plantspark.llm import decontam, langid, lines, lm, mixing, neardup, pii, quality, suffix
 from plantspark.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+# ------------------------------------------------------------------ repeated strings
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # ------------------------------------------------------------------ lines
 
 LINES_SQL = f"""
