@@ -200,10 +200,10 @@ def _label(texts: list[str | None], model: LanguageModel) -> Iterator[tuple[str,
         yield model.langs[best], float(mass[i, best] / mass[i].sum()), spans
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of rows of about ``CHUNK_WORDS`` words at six letters each; a longer text is a run of its own."""
     texts, room, start = [], CHUNK_WORDS * 6, 0
-    for i, text in enumerate(batch.column("text")):
+    for i, text in enumerate(column):
         text = text.as_py()
         if texts and room < len(text or ""):
             yield start, texts
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start, texts in _chunks(batch):
+            for start, texts in _chunks(batch.column("text")):
                 rows = list(_label(texts, m)) if m.langs else [("und", 0.0, [])] * len(texts)
                 lang, score, spans = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -245,3 +245,25 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         [d.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
     )
     return d.mapInArrow(scan, schema)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
+    """``docs`` with all its columns, without rows whose text has no letter or no language with ``min_score`` of them.
+
+    A text in two languages always has one with half of its letters, so it stays; a model that knows no language rejects only
+    texts without a letter. Nothing is shuffled.
+    """
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: list[str | None], m: LanguageModel) -> list[bool]:
+        if not m.langs:
+            return [bool(LETTERS.search(t or "")) for t in texts]
+        return [lang != "und" and score >= min_score for lang, score, _ in _label(texts, m)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in _chunks(batch.column(at)):
+                yield batch.slice(start, len(texts)).filter(pa.array(good(texts, shared.value), pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)

@@ -87,24 +87,26 @@ def schedule(weights: DataFrame, round_slots: int = ROUND) -> DataFrame:
     )
 
 
-def rank_in_source(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """``doc_id, source, rank`` (from 0) in the order of md5(doc_id): counts of hash ranges give each range its first rank.
+def rank_in_source(docs: DataFrame, ranges: int = RANGES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source``, the carried columns and ``rank`` (from 0) in the order of md5(doc_id): counts of hash ranges give each range its first rank.
 
     So the rows of one source are never sorted in one task, however large its share.
     """
-    d = columns(docs, "doc_id", "source").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    d = columns(docs, "doc_id", "source", *carry).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     d = d.withColumn("part", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int"))
     sizes = d.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("h", "doc_id")) - 1
-    ranked = d.select("doc_id", "source", "part", inside.alias("inside"))
+    ranked = d.select("doc_id", "source", *carry, "part", inside.alias("inside"))
     joined = ranked.join(first, ranked["source"].eqNullSafe(first["s"]) & (ranked["part"] == first["p"]))
-    return joined.select("doc_id", "source", (F.col("first") + F.col("inside")).cast("long").alias("rank"))
+    return joined.select("doc_id", "source", *carry, (F.col("first") + F.col("inside")).cast("long").alias("rank"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, round_slots: int = ROUND) -> DataFrame:
-    """``doc_id, source, block, release, deadline, slot, position`` for every row of ``docs``.
+def mix(
+    docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, round_slots: int = ROUND, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc_id, source, block, release, deadline, slot, position`` for every row of ``docs``, with the columns to carry.
 
     Blocks of ``block`` rows of a source, in the order of a hash of ``doc_id``, follow the schedule, round after
     round; reading by ``position`` gives each source its weight while it lasts, and the others keep
@@ -119,7 +121,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, r
         given = columns(weights, "source", "weight").select(F.col("source").alias("g"), "weight")
         weights = found.select("source").join(given, F.col("source").eqNullSafe(F.col("g")), "left")
         weights = weights.groupBy("source").agg(F.greatest(F.lit(1), F.coalesce(F.max("weight"), F.lit(1))).alias("weight"))
-    ranked = rank_in_source(docs).withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    ranked = rank_in_source(docs, carry=carry).withColumn("block", F.floor(F.col("rank") / block).cast("long"))
     plan = schedule(weights, round_slots)
     quotas = plan.where("nth = 0").select(F.col("source").alias("qs"), "quota", "slots")
     ranked = ranked.join(quotas, F.col("source").eqNullSafe(F.col("qs"))).drop("qs")
@@ -129,6 +131,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, r
     return placed.select(
         "doc_id",
         "source",
+        *carry,
         "block",
         F.floor(F.col("block") * F.col("slots") / F.col("quota")).cast("long").alias("release"),
         F.ceil((F.col("block") + 1) * F.col("slots") / F.col("quota")).cast("long").alias("deadline"),

@@ -80,8 +80,8 @@ def registers(sets: list[np.ndarray], m: int, probes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, band: Banding, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, cls, regs``: a 128-bit hash of the sorted set and the registers (null without words)."""
-    d = columns(docs, "doc_id", "text")
+    """``doc_id, text_hash, n_shingles, cls, regs``: a 128-bit hash of the sorted set and the registers (null without words)."""
+    d = columns(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_table(band.registers)
@@ -93,15 +93,16 @@ def signatures(docs: DataFrame, band: Banding, shingle: int = SHINGLE) -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "cls", "regs"],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "regs"],
             )
 
     schema = T.StructType(
-        [d.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("regs", T.BinaryType())]
+        [d.schema["doc_id"], d.schema["text_hash"], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("regs", T.BinaryType())]
     )
     return d.mapInArrow(scan, schema)
 
@@ -169,7 +170,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, band: Bandi
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for every row of ``docs``.
 
     Rows with the same set are one class. Classes that share a band are compared: first each with the most
     typical class of the band (the one whose bands are fullest), then, across what is still apart after joining
@@ -212,6 +213,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     named = classes.select("cls", "id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_class = named.join(names, "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with all its columns, one document of each group of near-duplicates; of repeated rows one stays, too."""
+    found = near_duplicates(docs, percent, shingle).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("_llm_kept"), F.count("*").alias("_llm_rows"))
+    found = found.withColumnsRenamed({"doc_id": "_llm_doc", "text_hash": "_llm_text"})
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_doc")) & (F.xxhash64("text") == F.col("_llm_text"))
+    kept = docs.join(found, same).where("_llm_kept")
+    once = kept.where("_llm_rows = 1").select(docs.columns)
+    return once.unionAll(kept.where("_llm_rows > 1").dropDuplicates(["doc_id", "text"]).select(docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import decontam, langid, lines, lm, mixing, neardup, pii, quality, suffix
+from plantspark.llm import chat, decontam, langid, lines, lm, mixing, neardup, pii, quality, suffix
 from plantspark.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,52 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+# ------------------------------------------------------------------ chat formatting
+
+#: The tools that the derived conversations call.
+TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query", "limit"], "additionalProperties": False},
+    "count": {"properties": {"text": {"type": "string"}, "unit": {"enum": ["word", "character"]}}, "required": ["text"]},
+}
+
+
+def tool_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` with each user turn as a call and each reply to one as its result.
+
+    The table holds no calls, so they are made from its whole rows: the tool, its arguments (some outside
+    their schema) and what a call needs follow from the row. System turns stay messages.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    h = F.crc32(F.concat_ws(":", "conv_id", "turn"))
+
+    def name(turn: Column) -> Column:
+        return F.concat_ws("-", F.lit("call"), "conv_id", turn)
+
+    need = F.when(F.col("turn") >= 2, F.array(F.when(h % 7 == 0, name(F.col("turn") + 2)).otherwise(name(F.col("turn") - 2))))
+    search = F.struct(F.col("text").alias("query"), (F.char_length("text") % 130).alias("limit"))
+    count = F.struct(F.when(h % 5 > 0, F.col("text")).alias("text"), F.when(h % 3 == 0, F.lit("word")).when(h % 3 == 1, F.lit("line")).alias("unit"))
+
+    def call(tool: str, arguments: Column) -> Column:
+        one = F.struct(name(F.col("turn")).alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"), need.alias("after"))
+        return F.to_json(F.struct(F.array(one).alias("tool_calls")))
+
+    reply = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    text = (
+        F.when((F.col("role") == "user") & (h % 2 == 0), call("search", search))
+        .when(F.col("role") == "user", call("count", count))
+        .when(F.col("role") == "assistant", reply)
+        .otherwise(F.col("text"))
+    )
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return c.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+@query("op4_chat_format")
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link_tool_calls(tool_conversations(spark, sf_dir), TOOLS)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
 # ------------------------------------------------------------------ personal data
 
 
@@ -121,7 +167,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_near_duplicates")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).drop("text_hash")
 
 
 # ------------------------------------------------------------------ mixing
