@@ -106,13 +106,15 @@ PLUS = "plus|más"
 WRAPPED_AT = rf"\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*"
 WRAPPED_DOT = rf"\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
 LABEL = r"[A-Za-z0-9-]+"
+#: Last labels that make "x at y dot z" without brackets an address.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|ai|me|tv|eu|uk|us|ca|au|de|at|ch|fr|be|es|mx|ar|it|nl|pl|pt|br|ru|jp|cn|in"
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 #: At least three spelled digits, with digits, dots and a plus between or before them.
 NUMBER_RUN = re.compile(rf"(?i)(?:(?:\b(?:{PLUS})\b|\+)[\s,-]*)?(?:(?:\b(?:{_NUMBER}|{DOT})\b|[0-9]+|\.)[\s,-]*)*\b(?:{_NUMBER})\b(?:[\s,-]*(?:\b(?:{_NUMBER}|{DOT})\b|[0-9]+|\.))*")
 NUMBER_HINT = re.compile(rf"(?i)\b(?:{_NUMBER})\b(?:[\s,.-]+(?:(?:{DOT})\b[\s,-]*)?(?:{_NUMBER})\b){{2}}")
 NUMBER_TOKEN = re.compile(rf"(?i)\b(?:{_NUMBER}|{DOT}|{PLUS})\b|[0-9]|[.+]")
 ADDRESS = re.compile(
-    rf"(?i)(?:(?P<wrapped_at>{WRAPPED_AT})|(?P<bare_at>(?<=[a-z0-9])\s+(?:{AT})\s+(?={LABEL}(?:\s+(?:{DOT})\s+{LABEL})+))|(?P<wrapped_dot>{WRAPPED_DOT})|(?P<bare_dot>(?<=[a-z0-9])\s+(?:{DOT})\s+(?=[a-z0-9])))"
+    rf"(?i)(?:(?P<wrapped_at>{WRAPPED_AT})|(?P<bare_at>(?<=[a-z0-9])\s+(?:{AT})\s+(?={LABEL}(?:\s+(?:{DOT})\s+{LABEL})*\s+(?:{DOT})\s+(?:{ENDINGS})\b))|(?P<wrapped_dot>{WRAPPED_DOT})|(?P<bare_dot>(?<=[a-z0-9])\s+(?:{DOT})\s+(?=[a-z0-9])))"
 )
 
 
