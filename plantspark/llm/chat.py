@@ -184,19 +184,20 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
         F.when(F.col("first_result").isNotNull(), _key("first_result.turn")).alias("rk"),
     )
     longest = edges.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    keys = cut(keys.withColumn("rk", F.when(F.col("rk").isNotNull() & F.col("ck").isNotNull(), F.greatest("rk", _later(F.col("ck")))).otherwise(F.col("rk"))).withColumn("moved", F.lit(True)))
+    keys = cut(keys.withColumn("rk", F.when(F.col("rk").isNotNull() & F.col("ck").isNotNull(), F.greatest("rk", _later(F.col("ck")))).otherwise(F.col("rk"))).withColumns({"moved": F.lit(True), "circle": F.lit(False)}))
     rounds = 0
-    while rounds <= longest + 1 and edges.take(1) and keys.where("moved").take(1):
+    # A chain is in place after a round for each need; what moves in as many rounds more is in a circle or behind one.
+    while rounds < 2 * (longest + 2) and edges.take(1) and keys.where("moved").take(1):
         ahead = keys.where("moved").select("conv_id", F.col("call_id").alias("need"), "rk")
         least = edges.alias("e").join(ahead.alias("a"), F.expr("e.conv_id <=> a.conv_id AND e.need = a.need")).groupBy("e.conv_id", "e.call_id").agg(F.max(_later(F.col("rk"))).alias("least"))
         now = keys.alias("k").join(least.alias("l"), _same("k", "l"), "left").select(
-            "k.conv_id", "k.call_id", F.when(F.col("least") > F.col("ck"), F.col("least")).otherwise(F.col("ck")).alias("ck"), "rk", F.coalesce(F.col("least") > F.col("ck"), F.lit(False)).alias("moved")
-        )
+            "k.conv_id", "k.call_id", F.when(F.col("least") > F.col("ck"), F.col("least")).otherwise(F.col("ck")).alias("ck"), "rk", F.coalesce(F.col("least") > F.col("ck"), F.lit(False)).alias("moved"), "circle"
+        ).withColumn("circle", F.col("circle") | F.col("moved") & F.lit(rounds > longest + 1))
         keys = cut(now.withColumn("rk", F.when(F.col("moved") & F.col("rk").isNotNull(), F.greatest("rk", _later(F.col("ck")))).otherwise(F.col("rk"))))
         rounds += 1
     unmet = needs.where("NOT met").groupBy("conv_id", "call_id").agg(F.count("*").alias("unmet"))
     facts = keys.alias("k").join(pairs.alias("p"), _same("k", "p")).join(unmet.alias("u"), F.expr("k.conv_id <=> u.conv_id AND k.call_id = u.call_id"), "left")
-    facts = facts.select("k.conv_id", "k.call_id", "ck", "rk", "moved", "first_call", "first_result", "unmet").alias("f")
+    facts = facts.select("k.conv_id", "k.call_id", "ck", "rk", "circle", "first_call", "first_result", "unmet").alias("f")
     x = e.alias("e").join(facts, _same("e", "f"), "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     first_call = call & (F.col("event") == F.col("first_call.event"))
@@ -211,7 +212,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
             F.when(first_call & F.col("first_result").isNull(), F.lit("call without result")),
             F.when(first_result & F.col("first_call").isNull(), F.lit("result without call")),
             F.when(first_call & (F.col("unmet") > 0), F.lit("unknown need")),
-            F.when(first_call & F.col("moved") & F.lit(rounds > longest + 1), F.lit("needs in a circle")),
+            F.when(first_call & F.col("circle"), F.lit("needs in a circle")),
         ),
         lambda p: p.isNotNull(),
     )
