@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.llm import decontam, langid, lines, mixing, neardup
-from plantspark.llm.common import cut, fold, table
+from plantspark.llm.common import cut, fold, keep_columns, table
 
 #: The near-duplicate and the order stage have no SQL; the tests compare the rows with a plain Python version.
 ORACLE_SQL = None
@@ -34,10 +34,12 @@ def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their block, slot and position, written in the order to be read."""
-    carried = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    placed = mixing.mix(docs, carry=carried).select(*docs.columns, "block", "slot", "position")
-    return placed.repartitionByRange("position").sortWithinPartitions("position")
+    """All documents with their block, slot and position (columns of these names are replaced), in the order to be read."""
+    own = keep_columns(docs, ["block", "slot", "position"])
+    rest = F.struct(F.lit(0).alias("_llm"), *[c for c in own if c not in ("doc_id", "source")])
+    placed = mixing.mix(docs.select("doc_id", "source", rest.alias("_llm_rest")), carry=("_llm_rest",))
+    whole = placed.select(*[c if c in ("doc_id", "source") else f"_llm_rest.{c}" for c in own], "block", "slot", "position")
+    return whole.repartitionByRange("position").sortWithinPartitions("position")
 
 
 STAGES = [
