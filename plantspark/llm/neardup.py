@@ -169,12 +169,66 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, band: Bandi
     ).select("a", "b")
 
 
+#: Codes that more members of a hub than this have beyond it count as part of what the hub stands for.
+COMMON = 32
+
+
+def cross_pairs(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of members of one hub in different components that may still be similar enough.
+
+    A member is described against its hub's codes and those that many members have (together the core): the codes
+    it lacks, and the few it has beyond. Two members have at most the core codes of the poorer one in common, and beyond
+    the core only codes that occur twice. If they share neither a lacking code nor such a one, their common part is
+    exactly the core without both lacks. Pairs that these limits leave possible come out of joins on hub and code;
+    one side is always a stray, a member outside the hub's component, so finished groups cost nothing.
+    """
+
+    def enough(common: str) -> str:
+        return f"{100 + percent} * ({common}) >= {percent} * (na + nb) AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+    root = F.coalesce("root", F.col("node"))
+    at = roots.select(F.col("node").alias("m"), "root")
+    placed = star.join(at.withColumnRenamed("root", "root_m"), star["cls"] == F.col("m"), "left").select("hub", "cls", F.coalesce("root_m", "cls").alias("root"))
+    hubs = star.select("hub").distinct().withColumnRenamed("hub", "node").join(roots, "node", "left").select(F.col("node").alias("hub"), root.alias("hub_root"))
+    placed = placed.join(hubs, "hub").withColumn("stray", F.col("root") != F.col("hub_root"))
+    unfinished = placed.where("stray").select("hub").distinct()
+    placed = placed.join(unfinished, "hub", "left_semi")
+    both = placed.join(sets.select(F.col("cls").alias("hub"), F.col("codes").alias("core")), "hub").join(sets, "cls")
+    members = cut(
+        both.select(
+            "hub", "cls", "root", "stray", F.size("codes").alias("n"), F.size("core").alias("width"),
+            F.array_except("codes", "core").alias("extra"), F.array_except("core", "codes").alias("lack"),
+        )
+    )
+    beyond = members.select("hub", "cls", F.explode("extra").alias("code"))
+    counts = beyond.groupBy("hub", "code").agg(F.count("*").alias("having")).where("having > 1")
+    common = counts.where(F.col("having") > COMMON).groupBy("hub").agg(F.collect_set("code").alias("common"))
+    twice = beyond.join(counts.where(F.col("having") <= COMMON).drop("having"), ["hub", "code"]).groupBy("hub", "cls").agg(F.collect_list("code").alias("twice"))
+    none = F.array().cast("array<bigint>")
+    m = members.join(common, "hub", "left").join(twice, ["hub", "cls"], "left").withColumns({"common": F.coalesce("common", none), "twice": F.coalesce("twice", none)})
+    m = m.select("hub", "cls", "root", "stray", "n", (F.col("width") + F.size("common")).alias("width"), F.concat("lack", F.array_except("common", "extra")).alias("lack"), "twice")
+    m = m.withColumns({"have": F.col("width") - F.size("lack"), "shared": F.size("twice")})
+    m = cut(m.where(f"100 * (have + shared) >= {percent} * n"))
+
+    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+        return df.select("hub", F.col("cls").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("have").alias(f"h{s}"), F.col("shared").alias(f"s{s}"), *more)
+
+    strays = m.where("stray")
+    codes = F.explode(F.concat("twice", "lack")).alias("code")
+    by_code = side(strays, "a", codes).join(side(m, "b", codes), ["hub", "code"]).where(enough("least(ha, hb) + least(sa, sb)"))
+    # Apart everywhere: only members that lack little can be that near.
+    near = m.where(f"{100 + percent} * have >= {percent} * (n + {percent} * n / 100)")
+    apart = side(near.where("stray"), "a", "width").join(side(near, "b"), "hub").where(enough("ha + hb - width"))
+    pairs = by_code.select("a", "b").unionAll(apart.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash`` for every row of ``docs``.
 
-    Rows with the same set are one class. Classes that share a band are compared: first each with the most
-    typical class of the band (the one whose bands are fullest), then, across what is still apart after joining
-    the confirmed pairs, each pair of the band. Pairs that the registers leave possible are confirmed on their full sets
+    Rows with the same set are one class. Classes that share a band are compared: first each with the hub of the
+    band, its most typical class (whose bands are fullest), then those that are still apart after joining the confirmed
+    pairs, see :func:`cross_pairs`. Pairs that the registers leave possible are confirmed on their full sets
     (100 * common >= ``percent`` * all). ``component_id`` is the smallest ``doc_id`` that links reach, and
     that document is kept. Null and texts without words are linked with nothing; a null ``doc_id`` is never a
     component's name unless all of it is null; rows with the same ``doc_id`` and text share their result.
@@ -194,20 +248,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     rows = cut(rows.join(shared, "key"))
     typical = rows.groupBy("cls").agg(F.sum("members").alias("typical"))
     leaders = rows.join(typical, "cls").groupBy("key").agg(F.max_by("cls", F.struct("typical", "cls")).alias("a"))
-    star = rows.join(leaders, "key").where("cls <> a").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    star = cut(rows.join(leaders, "key").where("cls <> a").select(F.col("a").alias("hub"), "cls").distinct())
+    pairs = star.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
     wanted = rows.select("cls").distinct().join(classes, "cls").select("id").distinct()
     texts = d.join(wanted, d["doc_id"].eqNullSafe(wanted["id"]), "left_semi")
     sets = sets_of(texts, shingle).join(rows.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     sets = cut(sets)
-    star = cut(star)
-    links = cut(confirmed(star, classes, sets, band, percent))
+    links = cut(confirmed(pairs, classes, sets, band, percent))
     joined = components(links)
-    placed = rows.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    split = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    open_rows = cut(placed.join(split, "key").select("key", "cls", "n", "root"))
-    one = open_rows.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = open_rows.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = one.join(two, "key").where("a < b AND ra <> rb").where(_size_fits(percent)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = cross_pairs(star, joined, sets, percent).join(pairs, ["a", "b"], "left_anti")
     more = cut(confirmed(rest, classes, sets, band, percent))
     roots = components(links.unionAll(more)) if more.take(1) else joined
     named = classes.select("cls", "id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

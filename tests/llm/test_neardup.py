@@ -91,3 +91,15 @@ def test_components(spark):
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in parent}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_group_of_copies_that_are_mostly_apart(docs):
+    """Copies with up to six edits of one text: only few pairs are near, and some link through shared edits alone."""
+    base = prose(5, 160)
+    rows = [(i, edited(base, 50 + i, i % 7)) for i in range(1, 120)]
+    for k in range(6):
+        far = edited(base, 900 + k, 8)
+        rows += [(300 + 10 * k + j, edited(far, 1000 + j, 1)) for j in range(4)]
+    for part in (rows, [r for r in rows if r[0] % 7]):
+        got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs(part), 85).collect())
+        assert got == sorted((d, c) for (d, _), (_, c) in zip(part, plain.near_groups(part, 85), strict=True))
