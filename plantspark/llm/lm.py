@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantspark.llm.chunks import CHUNK_BYTES, pack, unpack
+from plantspark.llm.chunks import CHUNK_BYTES, cuts_of, pack, restore, squeeze, total_bytes, unpack
 from plantspark.llm.common import columns, cut
 from plantspark.llm.shingles import Words, mix
 
@@ -49,22 +49,6 @@ class Grams:
             self.full.append(full)
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Whole numbers with their bytes sorted by rank, compressed."""
-    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), "zstd", asbytes=True)
-
-
-def _restore(data: bytes, n: int, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, n).T).reshape(-1).view(kind)
-
-
-def _cuts(codes: np.ndarray, parts: int) -> np.ndarray:
-    edges = [(k << 64) // parts for k in range(1, parts)]
-    return np.concatenate([[0], np.searchsorted(codes, np.array(edges, np.uint64)), [len(codes)]]).astype(np.int64)
-
-
 REQUEST = "chunk long, part int, n_order int, n long, codes binary, counts binary"
 
 
@@ -81,11 +65,11 @@ def requests(chunks: DataFrame, order: int, parts: int) -> DataFrame:
                 for k in range(order):
                     learned = train[grams.text[grams.full[k]]]
                     counts = np.bincount(grams.at[k][learned], minlength=len(grams.codes[k])).astype(np.uint32)
-                    cuts = _cuts(grams.codes[k], parts)
+                    cuts = cuts_of(grams.codes[k], parts)
                     for part in np.flatnonzero(np.diff(cuts)):
                         a, b = cuts[part], cuts[part + 1]
                         steps = np.diff(grams.codes[k][a:b], prepend=np.uint64(0))
-                        out.append((chunk, int(part), k + 1, int(b - a), _squeeze(steps), _squeeze(counts[a:b])))
+                        out.append((chunk, int(part), k + 1, int(b - a), squeeze(steps), squeeze(counts[a:b])))
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
@@ -105,10 +89,10 @@ def tallies(asked: DataFrame) -> DataFrame:
 
     def total(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        codes = [np.cumsum(_restore(r["codes"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
+        codes = [np.cumsum(restore(r["codes"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
         every = np.concatenate(codes)
         own, at = np.unique(every, return_inverse=True)
-        counts = np.concatenate([_restore(r["counts"], r["n"], np.uint32) for r in rows])
+        counts = np.concatenate([restore(r["counts"], r["n"], np.uint32) for r in rows])
         sums = np.bincount(at, counts, minlength=len(own)).astype(np.uint64)
         ends = np.cumsum([0, *(r["n"] for r in rows)])
         word = rows[0]["n_order"] == 1
@@ -119,7 +103,7 @@ def tallies(asked: DataFrame) -> DataFrame:
                 "part": pa.array([r["part"] for r in rows], pa.int32()),
                 "n_order": pa.array([r["n_order"] for r in rows], pa.int32()),
                 "n": pa.array([r["n"] for r in rows], pa.int64()),
-                "totals": pa.array([_squeeze(sums[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
+                "totals": pa.array([squeeze(sums[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
                 "tokens": pa.array([s[0] for s in stats], pa.int64()),
                 "types": pa.array([s[1] for s in stats], pa.int64()),
             }
@@ -166,8 +150,7 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", order: int = ORDER,
     identifiers are carried, further columns ignored; an empty table gives an empty result.
     """
     d = columns(docs, "doc_id", "text", held_out).toDF("doc_id", "text", "held_out").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
-    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // chunk_bytes))
+    parts = max(1, -(-total_bytes(d) // chunk_bytes))
     chunks = cut(pack(d, chunk_bytes))
     answers = cut(tallies(requests(chunks, order, parts)))
     tokens, types = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
@@ -175,7 +158,7 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", order: int = ORDER,
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         replies = sorted(right.select(["n_order", "part", "n", "totals"]).to_pylist(), key=lambda r: (r["n_order"], r["part"]))
-        totals = [np.concatenate([_restore(r["totals"], r["n"], np.uint64) for r in replies if r["n_order"] == k] or [np.zeros(0, np.uint64)]) for k in range(1, order + 1)]
+        totals = [np.concatenate([restore(r["totals"], r["n"], np.uint64) for r in replies if r["n_order"] == k] or [np.zeros(0, np.uint64)]) for k in range(1, order + 1)]
         for body in left["body"].to_pylist():
             rows = unpack(body)
             grams = Grams(rows, order)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantspark.llm.chunks import pack, unpack
+from plantspark.llm.chunks import CHUNK_BYTES, cuts_of, pack, restore, squeeze, total_bytes, unpack
 from plantspark.llm.common import columns, cut
 from plantspark.llm.shingles import mix
 
@@ -92,28 +92,126 @@ def _texts(body: bytes) -> list[bytes]:
     return [(t or "").encode() for t in unpack(body)["text"].to_pylist()]
 
 
-SAMPLED = "chunk long, row int, first int, last int, position int, seed long, around binary"
+class Samples:
+    """The samples of a chunk, its distinct surroundings by 128-bit hash and its distinct seeds, both sorted."""
 
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        found = list(surroundings(texts, width))
+        self.places = [x[:4] for x in found]
+        digests = b"".join(xxhash.xxh3_128_digest(texts[r][a : b + width], p - a) for r, a, b, p, _ in found)
+        around = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        order = np.lexsort((around[:, 1], around[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (around[order[1:]] != around[order[:-1]]).any(axis=1)
+        self.first = order[new]  # the first place of each surrounding (the sort is stable)
+        self.around = around[self.first]
+        self.kind = np.empty(len(order), np.int64)  # of each sample, its surrounding
+        self.kind[order] = np.cumsum(new) - 1
+        self.times = np.bincount(self.kind, minlength=len(self.first))
+        seeds = np.array([x[4] for x in found], np.int64).view(np.uint64)[self.first]
+        self.seeds, self.seed = np.unique(seeds, return_inverse=True)  # of each surrounding, its seed
 
-def sampled(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every sample of the corpus with a 128-bit hash of the bytes its runs cover."""
+
+REQUEST = "chunk long, part int, kind int, n long, codes binary, one binary, two binary"
+
+
+def requests(chunks: DataFrame, parts: int, width: int) -> DataFrame:
+    """What each chunk asks about: its surroundings with their number (kind 0), its seeds with the least and
+    greatest surrounding of each (kind 1), in ranges of the hash. However common, each comes once from a chunk."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                texts = _texts(body)
-                rows, around = [], []
-                for x in surroundings(texts, width):
-                    rows.append(x)
-                    r, a, b, p, _ = x
-                    around.append(xxhash.xxh3_128_digest(texts[r][a : b + width], p - a))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 4 + [pa.int64()], strict=True)), pa.array(around, pa.binary())],
-                    names=["chunk", "row", "first", "last", "position", "seed", "around"],
-                )
+                s = Samples(_texts(body), width)
+                if not len(s.first):
+                    continue
+                by_seed = np.argsort(s.seed, kind="stable")
+                starts = np.searchsorted(s.seed[by_seed], np.arange(len(s.seeds)))
+                low, high = (f.reduceat(s.around[by_seed, 0], starts) for f in (np.minimum, np.maximum))
+                out = []
+                for kind, codes, one, two in ((0, s.around[:, 0], s.around[:, 1], np.minimum(s.times, 2).astype(np.uint8)), (1, s.seeds, low, high)):
+                    cuts = cuts_of(codes, parts)
+                    for part in np.flatnonzero(np.diff(cuts)):
+                        a, b = cuts[part], cuts[part + 1]
+                        steps = np.diff(codes[a:b], prepend=np.uint64(0))
+                        out.append((chunk, int(part), kind, int(b - a), *map(squeeze, (steps, one[a:b], two[a:b]))))
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["chunk", "part", "kind", "n", "codes", "one", "two"])
+
+    return chunks.mapInArrow(scan, REQUEST)
+
+
+TWICE, CHOSEN = 1, 2
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """``chunk, part, kind, n, flags`` in the order asked. Surroundings: occurs twice, and one chunk is chosen to show it.
+    Seeds: have several surroundings. A range of hashes is a group of about a chunk's size."""
+
+    def decide(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        kind = rows[0]["kind"]
+        codes = np.concatenate([np.cumsum(restore(r["codes"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
+        one = np.concatenate([restore(r["one"], r["n"], np.uint64) for r in rows])
+        two = np.concatenate([restore(r["two"], r["n"], np.uint64 if kind else np.uint8) for r in rows])
+        order = np.argsort(codes, kind="stable") if kind else np.lexsort((one, codes))
+        new = np.ones(len(order), bool)
+        new[1:] = codes[order[1:]] != codes[order[:-1]]
+        if kind == 0:
+            new[1:] |= one[order[1:]] != one[order[:-1]]
+        starts = np.flatnonzero(new)
+        if kind == 0:
+            many = np.add.reduceat(two[order].astype(np.int64), starts) > 1
+        else:
+            many = np.minimum.reduceat(one[order], starts) != np.maximum.reduceat(two[order], starts)
+        flags = np.empty(len(order), np.uint8)
+        flags[order] = many[np.cumsum(new) - 1] * TWICE + new * CHOSEN
+        ends = np.cumsum([0, *(r["n"] for r in rows)])
+        named = {c: pa.array([r[c] for r in rows], t) for c, t in (("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()))}
+        return pa.table(named | {"flags": pa.array([squeeze(flags[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+
+    return asked.groupBy("part", "kind").applyInArrow(decide, "chunk long, part int, kind int, n long, flags binary")
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching ranges made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
 
-    return chunks.mapInArrow(scan, SAMPLED)
+FOUND = "chunk long, row int, start int, end int, seed long, before binary, after binary"
+_FOUND = pa.schema([("chunk", pa.int64()), *((c, pa.int32()) for c in ("row", "start", "end")), ("seed", pa.int64()), ("before", pa.binary()), ("after", pa.binary())])
+
+
+def known_and_open(chunks: DataFrame, replies: DataFrame, width: int) -> DataFrame:
+    """Spans that surroundings occurring twice cover (``before`` is null), and one row of bytes for each surrounding
+    whose seed has others, with ``start`` the sample's position and ``end`` whether it occurs once (1) or is covered (0)."""
+
+    def split(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        replied = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["part"]))
+        flags = [np.concatenate([restore(r["flags"], r["n"], np.uint8) for r in replied if r["kind"] == k] or [np.zeros(0, np.uint8)]) for k in (0, 1)]
+        for chunk, body in zip(left["chunk"].to_pylist(), left["body"].to_pylist(), strict=True):
+            texts = _texts(body)
+            s = Samples(texts, width)
+            twice = (flags[0] & TWICE) > 0
+            covered: dict[int, list[tuple[int, int]]] = {}
+            for i in np.flatnonzero(twice[s.kind]).tolist() if len(s.kind) else ():
+                r, a, b, _ = s.places[i]
+                covered.setdefault(r, []).append((a, b + width))
+            rows += [(chunk, r, a, b, None, None, None) for r, own in covered.items() for a, b in merged(own)]
+            for k in np.flatnonzero(((flags[0] & CHOSEN) > 0) & ((flags[1][s.seed] & TWICE) > 0)).tolist() if len(s.kind) else ():
+                r, a, b, p = s.places[s.first[k]]
+                seed = int(s.seeds[s.seed[k]].astype(np.int64))
+                rows.append((chunk, r, p, int(not twice[k]), seed, texts[r][a:p], texts[r][p : b + width]))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, _FOUND.types, strict=True)], schema=_FOUND)
+
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(split, FOUND)
 
 
 # ------------------------------------------------------------------ induction
@@ -194,9 +292,11 @@ def induced_spans(open_rows: DataFrame, width: int = WIDTH) -> DataFrame:
             out = []
             for i in np.flatnonzero(twice.any(axis=1)):
                 r = rows[i]
+                if not r["end"]:  # covered as it is
+                    continue
                 edge = np.flatnonzero(np.diff(np.r_[0, twice[i].astype(np.int8), 0]))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    out.append((r["chunk"], r["row"], r["position"] - (b - 1), r["position"] - a + width))
+                    out.append((r["chunk"], r["row"], r["start"] - (b - 1), r["start"] - a + width))
             return _spans(out)
 
         held: list[dict] = []
@@ -220,7 +320,7 @@ def hashed_spans(open_rows: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 data = r["before"] + r["after"]
-                start = r["position"] - len(r["before"])
+                start = r["start"] - len(r["before"])
                 runs = range(len(data) - width + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -240,31 +340,15 @@ def hashed_spans(open_rows: DataFrame, width: int = WIDTH) -> DataFrame:
 # ------------------------------------------------------------------ the operator
 
 
-def repeated_spans(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_spans(chunks: DataFrame, parts: int, width: int = WIDTH) -> DataFrame:
     """``chunk, row, start, end`` of byte ranges that only runs occurring twice cover; ranges may overlap."""
-    every = cut(sampled(chunks, width))
-    place = F.struct("chunk", "row", "first", "last", "position")
-    kinds = every.groupBy("around").agg(F.count("*").alias("n"), F.min("seed").alias("seed"), F.min(place).alias("place"))
-    copies = every.join(kinds.where("n > 1").select("around"), "around", "left_semi")
-    whole = copies.select("chunk", "row", F.col("first").alias("start"), (F.col("last") + width).cast("int").alias("end"))
-    several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    unsure = kinds.join(several, "seed").select("seed", "kinds", "n", "place.*")
-
-    def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("chunk", "row", "position", "seed", "kinds", "before", "after")}
-        for body in left["body"].to_pylist():
-            texts = _texts(body)
-            for r in right.to_pylist():
-                data = texts[r["row"]]
-                for c in ("chunk", "row", "position", "seed", "kinds"):
-                    out[c].append(r[c])
-                out["before"].append(data[r["first"] : r["position"]])
-                out["after"].append(data[r["position"] : r["last"] + width])
-        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("position", pa.int32()), ("seed", pa.int64()), ("kinds", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]))
-
-    known = chunks.groupBy("chunk").cogroup(unsure.groupBy("chunk"))
-    rows = cut(known.applyInArrow(fetch, "chunk long, row int, position int, seed long, kinds long, before binary, after binary"))
-    small, large = rows.where(F.col("kinds") <= GROUP_ROWS), rows.where(F.col("kinds") > GROUP_ROWS)
+    replies = cut(answers(requests(chunks, parts, width)))
+    found = cut(known_and_open(chunks, replies, width))
+    whole = found.where("before IS NULL").select("chunk", "row", "start", "end")
+    rows = found.where("before IS NOT NULL")
+    hot = rows.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("seed", F.lit(True).alias("hot"))
+    rows = rows.join(hot, "seed", "left")
+    small, large = rows.where("hot IS NULL").drop("hot"), rows.where("hot").drop("hot")
     return whole.unionAll(induced_spans(small, width)).unionAll(hashed_spans(large, width))
 
 
@@ -278,8 +362,9 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     if width < SEED:
         raise ValueError(f"width must be {SEED} at least")
-    chunks = cut(pack(columns(docs, "doc_id", "text")))
-    spans = repeated_spans(chunks, width)
+    own = columns(docs, "doc_id", "text")
+    chunks = cut(pack(own))
+    spans = repeated_spans(chunks, max(1, -(-total_bytes(own) // CHUNK_BYTES)), width)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         by_row: dict[int, list[tuple[int, int]]] = {}
@@ -291,14 +376,9 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             texts = [(t or "").encode() for t in rows["text"].to_pylist()]
             gone, kept = [], []
             for i, text in enumerate(texts):
-                merged: list[list[int]] = []
-                for a, b in sorted(by_row.get(i, ())):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                gone.append([{"start": a, "end": b} for a, b in merged])
-                ends = [0, *(x for m in merged for x in m), len(text)]
+                removed = merged(by_row.get(i, []))
+                gone.append([{"start": a, "end": b} for a, b in removed])
+                ends = [0, *(x for span in removed for x in span), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
             out.append(
                 pa.table(
