@@ -144,6 +144,19 @@ def _later(key: Column) -> Column:
     return F.struct(key["turn"].alias("turn"), (key["depth"] + 1).alias("depth"))
 
 
+def _circles(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """``conv_id, call_id`` of the calls that need each other in a circle, or need one: what is left when calls that need none
+    of the others are taken away again and again."""
+    some = calls.select("conv_id", "call_id")
+    left = edges.alias("e").join(some.alias("c"), _same("e", "c"), "left_semi")
+    n = None
+    while True:
+        left = cut(left.alias("e").join(some.alias("c"), F.expr("e.conv_id <=> c.conv_id AND e.need = c.call_id"), "left_semi"))
+        some = left.select("conv_id", "call_id").distinct()
+        if (before := n) == (n := left.count()):
+            return some
+
+
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     """``conv_id, turn, seq, kind, call_id, order_turn, order_depth, linked, valid, problems, body``: a row for each event.
 
@@ -152,7 +165,8 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
     a call, arguments that break their schema, and needs that are unknown or go round in a circle.
     Reading a conversation by ``order_turn, order_depth, turn, seq`` is a topological order: turns as given, but a result
     follows its call and a call the results it needs. Rows, not conversations, are the unit of work, so a
-    conversation may be of any size; rounds go with the longest chain of events that stand too early.
+    conversation may be of any size; rounds go with the longest chain of events that stand too early. What needs a circle
+    may count as part of it.
     A null conversation is one, a null turn comes first, a null text is a message without content; rows
     alike are the same event twice. Further columns are ignored.
     """
@@ -183,18 +197,23 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
         F.when(F.col("first_call").isNotNull(), _key("first_call.turn")).alias("ck"),
         F.when(F.col("first_result").isNotNull(), _key("first_result.turn")).alias("rk"),
     )
-    longest = edges.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    keys = cut(keys.withColumn("rk", F.when(F.col("rk").isNotNull() & F.col("ck").isNotNull(), F.greatest("rk", _later(F.col("ck")))).otherwise(F.col("rk"))).withColumns({"moved": F.lit(True), "circle": F.lit(False)}))
-    rounds = 0
-    # A chain is in place after a round for each need; what moves in as many rounds more is in a circle or behind one.
-    while rounds < 2 * (longest + 2) and edges.take(1) and keys.where("moved").take(1):
+    start = F.when(F.col("rk").isNotNull() & F.col("ck").isNotNull(), F.greatest("rk", _later(F.col("ck")))).otherwise(F.col("rk"))
+    keys = cut(keys.withColumn("rk", start).withColumns({"moved": F.lit(True), "active": F.lit(False), "circle": F.lit(False)}))
+    rounds, limit = 0, 8
+    while edges.take(1) and keys.where("moved").take(1):
         ahead = keys.where("moved").select("conv_id", F.col("call_id").alias("need"), "rk")
         least = edges.alias("e").join(ahead.alias("a"), F.expr("e.conv_id <=> a.conv_id AND e.need = a.need")).groupBy("e.conv_id", "e.call_id").agg(F.max(_later(F.col("rk"))).alias("least"))
+        later = F.coalesce((F.col("least") > F.col("ck")) & ~F.col("circle"), F.lit(False))
         now = keys.alias("k").join(least.alias("l"), _same("k", "l"), "left").select(
-            "k.conv_id", "k.call_id", F.when(F.col("least") > F.col("ck"), F.col("least")).otherwise(F.col("ck")).alias("ck"), "rk", F.coalesce(F.col("least") > F.col("ck"), F.lit(False)).alias("moved"), "circle"
-        ).withColumn("circle", F.col("circle") | F.col("moved") & F.lit(rounds > longest + 1))
+            "k.conv_id", "k.call_id", F.when(later, F.col("least")).otherwise(F.col("ck")).alias("ck"), "rk", later.alias("moved"), (F.col("active") | later).alias("active"), "circle"
+        )
         keys = cut(now.withColumn("rk", F.when(F.col("moved") & F.col("rk").isNotNull(), F.greatest("rk", _later(F.col("ck")))).otherwise(F.col("rk"))))
         rounds += 1
+        if rounds == limit:  # what still moves is a long chain or a circle
+            limit *= 2
+            bad = _circles(edges, keys.where("active")).withColumn("bad", F.lit(True))
+            marked = keys.alias("k").join(bad.alias("b"), _same("k", "b"), "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+            keys = cut(marked.select("k.conv_id", "k.call_id", "ck", "rk", (F.col("moved") & ~F.col("bad")).alias("moved"), F.lit(False).alias("active"), (F.col("circle") | F.col("bad")).alias("circle")))
     unmet = needs.where("NOT met").groupBy("conv_id", "call_id").agg(F.count("*").alias("unmet"))
     facts = keys.alias("k").join(pairs.alias("p"), _same("k", "p")).join(unmet.alias("u"), F.expr("k.conv_id <=> u.conv_id AND k.call_id = u.call_id"), "left")
     facts = facts.select("k.conv_id", "k.call_id", "ck", "rk", "circle", "first_call", "first_result", "unmet").alias("f")
