@@ -14,10 +14,6 @@ from plantspark.functions.timefx import calendar_features, cyclic_features, time
 from plantspark.plans.ordered import windowed
 from plantspark.schema import SERIES
 
-MAX_WINDOW = 1000
-BACKUP_MAX_WINDOW = 96
-
-
 @dataclass(frozen=True)
 class StatsRule:
     """Lags and rolling windows (in rows) wanted for a column."""
@@ -27,10 +23,11 @@ class StatsRule:
     aggs: Sequence[str] = ("mean",)
     min_periods: int | None = None
 
-    def for_backup(self) -> StatsRule:
-        """Backup devices idle for long: wider windows, at most two lags."""
+    def for_backup(self, max_window: int | None = None, max_lags: int | None = None) -> StatsRule:
+        """Backup devices idle for long: windows twice as wide, cut only where the policy says so."""
+        wide = (2 * w for w in self.windows)
         return replace(
-            self, windows=tuple(min(w * 2, BACKUP_MAX_WINDOW) for w in self.windows), lags=tuple(self.lags[:2])
+            self, windows=tuple(w if max_window is None else min(w, max_window) for w in wide), lags=tuple(self.lags[:max_lags])
         )
 
 
@@ -39,6 +36,9 @@ class Policy:
     name: str
     physical_types: Sequence[str]
     rule: StatsRule = field(default_factory=StatsRule)
+    #: Limits for backup devices; None is none.
+    backup_max_window: int | None = None
+    backup_max_lags: int | None = None
 
 
 def resolve_policies(
@@ -56,7 +56,7 @@ def resolve_policies(
             skip = a["physical_type"] not in policy.physical_types or a.get("is_target")
             if skip or (role == "backup" and policy.name == "High_Freq"):
                 continue
-            base = policy.rule.for_backup() if role == "backup" else policy.rule
+            base = policy.rule.for_backup(policy.backup_max_window, policy.backup_max_lags) if role == "backup" else policy.rule
             out[a["sensor"]] = overrides.get(a["sensor"], base)
     return out
 
@@ -78,13 +78,12 @@ def lag_rolling(
     slice_seconds: int,
     keys: Sequence[str] = tuple(SERIES),
     order: Sequence[str] = ("ts",),
-    max_window: int = MAX_WINDOW,
 ) -> DataFrame:
     """Add ``<c>_lag_<n>`` and ``<c>_roll<agg>_<n>`` for every column with a rule.
 
     Rolling windows end at the previous row, so a feature never sees the value it may predict.
-    All expressions share one window spec: one shuffle and one sort for the whole set. Windows
-    above ``max_window`` rows are left out.
+    All expressions share one window spec: one shuffle and one sort for the whole set. Every requested
+    window is computed, however wide.
     """
     exprs, lookback = {}, 1
     for c, r in rules.items():
@@ -92,18 +91,20 @@ def lag_rolling(
             exprs[f"{c}_lag_{n}"] = lambda w, c=c, n=n: F.lag(c, n).over(w)
             lookback = max(lookback, n)
         for n in r.windows:
-            if n > max_window:
-                continue
             for agg in r.aggs:
                 exprs[f"{c}_roll{agg}_{n}"] = _rolling(c, agg, n, r.min_periods or n)
             lookback = max(lookback, n)
     return windowed(df, keys, order, lookback, exprs, time_chunk(order[0], slice_seconds))
 
 
-def usable_windows(rule: StatsRule, series_rows: int) -> StatsRule:
-    """The rule without lags and windows longer than half of the series."""
+def usable_windows(rule: StatsRule, series_rows: int) -> tuple[StatsRule, StatsRule]:
+    """The rule without lags and windows longer than half of the series, and the rule of those left out."""
     half = series_rows * 0.5
-    return replace(rule, lags=tuple(n for n in rule.lags if n <= half), windows=tuple(n for n in rule.windows if n <= half))
+
+    def part(keep) -> StatsRule:
+        return replace(rule, lags=tuple(n for n in rule.lags if keep(n)), windows=tuple(n for n in rule.windows if keep(n)))
+
+    return part(lambda n: n <= half), part(lambda n: n > half)
 
 
 def add_time_features(df: DataFrame, ts: str = "ts", weekend_from: int = 5, cyclic: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plantspark.functions.timefx import epoch_micros
 from plantspark.operators.features import add_time_features, available_features, check_alignment, feature_hash
 from plantspark.operators.quality import complete_cases, require_samples
+from plantspark.plans.quantiles import exact_quantiles
 
 TIME_FEATURES = ["hour", "month", "day_of_week", "is_weekend"]
 
@@ -48,6 +49,8 @@ class ModelConfig:
     seed: int = 42
     impute: str | None = None
     scale: bool = False
+    #: Columns that name a row; whether it is a test row follows from them alone.
+    row_keys: Sequence[str] = ()
 
 
 def prepare(df: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, list[str]]:
@@ -130,15 +133,25 @@ class PowerModel:
         )
 
 
-def random_split(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    train, test = df.randomSplit([1 - test_share, test_share], seed=seed)
-    return train, test
+def is_test(keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> Column:
+    """Whether a row is for testing: the first seven hex digits of md5 of ``seed|key|...`` below the share of their range."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") < F.lit(int(test_share * 16**7))
+
+
+def hash_split(df: DataFrame, keys: Sequence[str] = (), test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by a hash of ``keys`` (default: all columns), however the rows lie and however often they are read."""
+    plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    test = is_test(keys or plain, test_share, seed)
+    return df.where(~test), df.where(test)
 
 
 def time_split(df: DataFrame, ts: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Earlier rows to train, later rows to test; the cut is a quantile of the time column."""
+    """Earlier rows to train, later rows to test; the cut is the exact quantile of the time column."""
     us = epoch_micros(ts)
-    cut = df.agg(F.percentile_approx(us, 1 - test_share, 10_000)).first()[0]
+    one = df.select(F.lit(0).alias("_all"), us.cast("double").alias("_us"))
+    row = exact_quantiles(one, ["_all"], "_us", {"cut": 1 - test_share}).first()
+    cut = F.lit(row["cut"] if row else None).cast("double")
     return df.where(us <= cut), df.where(us > cut)
 
 
@@ -152,7 +165,7 @@ def train(
         raise ValueError(f"target {cfg.target} is not in the table")
     require_samples(ready, [] if cfg.impute else names, "label", min_samples)
     rows = complete_cases(ready, ["label"] if cfg.impute else [*names, "label"])
-    fit_on, check_on = time_split(rows, cfg.ts, test_share) if split == "time" else random_split(rows, test_share, cfg.seed)
+    fit_on, check_on = time_split(rows, cfg.ts, test_share) if split == "time" else hash_split(rows, cfg.row_keys, test_share, cfg.seed)
     model = Pipeline(stages=_stages(cfg, names)).fit(fit_on)
     scored = model.transform(check_on)
     m = regression_metrics(scored, "label", "prediction").first()
@@ -180,9 +193,13 @@ def regression_metrics(
 def predict_interval(power_model: PowerModel, df: DataFrame, confidence: float = 0.9) -> DataFrame:
     """Mean, std and the interpolated lower and upper quantile over the trees of a forest."""
     forest = power_model.model.stages[-1]
+    if not isinstance(forest, RandomForestRegressionModel):
+        raise TypeError("intervals need a random forest: the trees of other models are no predictions of their own")
     ready, names = prepare(df, power_model.config)
     check_alignment(power_model.features, names)
-    out = PipelineModel(stages=power_model.model.stages[:-1]).transform(complete_cases(ready, names))
+    if not power_model.config.impute:
+        ready = complete_cases(ready, names)
+    out = PipelineModel(stages=power_model.model.stages[:-1]).transform(ready)
     for i, tree in enumerate(forest.trees):
         out = tree.setPredictionCol(f"_t{i}").transform(out)
     cols = [f"_t{i}" for i in range(len(forest.trees))]
@@ -224,7 +241,7 @@ def train_targets(df: DataFrame, targets: Sequence[str], cfg: ModelConfig | None
             models[t] = train(df, replace(cfg, target=t))
             log.append((t, "ok", None, models[t].metrics.get("mape")))
         except Exception as e:  # one bad target must not stop the batch
-            log.append((t, "failed", str(e)[:200], None))
+            log.append((t, "failed", str(e), None))
     frame = df.sparkSession.createDataFrame(log, "target string, status string, message string, mape double")
     return models, frame
 
@@ -232,7 +249,7 @@ def train_targets(df: DataFrame, targets: Sequence[str], cfg: ModelConfig | None
 def search(df: DataFrame, cfg: ModelConfig, grid: Mapping[str, Sequence], train_share: float = 0.8) -> tuple[PowerModel, list[dict]]:
     """Fit every combination of ``grid`` (parameter names of the estimator), keep the best RMSE."""
     ready, names = prepare(df, cfg)
-    rows = complete_cases(ready, [*names, "label"])
+    rows = complete_cases(ready, ["label"] if cfg.impute else [*names, "label"])
     stages = _stages(cfg, names)
     builder = ParamGridBuilder()
     for p, values in grid.items():

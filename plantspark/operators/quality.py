@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plantspark.functions import physics
 from plantspark.functions.timefx import minutes_between, naive_literal, time_chunk
-from plantspark.plans.joins import salted_join
+from plantspark.plans.joins import key_join
 from plantspark.plans.ordered import segments, windowed
 from plantspark.plans.quantiles import exact_quantiles
 from plantspark.schema import ROLE_FROZEN_MULTIPLIER, ROLE_ZERO_LIMIT, SERIES
@@ -193,13 +193,12 @@ def iqr_outliers(
     keys: Sequence[str] = tuple(SERIES),
     value: str = "value",
     whiskers: float = 1.5,
-    salt_by: Sequence[str] = tuple(ORDER),
 ) -> DataFrame:
     """Rows outside the whiskers around the exact quartiles of their series (flag ``is_outlier``)."""
     q = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return (
-        salted_join(df, q, keys, _spread(df, salt_by, value))
+        key_join(df, q, keys)
         .withColumn("lower", F.col("q1") - F.lit(whiskers) * iqr)
         .withColumn("upper", F.col("q3") + F.lit(whiskers) * iqr)
         .withColumn("is_outlier", (F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))
@@ -207,17 +206,12 @@ def iqr_outliers(
     )
 
 
-def _spread(df: DataFrame, salt_by: Sequence[str], *fallback: str) -> list[str]:
-    return [c for c in salt_by if c in df.columns] or list(fallback)
-
-
 def affinity_check(
     df: DataFrame,
     hz: str,
     kw: str,
     keys: Sequence[str],
     tolerance: float = 0.20,
-    salt_by: Sequence[str] = tuple(ORDER),
 ) -> DataFrame:
     """Add ``affinity_ratio`` and ``affinity_law_invalid`` (too far from the asset's median ratio)."""
     ratio = df.withColumn("affinity_ratio", physics.affinity_ratio(hz, kw))
@@ -228,8 +222,7 @@ def affinity_check(
         .when(mid == 0, F.lit(True))
         .otherwise(F.abs(ratio_col - mid) / mid > F.lit(tolerance))
     )
-    joined = salted_join(ratio, med, keys, _spread(df, salt_by, hz, kw))
-    return joined.withColumn("affinity_law_invalid", invalid)
+    return key_join(ratio, med, keys).withColumn("affinity_law_invalid", invalid)
 
 
 # ------------------------------------------------------------------ filters and guards
@@ -271,16 +264,16 @@ def split_future(df: DataFrame, baseline: datetime, minutes: int = 5, file: str
     rejected = (
         df.where(late).groupBy(file).agg(F.count(F.lit(1)).alias("n_future"), F.max(ts).alias("last_ts"))
     )
-    accepted = salted_join(df, rejected.select(file), [file], _spread(df, [ts, "row_no"], file), "left_anti")
+    accepted = key_join(df, rejected.select(file), [file], "left_anti")
     return accepted, rejected
 
 
 def require_no_leakage(df: DataFrame, cutoff: datetime, ts: str = "ts") -> DataFrame:
     """Raise when any row lies after the cut-off."""
     late = df.where(F.col(ts) > naive_literal(cutoff))
-    sample = [r[0] for r in late.select(ts).limit(3).collect()]
-    if sample:
-        raise FutureDataError(f"rows after the cut-off {cutoff}, e.g. {sample}")
+    n, last = late.agg(F.count("*"), F.max(ts)).first()
+    if n:
+        raise FutureDataError(f"{n} rows after the cut-off {cutoff}, the last at {last}")
     return df
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantspark.functions.timefx import epoch_micros, time_chunk
-from plantspark.plans.joins import salted_join
+from plantspark.plans.joins import key_join
 from plantspark.plans.ordered import first_per_key, windowed
 from plantspark.schema import SERIES
 
@@ -91,7 +91,7 @@ def resample_with(
     reduced before the join.
     """
     agg = _window_aggregates(df, every, keys, ts, value, row_no, F.lit(True))
-    joined = salted_join(agg, dim.select("sensor", "agg_method"), ["sensor"], ["_w"])
+    joined = key_join(agg, dim.select("sensor", "agg_method"), ["sensor"])
     return _pick(joined, F.coalesce(F.col("agg_method"), F.lit(default)), keys, ts, value)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.functions.text import glob_to_regex, snake_case
-from plantspark.plans.joins import salted_join
+from plantspark.plans.joins import key_join
 
 # ---------------------------------------------------------------- fixed values
 
@@ -171,14 +171,18 @@ def enforce_annotation(readings: DataFrame, dim: DataFrame, policy: str = "error
     if policy == "warn":
         return readings
     if policy == "skip":
-        spread = [c for c in readings.columns if c != name]
-        return salted_join(readings, dim.select(name).distinct(), [name], spread, "left_semi")
-    unknown = [r[0] for r in readings.join(dim, name, "left_anti").select(name).distinct().limit(5).collect()]
-    if unknown:
-        raise ValueError(f"sensors without annotation: {unknown}")
+        return key_join(readings, dim.select(name).distinct(), [name], "left_semi")
+    unknown = without_annotation(readings, dim, name)
+    if first := unknown.first():
+        raise ValueError(f"{unknown.count()} sensors without annotation, e.g. {first[0]}")
     return readings
 
 
+def without_annotation(readings: DataFrame, dim: DataFrame, name: str = "sensor") -> DataFrame:
+    """All sensors that the annotation table lacks; names are made distinct before the join."""
+    return key_join(readings.select(name).distinct(), dim.select(name), [name], "left_anti")
+
+
 def inherit_annotations(base: DataFrame, site: DataFrame, name: str = "sensor") -> DataFrame:
     """Site annotations over base annotations, column by column."""
     cols = [c for c in base.columns if c != name]
@@ -220,9 +224,9 @@ def standardise_names(names: DataFrame, name: str = "name") -> DataFrame:
 def require_unique_names(names: DataFrame, name: str = "name") -> DataFrame:
     """Raise when a name has no standard form or two names share one."""
     std = standardise_names(names, name)
-    bad = [r[name] for r in std.where(~F.col("is_valid") | (F.col("n_names") > 1)).limit(5).collect()]
-    if bad:
-        raise ValueError(f"names without a unique standard form: {bad}")
+    bad = std.where(~F.col("is_valid") | (F.col("n_names") > 1))
+    if first := bad.orderBy(name).first():
+        raise ValueError(f"{bad.count()} names without a unique standard form, e.g. {first[name]}; standardise_names lists all")
     return std
 
 

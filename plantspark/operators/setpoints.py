@@ -13,16 +13,15 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantspark.plans.joins import salted_join
+from plantspark.plans.joins import key_join
 from plantspark.plans.ordered import prefix
 
 Scorer = Callable[[Mapping[str, Column]], Column]
 
 SETPOINTS = ["chw_pump_hz", "cw_pump_hz", "ct_fan_hz"]
 HZ_RANGE = (30.0, 60.0)
-MAX_GRID = 20_000
-#: Above this many units on/off combinations are no longer enumerated.
-MAX_UNITS = 10
+#: Bits of an on/off combination that one task lists for a row; the bits above are listed first and dealt out.
+LOW_BITS = 10
 SWITCH_PENALTY_KW = 5.0
 
 
@@ -34,8 +33,6 @@ def hz_steps(lo: float = HZ_RANGE[0], hi: float = HZ_RANGE[1], step: float = 5.0
 def grid_column(axes: Mapping[str, Sequence[float]]) -> Column:
     """All combinations of the axes as one array-of-structs column, first axis slowest."""
     size = grid_size(axes)
-    if size > MAX_GRID:
-        raise ValueError(f"grid of {size} points; search in two stages instead")
     strides, left = {}, size
     for name, values in axes.items():
         left //= len(values)
@@ -147,23 +144,32 @@ def best_setpoints_by_model(
     model,
     inputs: Callable[[Mapping[str, Column]], Mapping[str, Column]],
     axes: Mapping[str, Sequence[float]],
+    current: Sequence[str] | None = None,
+    feasible: Callable[[Mapping[str, Column]], Column] | None = None,
+    bounds: tuple[float, float] = HZ_RANGE,
 ) -> DataFrame:
-    """As :func:`best_setpoints` with a fitted model.
+    """As :func:`best_setpoints` with a fitted model: the context's columns, the winner, baseline and savings.
 
-    The grid is exploded inside the task that holds the context, scored, and reduced to one row
-    per context before anything is shuffled.
+    ``context_id`` names each context once. The grid is exploded inside the task that holds the context, scored, and
+    reduced to one row per context before anything is shuffled. A context without a candidate keeps null results.
     """
     names = list(axes)
-    rows = contexts.withColumn("_p", F.explode(grid_column(axes)))
-    rows = rows.withColumns({n: F.col("_p")[n] for n in names}).drop("_p")
-    rows = rows.withColumns(dict(inputs({n: F.col(n) for n in names})))
-    best = F.min(F.struct(F.col("prediction").alias("kw"), *names)).alias("_b")
-    return (
-        model.score(rows)
-        .groupBy(context_id)
-        .agg(best)
-        .select(context_id, *[F.col("_b")[n].alias(f"best_{n}") for n in names], F.col("_b")["kw"].alias("best_kw"))
-    )
+
+    def scored(points: Column) -> DataFrame:
+        rows = contexts.withColumn("_p", F.explode(points))
+        rows = rows.withColumns({n: F.col("_p")[n] for n in names}).drop("_p")
+        rows = rows.withColumns(dict(inputs({n: F.col(n) for n in names})))
+        return model.score(rows)
+
+    grid = grid_column(axes)
+    points = F.filter(grid, lambda p: feasible({n: p[n] for n in names})) if feasible else grid
+    best = scored(points).groupBy(context_id).agg(F.min(F.struct(F.col("prediction").alias("kw"), *names)).alias("_b"))
+    mid = F.lit((bounds[0] + bounds[1]) / 2)
+    now = F.array(F.struct(*[(F.coalesce(F.col(c), mid) if c else mid).alias(n) for n, c in zip(names, current or [None] * len(names))]))
+    baseline = scored(now).groupBy(context_id).agg(F.min("prediction").alias("baseline_kw"))
+    found = key_join(key_join(contexts, best, [context_id]), baseline, [context_id])
+    out = found.withColumns({**{f"best_{n}": F.col("_b")[n] for n in names}, "best_kw": F.col("_b")["kw"]}).drop("_b")
+    return with_savings(out, "baseline_kw", "best_kw")
 
 
 def bound_violations(columns: Mapping[str, str], low: float = HZ_RANGE[0], high: float = HZ_RANGE[1]) -> Column:
@@ -186,21 +192,18 @@ def unit_combinations(
     capacity: str,
     power: str,
     targets: DataFrame,
-    max_units: int = MAX_UNITS,
     current: str | None = None,
     mutex: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Every on/off combination whose capacity carries the plant's ``target_rt``.
 
-    Plants with more than ``max_units`` units are left to :func:`greedy_order`; the count is taken
-    first, so no plant gathers more than ``max_units`` rows. ``current`` is a 0/1 column: each
-    switched unit costs ``SWITCH_PENALTY_KW``.
+    The combinations double with each unit; a plant whose combinations have no number (over 62 units) is an
+    error, and :func:`greedy_order` the caller's choice for large ones. The upper bits are listed first and dealt out over
+    tasks, then the lower ones. ``current`` is a 0/1 column: each switched unit costs ``SWITCH_PENALTY_KW``.
     """
-    small = units.groupBy(plant).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_units)
     now = F.col(current).cast("int") if current else F.lit(0)
     packed = (
-        salted_join(units, small.select(plant), [plant], [unit], "left_semi")
-        .groupBy(plant)
+        units.groupBy(plant)
         .agg(
             F.array_sort(
                 F.collect_list(
@@ -213,9 +216,15 @@ def unit_combinations(
                 )
             ).alias("_u")
         )
-        .join(targets, plant)
     )
-    mask = F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("_u")) - 1))
+    packed = key_join(packed, targets, [plant], "inner")
+    n = F.when(F.size("_u") <= 62, F.size("_u")).otherwise(F.raise_error(F.lit("a plant has over 62 units; use greedy_order")).cast("int"))
+    one, low = F.lit(1).cast("long"), F.least(F.lit(LOW_BITS), n)
+
+    def up_to(bits: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", one, bits) - 1))
+
+    dealt = packed.withColumn("_high", up_to(n - low)).repartition(plant, "_high").withColumn("_low", up_to(low))
 
     def total(field: str) -> Column:
         return F.aggregate(
@@ -229,7 +238,7 @@ def unit_combinations(
         F.lit(0),
         lambda a, x: a + x,
     )
-    combos = packed.withColumn("mask", mask).withColumns({"total_capacity": total("cap"), "total_kw": total("kw")})
+    combos = dealt.withColumn("mask", F.call_function("shiftleft", F.col("_high"), low).bitwiseOR(F.col("_low"))).withColumns({"total_capacity": total("cap"), "total_kw": total("kw")})
     if mutex is not None:
         combos = combos.where(~mutex(F.col("mask")))
     return (
@@ -237,7 +246,7 @@ def unit_combinations(
         .withColumn("n_on", F.bit_count("mask"))
         .withColumn("switches", switches if current else F.lit(0))
         .withColumn("objective_kw", F.col("total_kw") + F.col("switches") * F.lit(SWITCH_PENALTY_KW))
-        .drop("_u")
+        .drop("_u", "_high", "_low")
     )
 
 
@@ -252,7 +261,7 @@ def greedy_order(
     cut = F.floor(F.col(kw_per_rt) / F.lit(slice_width)).cast("bigint")
     run = prefix(units, [plant], [kw_per_rt, unit], {"_cum": (capacity, "sum")}, cut)
     return (
-        salted_join(run, targets, [plant], [unit], "inner")
+        key_join(run, targets, [plant], "inner")
         .withColumn("capacity_before", F.col("_cum") - F.col(capacity))
         .withColumn("is_on", F.col("capacity_before") < F.col("target_rt"))
         .drop("_cum")
@@ -325,7 +334,7 @@ def pareto_front(
     cut = F.floor(F.col(first) / F.lit(slice_width)).cast("bigint")
     before = prefix(with_key, keys, [first], {"_before": ("_value", "min")}, cut, include_current=False)
     front = before.where(F.col("_before").isNull() | (F.col(second) < F.col("_before"))).select(*keys, first, second)
-    return salted_join(df, front, [*keys, first, second], df.columns, "left_semi")
+    return key_join(df, front, [*keys, first, second], "left_semi")
 
 
 def what_if(

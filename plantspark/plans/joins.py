@@ -1,27 +1,20 @@
-"""Equi joins against a small side, with the hot keys of the large side spread by a salt."""
+"""Equi joins in which null keys meet each other."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-SALTS = 16
+def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys``, which may be null on both sides; ``left`` keeps its key columns.
 
-
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join a large table to a small one that is unique on ``keys``, where one key may hold a
-    large share of the large table.
-
-    Left rows get a salt from the hash of ``salt_by``, columns that differ within a key (time, row
-    number), so the salt is the same when a lost task runs again. The right side is repeated once
-    per salt. There is no broadcast hint: Spark broadcasts the right side by itself when its
-    measured size is under the threshold, and otherwise shuffles both sides on key and salt.
+    No hint: Spark broadcasts a side only under its own size threshold, and otherwise shuffles both and
+    splits oversized partitions at run time, so a hot key of the large side does not stay in one task.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    own = {k: f"_key{i}" for i, k in enumerate(keys)}
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in own.items()])
+    return left.join(right.withColumnsRenamed(own), on, how).drop(*own.values())

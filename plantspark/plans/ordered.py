@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from plantspark.functions.timefx import time_chunk
+from plantspark.plans.joins import key_join
 
 WindowExpr = Callable[[WindowSpec], Column]
 
@@ -107,7 +108,7 @@ def prefix(
     totals = sliced.groupBy(*part).agg(*[_slice_total(c, k, order).alias(f"_t_{n}") for n, (c, k) in exprs.items()])
     carry = totals.select(*part, *[_WITHIN[k](F.col(f"_t_{n}"), w_carry).alias(f"_c_{n}") for n, (_, k) in exprs.items()])
     local = sliced.withColumns({f"_l_{n}": _WITHIN[k](F.col(c), w_slice) for n, (c, k) in exprs.items()})
-    joined = local.join(carry, part, "left")
+    joined = key_join(local, carry, part)
     kept = [c for c in df.columns if c not in exprs]
     return joined.select(
         *kept, *[_merge(F.col(f"_c_{n}"), F.col(f"_l_{n}"), k).alias(n) for n, (_, k) in exprs.items()]

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plantspark.plans.joins import key_join
+
 #: Buckets per factor e of the absolute value: 0.01 % wide.
 RESOLUTION = 10_000
 _OFFSET = 800 * RESOLUTION
@@ -31,7 +33,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantiles named in ``probs``.
 
-    Nulls and NaN are ignored; ``keys`` holds at least one column.
+    Null and NaN values are ignored, a null key is a key; ``keys`` holds at least one column. The value counts are
+    shuffled once: ranks and values read the same exchange.
     """
     v = F.col(value).cast("double")
     counts = (
@@ -59,7 +62,7 @@ def exact_quantiles(
             wanted = wanted | ((F.col("_before") < r) & (r <= F.col("_upto")))
     targets = totals.where(wanted).select(*keys, "_b", "_before", "_n")
     inside = (
-        counts.join(targets, [*keys, "_b"])
+        key_join(counts, targets, [*keys, "_b"], "inner")
         .withColumn(
             "_hi_rank",
             F.col("_before")

@@ -1,4 +1,4 @@
-"""Queries for model metrics, consistency checks and (rows only) fitted models."""
+"""Queries for model metrics, consistency checks and fitted models."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantspark.operators import consistency as co
 from plantspark.operators import features, model
 from plantspark.operators import setpoints as sp
-from plantspark.queries.registry import meters, plant, query, r6, table
+from plantspark.queries.registry import PLANT, meters, plant, query, r6, table
 
 _PAIRS = """comp AS (
   SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS component_kw, count(*) AS n_components,
@@ -205,39 +205,78 @@ def feature_overlap(spark, sf):
     return o.withColumn("overlap", r6("overlap"))
 
 
-# ------------------------------------------------------------------ fitted models (rows only)
+# ------------------------------------------------------------------ fitted models
+# Predictions have no SQL; the queries return what must hold for every row, whatever the trees look like.
 
 
 def _config(kind: str, trees: int) -> model.ModelConfig:
-    return model.ModelConfig(features=("hz", "rh", "temp"), target="kw", ts="ts", kind=kind, trees=trees, depth=4)
+    return model.ModelConfig(features=("hz", "rh", "temp"), target="kw", ts="ts", kind=kind, trees=trees, depth=4, row_keys=("run", "line"))
 
 
-@query("train_score_gbt")
+_TEST_ROW = "('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 7))::BIGINT < 53687091"
+
+
+@query(
+    "train_score_gbt",
+    f"SELECT l_orderkey AS run, l_linenumber AS line, l_extendedprice AS kw, {_TEST_ROW} AS is_test, true AS scored FROM lineitem",
+)
 def train_score_gbt(spark, sf):
     m = meters(spark, sf)
     fitted = model.train(m, _config("gbt", 8))
-    return fitted.score(m).select("run", "line", "kw", "prediction")
+    scored = fitted.score(m)
+    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < 1e12)
+    return scored.select("run", "line", "kw", model.is_test(["run", "line"]).alias("is_test"), finite.alias("scored"))
 
 
-@query("rf_interval")
+@query(
+    "rf_interval",
+    "SELECT l_orderkey AS run, l_linenumber AS line, true AS in_order, true AS in_label_range FROM lineitem",
+)
 def rf_interval(spark, sf):
     m = meters(spark, sf)
     fitted = model.train(m, _config("random_forest", 8), split="time")
-    return model.predict_interval(fitted, m).select("run", "line", "mean", "std", "lower", "upper")
+    low, high = m.agg(F.min("kw"), F.max("kw")).first()
+    p = model.predict_interval(fitted, m)
+    inside = (F.col("lower") >= low - 1e-6) & (F.col("upper") <= high + 1e-6) & F.col("mean").between(low - 1e-6, high + 1e-6)
+    return p.select("run", "line", ((F.col("lower") <= F.col("upper")) & (F.col("std") >= 0)).alias("in_order"), inside.alias("in_label_range"))
 
 
-@query("importance_rank")
+@query(
+    "importance_rank",
+    """
+SELECT feature, 1.0::DOUBLE AS total, true AS in_order
+FROM (VALUES ('hz'), ('rh'), ('temp'), ('hour'), ('month'), ('day_of_week'), ('is_weekend')) t(feature)""",
+)
 def importance_rank(spark, sf):
-    return model.train(meters(spark, sf), _config("random_forest", 5)).importance_frame(spark, 5)
+    ranked = model.train(meters(spark, sf), _config("random_forest", 5)).importance()
+    falling = all(a[1] >= b[1] for a, b in zip(ranked, ranked[1:]))
+    rows = [(name, round(sum(w for _, w in ranked), 6), falling) for name, _ in ranked]
+    return spark.createDataFrame(rows, "feature string, total double, in_order boolean")
 
 
-@query("setpoint_by_model")
+@query(
+    "setpoint_by_model",
+    f"""
+WITH {PLANT}
+SELECT site_id, ts, round(load_rt, 6) AS load_rt, load_rt IS NOT NULL AS found, load_rt IS NOT NULL AS on_axes, load_rt IS NOT NULL AS not_worse
+FROM plant""",
+)
 def setpoint_by_model(spark, sf):
     p = plant(spark, sf)
-    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4, impute="mean")
+    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4, row_keys=("site_id", "ts"))
     fitted = model.train(p, cfg)
-    contexts = p.where(F.col("load_rt").isNotNull()).select(F.concat_ws("|", "site_id", F.col("ts").cast("string")).alias("context_id"), "load_rt")
+    contexts = p.select(F.concat_ws("|", "site_id", F.col("ts").cast("string")).alias("context_id"), "site_id", "ts", "load_rt")
     axes = {"chw_pump_hz": sp.hz_steps(), "ct_fan_hz": sp.hz_steps()}
-    return sp.best_setpoints_by_model(
+    best = sp.best_setpoints_by_model(
         contexts, "context_id", fitted, lambda s: {"pump_hz": s["chw_pump_hz"], "fan_hz": s["ct_fan_hz"]}, axes
     )
+    steps = [F.lit(x) for x in sp.hz_steps()]
+    on_axes = F.col("best_chw_pump_hz").isin(steps) & F.col("best_ct_fan_hz").isin(steps)
+    return best.select(
+        "site_id",
+        "ts",
+        r6("load_rt"),
+        F.col("best_kw").isNotNull().alias("found"),
+        F.coalesce(on_axes, F.lit(False)).alias("on_axes"),
+        F.coalesce(F.col("savings_kw") >= 0, F.lit(False)).alias("not_worse"),
+    )

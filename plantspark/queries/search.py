@@ -24,13 +24,13 @@ CONTEXTS = f"""{PLANT}, ctx AS (
   SELECT site_id, ts, load_rt, power_kw, temp, CASE WHEN pump_hz IS NULL THEN NULL ELSE least(60.0, greatest(30.0, pump_hz)) END AS now_chw,
          CASE WHEN temp IS NULL THEN NULL ELSE least(60.0, greatest(30.0, temp)) END AS now_cw,
          CASE WHEN fan_hz IS NULL THEN NULL ELSE least(60.0, greatest(30.0, fan_hz)) END AS now_fan
-  FROM plant WHERE load_rt IS NOT NULL)"""
+  FROM plant)"""
 
 NOW = ["now_chw", "now_cw", "now_fan"]
 
 
 def contexts(spark, sf):
-    p = plant(spark, sf).where(F.col("load_rt").isNotNull())
+    p = plant(spark, sf)
 
     def bounded(c):
         return F.when(F.col(c).isNotNull(), F.least(F.lit(60.0), F.greatest(F.lit(30.0), F.col(c))))
@@ -50,7 +50,8 @@ _BEST = f"""{CONTEXTS}, {_AX}, {_GRID}, scored AS (
   SELECT c.*, g.*, {_kw('chw', 'cw', 'fan')} AS kw FROM ctx c CROSS JOIN grid g),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, ts ORDER BY kw, chw, cw, fan) AS rn FROM scored) WHERE rn = 1)"""
 
-_SAVED = f"""SELECT site_id, ts, chw::DOUBLE AS best_chw_pump_hz, cw::DOUBLE AS best_cw_pump_hz, fan::DOUBLE AS best_ct_fan_hz,
+_SAVED = f"""SELECT site_id, ts, CASE WHEN kw IS NOT NULL THEN chw::DOUBLE END AS best_chw_pump_hz,
+    CASE WHEN kw IS NOT NULL THEN cw::DOUBLE END AS best_cw_pump_hz, CASE WHEN kw IS NOT NULL THEN fan::DOUBLE END AS best_ct_fan_hz,
     round(kw, 6) AS best_kw, round(base, 6) AS baseline_kw, round(base - kw, 6) AS savings_kw,
     round(CASE WHEN base > 0 THEN (base - kw) / base * 100.0 ELSE 0.0 END, 6) AS savings_percent
   FROM (SELECT *, {_kw('coalesce(now_chw, 45.0)', 'coalesce(now_cw, 45.0)', 'coalesce(now_fan, 45.0)')} AS base FROM {{src}})"""
@@ -80,7 +81,7 @@ def setpoint_refined(spark, sf):
     "setpoint_constrained",
     f"""
 WITH {CONTEXTS}, {_AX}, {_GRID}, scored AS (
-  SELECT c.*, g.*, {_kw('chw', 'cw', 'fan')} AS kw FROM ctx c CROSS JOIN grid g WHERE chw + cw >= 80 AND fan <= temp),
+  SELECT c.*, g.*, {_kw('chw', 'cw', 'fan')} AS kw FROM ctx c CROSS JOIN grid g WHERE chw + cw >= 80 AND fan <= temp AND load_rt IS NOT NULL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, ts ORDER BY kw, chw, cw, fan) AS rn FROM scored) WHERE rn = 1)
 SELECT c.site_id, c.ts, b.chw::DOUBLE AS best_chw_pump_hz, b.cw::DOUBLE AS best_cw_pump_hz, b.fan::DOUBLE AS best_ct_fan_hz, round(b.kw, 6) AS best_kw
 FROM ctx c LEFT JOIN best b ON c.site_id = b.site_id AND c.ts = b.ts""",
@@ -142,7 +143,7 @@ c AS (SELECT m.plant_no, m.mask, any_value(target_rt) AS target_rt, sum(CASE WHE
         sum(CASE WHEN (m.mask >> idx) & 1 = 1 THEN kw ELSE 0 END) AS total_kw, bit_count(m.mask) AS n_on,
         sum(CASE WHEN ((m.mask >> idx) & 1) <> now THEN 1 ELSE 0 END) AS switches
       FROM m JOIN u USING (plant_no) GROUP BY ALL)
-SELECT plant_no, CAST(mask AS INTEGER) AS mask, target_rt::DOUBLE AS target_rt, total_capacity::DOUBLE AS total_capacity,
+SELECT plant_no, mask, target_rt::DOUBLE AS target_rt, total_capacity::DOUBLE AS total_capacity,
        total_kw::DOUBLE AS total_kw, CAST(n_on AS INTEGER) AS n_on, CAST(switches AS INTEGER) AS switches,
        total_kw::DOUBLE + switches * 5.0::DOUBLE AS objective_kw
 FROM c WHERE total_capacity >= target_rt""",
@@ -153,6 +154,27 @@ def unit_combinations(spark, sf):
     return sp.unit_combinations(u, "plant_no", "unit", "cap", "kw", target, current="now")
 
 
+@query(
+    "unit_combinations_twelve",
+    f"""
+WITH {_UNITS}, p AS (SELECT unit // 12 AS plant_no, unit, cap, kw FROM units),
+u AS (SELECT *, row_number() OVER (PARTITION BY plant_no ORDER BY unit) - 1 AS idx FROM p),
+n AS (SELECT plant_no, count(*) AS n, floor(sum(cap) * 0.8) AS target_rt FROM u GROUP BY 1),
+m AS (SELECT plant_no, target_rt, unnest(generate_series(0::BIGINT, (1::BIGINT << n) - 1)) AS mask FROM n),
+c AS (SELECT m.plant_no, m.mask, any_value(target_rt) AS target_rt, sum(CASE WHEN (m.mask >> idx) & 1 = 1 THEN cap ELSE 0 END) AS total_capacity,
+        sum(CASE WHEN (m.mask >> idx) & 1 = 1 THEN kw ELSE 0 END) AS total_kw, bit_count(m.mask) AS n_on
+      FROM m JOIN u USING (plant_no) WHERE m.mask & 3 <> 3 GROUP BY ALL)
+SELECT plant_no, mask, target_rt::DOUBLE AS target_rt, total_capacity::DOUBLE AS total_capacity, total_kw::DOUBLE AS total_kw,
+       CAST(n_on AS INTEGER) AS n_on, 0 AS switches, total_kw::DOUBLE AS objective_kw
+FROM c WHERE total_capacity >= target_rt""",
+)
+def unit_combinations_twelve(spark, sf):
+    """Plants of twelve units of which the first two exclude each other."""
+    u = units(spark, sf).select(F.floor(F.col("unit") / 12).cast("long").alias("plant_no"), "unit", "cap", "kw")
+    target = u.groupBy("plant_no").agg(F.floor(F.sum("cap") * 0.8).cast("double").alias("target_rt"))
+    return sp.unit_combinations(u, "plant_no", "unit", "cap", "kw", target, mutex=lambda m: m.bitwiseAND(F.lit(3)) == 3)
+
+
 @query(
     "greedy_order",
     f"""

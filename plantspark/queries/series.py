@@ -233,6 +233,19 @@ def lag_rolling_features(spark, sf):
     return out.select("site_id", "ts", *[r6(c) for c in names])
 
 
+@query(
+    "wide_rolling_window",
+    f"""
+WITH {READINGS}
+SELECT site_id, row_no, round(CASE WHEN count(value) OVER w = 1200 THEN avg(value) OVER w END, 6) AS value_rollmean_1200
+FROM readings WINDOW w AS (PARTITION BY site_id ORDER BY ts, row_no ROWS BETWEEN 1200 PRECEDING AND 1 PRECEDING)""",
+)
+def wide_rolling_window(spark, sf):
+    rules = {"value": features.StatsRule((), (1200,))}
+    out = features.lag_rolling(readings(spark, sf), rules, RAW_SLICE, keys=["site_id"], order=["ts", "row_no"])
+    return out.select("site_id", "row_no", r6("value_rollmean_1200"))
+
+
 @query(
     "time_features",
     f"""

@@ -3,7 +3,7 @@
 A report is text: preamble lines that name the points, a header line, then one line per time.
 Files are read line by line (never whole), so a file of any size is split over tasks. Each line
 keeps an order number; header and point names shrink to one row per file and meet the data lines
-in a salted join, so one file holding most of the lines does not end up in one task.
+in a join whose oversized partitions are split, so one file holding most of the lines does not end up in one task.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plantspark.functions.text import null_if_token, sanitise_sensor, scrub_number, standard_header, to_double
 from plantspark.functions.timefx import parse_date_time
-from plantspark.plans.joins import salted_join
+from plantspark.plans.joins import key_join
+from plantspark.plans.ordered import windowed
 from plantspark.schema import BASIC_NULL_TOKENS
 
 # ---------------------------------------------------------------- fixed values
@@ -25,7 +25,8 @@ HEADER_STARTS = ['"<>Date', '<>Date']
 DATE_WORDS = ["Date", "日期"]
 TIME_WORDS = ["Time", "時間", "时间"]
 DATETIME_WORDS = ["DateTime", "Timestamp"]
-MAX_HEADER_SCAN_LINES = 500
+#: Lines of a file that are put in order together when its header is looked for.
+SCAN_SLICE = 100_000
 
 _SPLIT_PLAIN = ","
 _SPLIT_QUOTED = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -129,7 +130,7 @@ def _is_header() -> Column:
 
 
 def _is_point() -> Column:
-    return F.ltrim(F.translate(F.substring("line", 1, 40), '"', " ")).startswith("Point_")
+    return F.col("line").rlike('^[ "]*Point_')
 
 
 def find_headers(lines: DataFrame) -> DataFrame:
@@ -146,15 +147,13 @@ def _words(c: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def find_headers_by_words(lines: DataFrame, max_lines: int = MAX_HEADER_SCAN_LINES) -> DataFrame:
-    """The best header candidate among the first lines of each file, by key words.
+def find_headers_by_words(lines: DataFrame) -> DataFrame:
+    """The best header candidate of each file by key words, among all of its lines; ties go to the first.
 
     Date and time words give 2, a date-time word 2, more than three fields 1. A candidate whose
-    number of separators differs by more than one from the next line is no header. Only the first
-    ``max_lines`` lines of a file are ranked, and those are cut before the shuffle.
+    number of separators differs by more than one from the next line is no header. The next line is looked up in
+    slices of the line number, so a file of any size is spread over tasks.
     """
-    by_file = Window.partitionBy("source_file").orderBy("line_no")
-    top = lines.withColumn("_n", F.row_number().over(by_file)).where(F.col("_n") <= max_lines + 1)
     c = F.col("line")
     delims = F.length(c) - F.length(F.regexp_replace(c, "[,\t;]", ""))
     score = (
@@ -162,13 +161,13 @@ def find_headers_by_words(lines: DataFrame, max_lines: int = MAX_HEADER_SCAN_LIN
         + F.when(_words(c, DATETIME_WORDS), 2).otherwise(0)
         + F.when(delims + 1 > 3, 1).otherwise(0)
     )
-    scored = (
-        top.withColumn("_d", delims)
-        .withColumn("_next", F.lead("_d").over(by_file))
-        .withColumn("_score", score)
-        .where((F.col("_n") <= max_lines) & (_words(c, DATE_WORDS) | _words(c, DATETIME_WORDS)))
-        .where((F.col("_score") >= 2) & (F.abs(F.col("_d") - F.col("_next")) <= 1))
+    likely = _words(c, DATE_WORDS) | _words(c, DATETIME_WORDS)
+    counted = lines.select("source_file", "line_no", delims.alias("_d"), F.when(likely, score).alias("_score"), F.when(likely, c).alias("line"))
+    backwards = counted.withColumn("_from_end", -F.col("line_no"))
+    paired = windowed(
+        backwards, ["source_file"], ["_from_end"], 1, {"_next": lambda w: F.lag("_d").over(w)}, F.floor(F.col("line_no") / SCAN_SLICE)
     )
+    scored = paired.where((F.col("_score") >= 2) & (F.abs(F.col("_d") - F.col("_next")) <= 1))
     best = F.struct((-F.col("_score")).alias("s"), "line_no")
     return scored.groupBy("source_file").agg(
         F.min_by("line_no", best).alias("header_no"), F.min_by("line", best).alias("header")
@@ -178,7 +177,7 @@ def find_headers_by_words(lines: DataFrame, max_lines: int = MAX_HEADER_SCAN_LIN
 def point_map(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """``source_file, point_id, sensor`` from the preamble; a repeated point keeps its last name."""
     parts = split_fields(F.trim("line"))
-    pre = salted_join(lines.where(_is_point()), headers.select("source_file", "header_no"), ["source_file"], ["line_no"], "inner").where(
+    pre = key_join(lines.where(_is_point()), headers.select("source_file", "header_no"), ["source_file"], "inner").where(
         F.col("line_no") < F.col("header_no")
     )
     named = pre.select(
@@ -236,7 +235,7 @@ def parse_reports(
     layout = file_layout(headers, point_map(lines, headers))
     start = F.ltrim("line")
     body = lines.where(~start.startswith("*") & ~start.startswith('"*') & (start != ""))
-    data = salted_join(body, layout, ["source_file"], ["line_no"], "inner").where(F.col("line_no") > F.col("header_no"))
+    data = key_join(body, layout, ["source_file"], "inner").where(F.col("line_no") > F.col("header_no"))
     fields = data.withColumn("_f", raw_fields(F.col("line")))
     # Text tokens become null in the casts below by themselves; only numbers need the comparison.
     numeric = [t for t in null_tokens if _is_number(t)]
@@ -320,4 +319,4 @@ def require_readings(readings: DataFrame) -> DataFrame:
 def first_k_files(lines: DataFrame, k: int, file: str = "source_file") -> DataFrame:
     """Rows of the first ``k`` files by name; only the ``k`` names are joined back."""
     names = lines.select(file).distinct().orderBy(file).limit(k)
-    return salted_join(lines, names, [file], ["line_no"] if "line_no" in lines.columns else lines.columns, "left_semi")
+    return key_join(lines, names, [file], "left_semi")

@@ -50,12 +50,12 @@ def write_readings(
     df: DataFrame,
     path: str,
     ts: str = "ts",
-    rows_per_file: int = 100_000,
+    rows_per_file: int | None = None,
     compression: str = "snappy",
     mode: str = "overwrite",
     cluster_by: Sequence[str] = ("site_id", "sensor"),
 ) -> None:
-    """Parquet under ``year=/month=`` with a row cap per file; flags are stored as JSON text.
+    """Parquet under ``year=/month=`` with files as large as their ranges (``rows_per_file`` splits them); flags are stored as JSON text.
 
     Rows are ranged by month, series and time first, so a month is written by many tasks (however
     large it is) and files hold narrow ranges that row-group statistics can skip.
@@ -70,7 +70,7 @@ def write_readings(
         .sortWithinPartitions("year", "month", *keys, ts, *tie)
         .write.mode(mode)
         .partitionBy("year", "month")
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("maxRecordsPerFile", rows_per_file or 0)
         .option("compression", compression)
         .parquet(path)
     )

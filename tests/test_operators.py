@@ -315,13 +315,14 @@ def test_policies():
         {"sensor": "t", "physical_type": "kw", "is_target": True},
     ]
     rule = features.StatsRule((1, 2, 3), (60, 10))
-    got = features.resolve_policies(notes, [features.Policy("P", ["kw"], rule)])
+    got = features.resolve_policies(notes, [features.Policy("P", ["kw"], rule, backup_max_window=96, backup_max_lags=2)])
     assert set(got) == {"a", "b"} and got["b"] == rule
     assert got["a"].windows == (96, 20) and got["a"].lags == (1, 2)
     assert set(features.resolve_policies(notes, [features.Policy("High_Freq", ["kw"], rule)])) == {"b"}
     own = features.StatsRule((9,))
     assert features.resolve_policies(notes, [features.Policy("P", ["kw"], rule)], {"b": own})["b"] == own
-    assert features.usable_windows(rule, 40).windows == (10,)
+    used, left = features.usable_windows(rule, 40)
+    assert used.windows == (10,) and left.windows
 
 
 def test_alignment():
