@@ -28,8 +28,8 @@ DATETIME_WORDS = ["DateTime", "Timestamp"]
 #: Lines of a file that are put in order together when its header is looked for.
 SCAN_SLICE = 100_000
 
-_SPLIT_PLAIN = ","
-_SPLIT_QUOTED = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: A field after its comma: plain runs and quoted parts, each taken once and never given back.
+_FIELD = ',((?:[^",]++|"[^"]*+"?)*+)'
 
 
 class NoReadableReport(ValueError):
@@ -108,8 +108,9 @@ def _decoder(codec: str):
 
 
 def raw_fields(line: Column) -> Column:
-    """Comma-separated fields as they stand; commas inside quotes stay."""
-    return F.when(line.contains('"'), F.split(line, _SPLIT_QUOTED)).otherwise(F.split(line, _SPLIT_PLAIN))
+    """Comma-separated fields as they stand; commas inside quotes stay, an open quote reaches to the line's end."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), 1)
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
 
 
 def bare(field: Column) -> Column:
@@ -189,27 +190,55 @@ def point_map(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return named.groupBy("source_file", "point_id").agg(F.max_by("sensor", "line_no").alias("sensor"))
 
 
-def file_layout(headers: DataFrame, points: DataFrame) -> DataFrame:
-    """One row per file: ``header_no`` and ``layout``, the value columns as (position, sensor).
+def preamble(lines: DataFrame) -> DataFrame:
+    """``source_file, header_no, header, points`` in one pass: the first header line and the point lines of each file."""
+    line = F.struct("line_no", "line")
+    return lines.where(_is_header() | _is_point()).groupBy("source_file").agg(
+        F.min(F.when(_is_header(), line)).alias("_h"), F.collect_list(F.when(_is_point(), line)).alias("points")
+    ).where("_h IS NOT NULL").select("source_file", F.col("_h.line_no").alias("header_no"), F.col("_h.line").alias("header"), "points")
 
-    Columns without a name in the point map keep their header text. The layout is as wide as the
-    header line it comes from.
+
+def _with_points(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """The same for headers found by other means."""
+    points = lines.where(_is_point()).groupBy("source_file").agg(F.collect_list(F.struct("line_no", "line")).alias("points"))
+    none = F.array().cast("array<struct<line_no: bigint, line: string>>")
+    return key_join(headers.select("source_file", "header_no", "header"), points, ["source_file"]).withColumn("points", F.coalesce("points", none))
+
+
+def file_layout(heads: DataFrame) -> DataFrame:
+    """One row per file: ``header_no``, ``date_pos``, ``time_pos`` and ``layout``, the value columns as (position, sensor).
+
+    Columns without a name in the preamble keep their header text; of a repeated point the last line before the
+    header counts. The layout is as wide as the header line it comes from, and made within the file's row.
     """
-    cols = headers.select(
-        "source_file", "header_no", F.posexplode(F.transform(split_fields(F.col("header")), standard_header)).alias("pos", "point_id")
+
+    def point(p: Column) -> Column:
+        parts = split_fields(F.trim(p["line"]))
+        return F.struct(F.regexp_replace(F.get(parts, F.lit(0)), ":", "").alias("id"), F.get(parts, F.lit(1)).alias("sensor"))
+
+    before = F.array_sort(F.filter("points", lambda p: p["line_no"] < F.col("header_no")))
+    named = F.filter(F.transform(before, point), lambda p: p["id"].startswith("Point_") & (p["sensor"] != ""))
+    row = heads.select(
+        "source_file", "header_no", named.alias("_points"), F.transform(split_fields(F.col("header")), standard_header).alias("_header")
     )
-    named = cols.join(points, ["source_file", "point_id"], "left").select(
+
+    def name(h: Column) -> Column:
+        own = F.filter("_points", lambda p: p["id"] == h)
+        return F.coalesce(sanitise_sensor(F.get(own, F.size(own) - 1)["sensor"]), h)
+
+    row = row.withColumn("_names", F.transform("_header", name))
+
+    def at(word: str) -> Column:
+        place = F.array_position("_names", word)
+        return F.when(place > 0, (place - 1).cast("int"))
+
+    places = F.transform("_names", lambda n, i: F.struct(i.alias("pos"), n.alias("sensor")))
+    return row.select(
         "source_file",
         "header_no",
-        "pos",
-        F.coalesce(sanitise_sensor("sensor"), F.col("point_id")).alias("name"),
-    )
-    at = lambda word: F.min(F.when(F.col("name") == word, F.col("pos")))
-    value_col = ~F.col("name").isin("Date", "Time", "")
-    return named.groupBy("source_file", "header_no").agg(
         at("Date").alias("date_pos"),
         at("Time").alias("time_pos"),
-        F.collect_list(F.when(value_col, F.struct("pos", F.col("name").alias("sensor")))).alias("layout"),
+        F.filter(places, lambda c: ~c["sensor"].isin("Date", "Time", "")).alias("layout"),
     )
 
 
@@ -231,8 +260,7 @@ def parse_reports(
     :func:`ingest_errors` names them. ``scrub=True`` also strips unit text from the cells.
     """
     site = F.lit(site_id) if isinstance(site_id, str) else site_id
-    headers = find_headers(lines) if headers is None else headers
-    layout = file_layout(headers, point_map(lines, headers))
+    layout = file_layout(preamble(lines) if headers is None else _with_points(lines, headers))
     start = F.ltrim("line")
     body = lines.where(~start.startswith("*") & ~start.startswith('"*') & (start != ""))
     data = key_join(body, layout, ["source_file"], "inner").where(F.col("line_no") > F.col("header_no"))
@@ -245,18 +273,18 @@ def parse_reports(
         return null_if_token(text, numeric) if numeric else text
 
     timed = fields.withColumn("ts", parse_date_time(cell(F.col("date_pos")), cell(F.col("time_pos")))).where(F.col("ts").isNotNull())
-    long = timed.select("source_file", "line_no", "ts", "_f", F.explode("layout").alias("_c"))
-    raw = cell(F.col("_c.pos"))
-    value = scrub_number(raw) if scrub else to_double(raw)
-    out = long.select(
-        site.alias("site_id"),
-        "source_file",
-        F.col("line_no").alias("row_no"),
-        "ts",
-        F.col("_c.sensor").alias("sensor"),
-        value.alias("value"),
+
+    def reading(c: Column) -> Column:
+        raw = cell(c["pos"])
+        return F.struct(c["sensor"].alias("sensor"), (scrub_number(raw) if scrub else to_double(raw)).alias("value"))
+
+    # Only what becomes a reading is multiplied, not the line's fields.
+    read = F.transform("layout", reading)
+    read = F.filter(read, lambda c: c["value"].isNotNull()) if drop_null_values else read
+    long = timed.select("source_file", "line_no", "ts", F.explode(read).alias("_c"))
+    return long.select(
+        site.alias("site_id"), "source_file", F.col("line_no").alias("row_no"), "ts", F.col("_c.sensor").alias("sensor"), F.col("_c.value").alias("value")
     )
-    return out.where(F.col("value").isNotNull()) if drop_null_values else out
 
 
 def _is_number(token: str) -> bool:
@@ -268,16 +296,14 @@ def _is_number(token: str) -> bool:
 
 
 def ingest_errors(lines: DataFrame, readings: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """Files that gave no readings, with the reason."""
-    headers = find_headers(lines) if headers is None else headers
-    files = lines.select("source_file").distinct()
-    no_header = files.join(headers, "source_file", "left_anti").withColumn("reason", F.lit("no header row"))
-    empty = (
-        files.join(headers, "source_file", "left_semi")
-        .join(readings.select("source_file").distinct(), "source_file", "left_anti")
-        .withColumn("reason", F.lit("no data rows"))
-    )
-    return no_header.unionByName(empty)
+    """Files that gave no readings, with the reason; headers come with the pass that lists the files."""
+    found = F.max(_is_header().cast("int")) == 1
+    files = lines.groupBy("source_file").agg(found.alias("_found"))
+    if headers is not None:
+        known = headers.select("source_file", F.lit(True).alias("_found"))
+        files = key_join(files.select("source_file"), known, ["source_file"]).withColumn("_found", F.coalesce("_found", F.lit(False)))
+    silent = key_join(files, readings.select("source_file").distinct(), ["source_file"], "left_anti")
+    return silent.select("source_file", F.when(F.col("_found"), "no data rows").otherwise("no header row").alias("reason"))
 
 
 def text_hygiene(lines: DataFrame) -> DataFrame:
@@ -305,9 +331,8 @@ def read_reports(
     lines = read_lines(spark, path, encoding, glob)
     if first_files is not None:
         lines = first_k_files(lines, first_files)
-    headers = find_headers(lines)
-    readings = parse_reports(lines, site_id, headers, **options)
-    return readings, ingest_errors(lines, readings, headers)
+    readings = parse_reports(lines, site_id, **options)
+    return readings, ingest_errors(lines, readings)
 
 
 def require_readings(readings: DataFrame) -> DataFrame:

@@ -116,3 +116,11 @@ def test_model_setpoints_keep_every_context(spark, plant):
     got = {r.cid: r for r in out.collect()}
     assert set(got) == {1, 2, 3} and got[1].note == "x" and got[1].best_kw is not None
     assert got[2].best_kw is None and got[3].best_kw is None and got[3].baseline_kw is not None
+
+
+def test_lines_of_thousands_of_quoted_fields(spark):
+    wide = ",".join(f'"{i},5"' for i in range(3000))
+    df = spark.createDataFrame([(wide,), ('a,"b,c",,d"e",',), ("",), (',x,"y',)], "line string")
+    got = [r[0] for r in df.select(reports.split_fields(F.col("line"))).collect()]
+    assert got[0] == [f"{i},5" for i in range(3000)]
+    assert got[1] == ["a", "b,c", "", 'd"e', ""] and got[2] == [""] and got[3] == ["", "x", "y"]
