@@ -40,7 +40,7 @@ SCRIPT_SHARE = 0.01
 SWITCH = 6.0
 EVIDENCE = 0.4
 #: Words scored and labelled together.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 
 
 def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

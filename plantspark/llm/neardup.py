@@ -20,6 +20,8 @@ from plantspark.llm.shingles import Words, mix, shingle_set
 MANTISSA = 10
 PROBES = 1024
 SHINGLE = 5
+#: Rows that a task turns into sets at a time.
+SLICE_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -85,11 +87,10 @@ def signatures(docs: DataFrame, band: Banding, shingle: int = SHINGLE) -> DataFr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probe_table(band.registers)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, len(b), SLICE_ROWS)):
             words = Words()
             sets = [shingle_set(words.codes(t.as_py()), shingle) for t in batch.column("text")]
-            some = [s for s in sets if len(s)]
-            regs = iter([r for k in range(0, len(some), 500) for r in registers(some[k : k + 500], band.registers, probes)])
+            regs = iter(registers([s for s in sets if len(s)], band.registers, probes))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -113,9 +114,9 @@ def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words()
-            for start in range(0, len(batch), 500):
-                sets = [s for t in batch.column("text").slice(start, 500) if len(s := shingle_set(words.codes(t.as_py()), shingle))]
+            for start in range(0, len(batch), SLICE_ROWS):
+                words = Words()
+                sets = [s for t in batch.column("text").slice(start, SLICE_ROWS) if len(s := shingle_set(words.codes(t.as_py()), shingle))]
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 ends = np.cumsum([0, *(len(s) for s in sets)])
                 yield pa.RecordBatch.from_arrays(
@@ -169,12 +170,76 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, band: Bandi
     ).select("a", "b")
 
 
+#: Members of a hub that one task compares side by side; a hub with more goes through joins.
+HUB_ROWS = 10_000
 #: Codes that more members of a hub than this have beyond it count as part of what the hub stands for.
 COMMON = 32
 
 
-def cross_pairs(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of members of one hub in different components that may still be similar enough.
+def members_of_open_hubs(star: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub, cls, root, stray, n, width, extra, lack, members``: the members of hubs that have a stray, a member outside
+    the hub's component, each by the codes it has beyond the hub's and the ones it lacks."""
+    root = F.coalesce("root", F.col("node"))
+    at = roots.select(F.col("node").alias("m"), "root")
+    placed = star.join(at.withColumnRenamed("root", "root_m"), star["cls"] == F.col("m"), "left").select("hub", "cls", F.coalesce("root_m", "cls").alias("root"))
+    hubs = star.select("hub").distinct().withColumnRenamed("hub", "node").join(roots, "node", "left").select(F.col("node").alias("hub"), root.alias("hub_root"))
+    placed = placed.join(hubs, "hub").withColumn("stray", F.col("root") != F.col("hub_root"))
+    unfinished = placed.where("stray").select("hub").distinct()
+    placed = placed.join(unfinished, "hub", "left_semi")
+    both = placed.join(sets.select(F.col("cls").alias("hub"), F.col("codes").alias("core")), "hub").join(sets, "cls")
+    members = both.select(
+        "hub", "cls", "root", "stray", F.size("codes").alias("n"), F.size("core").alias("width"),
+        F.array_except("codes", "core").alias("extra"), F.array_except("core", "codes").alias("lack"),
+    )
+    return cut(members.join(placed.groupBy("hub").agg(F.count("*").alias("members")), "hub"))
+
+
+def links_within(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: enough of the links between members of one hub to join what links join, for hubs of a task's size.
+
+    Members have in common the hub's codes without what either lacks, and what both have beyond; a stray's counts of
+    shared codes with all members come from the lists of who has which, so similarities are exact and only links that
+    join two components leave the task.
+    """
+
+    def solve(group: pa.Table) -> pa.Table:
+        m = len(group)
+        n, width = group["n"].to_numpy(), group["width"][0].as_py()
+        lists = {c: group[c].combine_chunks() for c in ("lack", "extra")}
+        counts = {c: np.diff(x.offsets.to_numpy()) for c, x in lists.items()}
+        have = width - counts["lack"]
+        who, code = [], []
+        for c, x in lists.items():
+            values = x.flatten().to_numpy()
+            own, at, times = np.unique(values, return_inverse=True, return_counts=True)
+            twice = times[at] > 1
+            who.append(np.repeat(np.arange(m), counts[c])[twice])
+            code.append(at[twice] + (sum(map(len, code)) and code[0].max() + 1))
+        who, code = np.concatenate(who), np.concatenate(code)
+        by_code = np.argsort(code, kind="stable")
+        listed, start = who[by_code], np.searchsorted(code[by_code], np.arange(code.max() + 2 if len(code) else 1))
+        by_who = np.argsort(who, kind="stable")
+        mine, first = code[by_who], np.searchsorted(who[by_who], np.arange(m + 1))
+        _, part = np.unique(np.array([r for r in group["root"].to_pylist()], dtype=object), return_inverse=True)
+        links = []
+        for i in np.flatnonzero(group["stray"].to_numpy()):
+            lists_of = [listed[start[k] : start[k + 1]] for k in mine[first[i] : first[i + 1]]]
+            shared = np.bincount(np.concatenate(lists_of), minlength=m) if lists_of else np.zeros(m, int)
+            common = have[i] + have - width + shared
+            near = np.flatnonzero((100 * common >= percent * (n[i] + n - common)) & (part != part[i]))
+            for j in near:
+                if part[j] != part[i]:
+                    links.append((int(i), int(j)))
+                    part[part == part[j]] = part[i]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        cls = group["cls"]
+        return pa.table({"a": cls.take(pa.array(a, pa.int64())), "b": cls.take(pa.array(b, pa.int64()))})
+
+    return members.groupBy("hub").applyInArrow(solve, "a binary, b binary")
+
+
+def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of members of one hub in different components that may still be similar enough, for hubs of any size.
 
     A member is described against its hub's codes and those that many members have (together the core): the codes
     it lacks, and the few it has beyond. Two members have at most the core codes of the poorer one in common, and beyond
@@ -186,20 +251,6 @@ def cross_pairs(star: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     def enough(common: str) -> str:
         return f"{100 + percent} * ({common}) >= {percent} * (na + nb) AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
-    root = F.coalesce("root", F.col("node"))
-    at = roots.select(F.col("node").alias("m"), "root")
-    placed = star.join(at.withColumnRenamed("root", "root_m"), star["cls"] == F.col("m"), "left").select("hub", "cls", F.coalesce("root_m", "cls").alias("root"))
-    hubs = star.select("hub").distinct().withColumnRenamed("hub", "node").join(roots, "node", "left").select(F.col("node").alias("hub"), root.alias("hub_root"))
-    placed = placed.join(hubs, "hub").withColumn("stray", F.col("root") != F.col("hub_root"))
-    unfinished = placed.where("stray").select("hub").distinct()
-    placed = placed.join(unfinished, "hub", "left_semi")
-    both = placed.join(sets.select(F.col("cls").alias("hub"), F.col("codes").alias("core")), "hub").join(sets, "cls")
-    members = cut(
-        both.select(
-            "hub", "cls", "root", "stray", F.size("codes").alias("n"), F.size("core").alias("width"),
-            F.array_except("codes", "core").alias("extra"), F.array_except("core", "codes").alias("lack"),
-        )
-    )
     beyond = members.select("hub", "cls", F.explode("extra").alias("code"))
     counts = beyond.groupBy("hub", "code").agg(F.count("*").alias("having")).where("having > 1")
     common = counts.where(F.col("having") > COMMON).groupBy("hub").agg(F.collect_set("code").alias("common"))
@@ -228,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
 
     Rows with the same set are one class. Classes that share a band are compared: first each with the hub of the
     band, its most typical class (whose bands are fullest), then those that are still apart after joining the confirmed
-    pairs, see :func:`cross_pairs`. Pairs that the registers leave possible are confirmed on their full sets
+    pairs, within each hub. Pairs that the registers leave possible are confirmed on their full sets
     (100 * common >= ``percent`` * all). ``component_id`` is the smallest ``doc_id`` that links reach, and
     that document is kept. Null and texts without words are linked with nothing; a null ``doc_id`` is never a
     component's name unless all of it is null; rows with the same ``doc_id`` and text share their result.
@@ -256,8 +307,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     sets = cut(sets)
     links = cut(confirmed(pairs, classes, sets, band, percent))
     joined = components(links)
-    rest = cross_pairs(star, joined, sets, percent).join(pairs, ["a", "b"], "left_anti")
-    more = cut(confirmed(rest, classes, sets, band, percent))
+    members = members_of_open_hubs(star, joined, sets)
+    large = members.where(F.col("members") > HUB_ROWS)
+    more = links_within(members.where(F.col("members") <= HUB_ROWS), percent)
+    if large.take(1):
+        rest = cross_pairs(large.drop("members"), percent).join(pairs, ["a", "b"], "left_anti")
+        more = more.unionAll(confirmed(rest, classes, sets, band, percent))
+    more = cut(more)
     roots = components(links.unionAll(more)) if more.take(1) else joined
     named = classes.select("cls", "id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -93,8 +93,10 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_large_group_of_copies_that_are_mostly_apart(docs):
+@pytest.mark.parametrize("hub_rows", [10_000, 3])
+def test_large_group_of_copies_that_are_mostly_apart(docs, monkeypatch, hub_rows):
     """Copies with up to six edits of one text: only few pairs are near, and some link through shared edits alone."""
+    monkeypatch.setattr(neardup, "HUB_ROWS", hub_rows)
     base = prose(5, 160)
     rows = [(i, edited(base, 50 + i, i % 7)) for i in range(1, 120)]
     for k in range(6):
