@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plantspark.llm.common import columns, keep_columns, let, lower_ascii
 
+#: A common line is joined to its documents in this many parts, so one that all documents hold is no single task's.
+PARTS = 16
 TRIM = r" \t\n\u000b\f\r"
 
 
@@ -18,8 +20,8 @@ def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int) -> DataFra
     """``doc_id``, hash of the text and the line positions (from 0) that go.
 
     A key is stood for by two independent 64-bit hashes. Counting is two aggregates, each combined before
-    its shuffle, so a line that every document holds costs a row per task. The join back is a plain one, whose
-    oversized partitions the engine splits.
+    its shuffle, so a line that every document holds costs a row per task. For the join back, the documents of a line
+    are dealt into ``PARTS`` parts, each of which meets its own row of the common line.
     """
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = (
@@ -33,9 +35,10 @@ def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int) -> DataFra
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "last_doc")
+        .select("h1", "h2", "last_doc", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long").alias("part"))
     )
-    gone = keyed.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(PARTS)))
+    gone = dealt.join(common, ["h1", "h2", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
