@@ -35,7 +35,7 @@ def dropped_positions(docs: DataFrame, min_docs: int, min_chars: int) -> DataFra
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "last_doc", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long").alias("part"))
+        .select("h1", "h2", "last_doc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
     )
     dealt = keyed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(PARTS)))
     gone = dealt.join(common, ["h1", "h2", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
