@@ -14,6 +14,10 @@ from plantspark.plans.ordered import first_per_key, windowed
 from plantspark.schema import SERIES
 
 
+#: Windows of a hole that are listed in one step.
+HOLE_BLOCK = 10_000
+
+
 def method_by_name(sensor: Column | str = "sensor") -> Column:
     """Aggregate implied by a sensor name: meters keep the last reading, status and fault points
     the maximum, everything else is averaged."""
@@ -112,14 +116,18 @@ def gap_fill(
 ) -> DataFrame:
     """Insert the missing windows of a resampled table as null rows.
 
-    Every row generates the gap in front of it, so no spine table and no join are needed. Added
+    Every row generates the gap in front of it, in blocks, so no spine table and no join are needed. Added
     rows carry the flag ``INSUFFICIENT_DATA`` in ``quality_flags``.
     """
     step = F.expr(f"INTERVAL {every}")
     prev = windowed(
         df.select(*keys, ts, value), keys, [ts], 1, {"_prev": lambda w: F.lag(ts).over(w)}, time_chunk(ts, slice_seconds)
     )
-    grid = prev.withColumn("_slot", F.explode(F.sequence(F.coalesce(F.col("_prev") + step, F.col(ts)), F.col(ts), step)))
+    # A hole is cut into blocks of at most HOLE_BLOCK windows, so no array grows with it.
+    long = F.expr(f"{HOLE_BLOCK} * INTERVAL {every}")
+    first = F.coalesce(F.col("_prev") + step, F.col(ts))
+    blocks = prev.withColumn("_from", F.explode(F.sequence(first, F.col(ts), long)))
+    grid = blocks.withColumn("_slot", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + long - step, F.col(ts)), step)))
     real = F.col("_slot") == F.col(ts)
     return grid.select(
         *keys,

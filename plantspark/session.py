@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Settings that may be changed on a running session.
@@ -43,20 +40,3 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def reliable_checkpoint(df):
-    """Cut the lineage of ``df`` through the checkpoint folder the cluster names.
-
-    Only where no folder is configured at all (tests on one machine) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="plantspark-", dir=os.environ.get("TMPDIR", "/tmp")))
-        else:
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return df.checkpoint(eager=True)

@@ -99,12 +99,13 @@ def verify_parquet(spark: SparkSession, path: str, ts: str = "ts") -> None:
 
 
 def write_batch(df: DataFrame, path: str, site_id: str, baseline: datetime, metadata: dict | None = None, audit: dict | None = None) -> str:
-    """Write readings and a manifest next to them; returns the manifest path."""
+    """Write readings, the list of their files and a manifest next to them; returns the manifest path."""
     spark = df.sparkSession
     write_readings(df, f"{path}/data")
     stored = spark.read.parquet(f"{path}/data")
     stats = batch_stats(stored, file=None).first().asDict()
-    files = stored.select(F.col("_metadata.file_path").alias("f")).distinct()
+    files = _stored_files(spark, path)
+    files.write.mode("overwrite").parquet(f"{path}/files")
     body = {
         "manifest_version": "1",
         "batch_id": str(uuid.uuid4()),
@@ -127,6 +128,20 @@ def write_batch(df: DataFrame, path: str, site_id: str, baseline: datetime, meta
     return manifest
 
 
+def _stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes`` below ``path``/data, from the listing alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
+    return listed.select(F.substring_index("path", "/data/", -1).alias("file"), F.col("length").alias("bytes"))
+
+
+def file_differences(spark: SparkSession, path: str) -> DataFrame:
+    """``file, problem`` for files of a batch that are missing, foreign or of another size than its list says."""
+    now = _stored_files(spark, path).withColumnRenamed("bytes", "_now")
+    both = spark.read.schema("file string, bytes bigint").parquet(f"{path}/files").join(now, "file", "full")
+    problem = F.when(F.col("_now").isNull(), "missing").when(F.col("bytes").isNull(), "foreign").when(F.col("bytes") != F.col("_now"), "changed")
+    return both.select("file", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of every file below a folder, computed where the file is read."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -134,7 +149,7 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, path: str, vocabulary: Sequence[str] = tuple(QUALITY_FLAGS), schema_version: str | None = None) -> tuple[DataFrame, dict]:
-    """Readings and manifest of a batch after its checks: checksum, time baseline, vocabulary, version."""
+    """Readings and manifest of a batch after its checks: checksum, time baseline, vocabulary, version, list of files."""
     row = spark.read.schema("manifest string, checksum string").json(f"{path}/manifest").select(
         "manifest", (F.sha2("manifest", 256) == F.col("checksum")).alias("ok")
     ).first()
@@ -149,6 +164,9 @@ def read_batch(spark: SparkSession, path: str, vocabulary: Sequence[str] = tuple
     audit = m.get("annotation_audit_trail") or {}
     if schema_version and audit and audit.get("schema_version") != schema_version:
         raise ContractError(f"annotation version {audit.get('schema_version')}, {schema_version} expected")
+    differ = file_differences(spark, path)
+    if first := differ.first():
+        raise ContractError(f"{differ.count()} files differ from the batch's list, e.g. {first['file']} is {first['problem']}")
     return spark.read.parquet(f"{path}/data"), m
 
 
@@ -174,23 +192,26 @@ class RunHistory:
             runs = runs.withColumn("run_id", F.expr("uuid()"))
         runs.select(*names).write.mode("append").parquet(self.path)
 
-    def all(self) -> DataFrame:
+    def _read(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(RUNS).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(path)
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], RUNS)
+                return self.spark.createDataFrame([], schema)
             raise
 
+    def all(self) -> DataFrame:
+        """Runs that are not deleted."""
+        gone = self._read(f"{self.path}.deleted", "run_id string")
+        return self._read(self.path, RUNS).join(gone, "run_id", "left_anti")
+
     def clear(self) -> None:
         self.spark.createDataFrame([], RUNS).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([], "run_id string").write.mode("overwrite").parquet(f"{self.path}.deleted")
 
     def delete(self, run_id: str) -> bool:
-        """Drop one run. The rest is written beside the table first, then put in its place."""
-        runs = self.all()
-        if runs.where(F.col("run_id") == run_id).isEmpty():
+        """Mark one run as deleted; the runs themselves are never rewritten, so nothing appended meanwhile is lost."""
+        if self.all().where(F.col("run_id") == run_id).isEmpty():
             return False
-        beside = f"{self.path}.keep"
-        runs.where(F.col("run_id") != run_id).write.mode("overwrite").parquet(beside)
-        self.spark.read.schema(RUNS).parquet(beside).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([(run_id,)], "run_id string").write.mode("append").parquet(f"{self.path}.deleted")
         return True

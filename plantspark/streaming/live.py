@@ -1,4 +1,4 @@
-"""Structured Streaming forms of three batch operators.
+"""Structured Streaming forms of two batch operators.
 
 The batch operators stay the reference; these give the same rows for data that arrives within the
 lateness bound.
@@ -6,14 +6,10 @@ lateness bound.
 
 from __future__ import annotations
 
-import statistics
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StructField, StructType, TimestampType
 
 from plantspark.operators.resample import method_by_name
 from plantspark.schema import SERIES
@@ -48,50 +44,6 @@ def keep_first_stream(df: DataFrame, late: str = "10 minutes", keys: Sequence[st
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark([*keys, ts])
 
 
-class _FrozenProcessor(StatefulProcessor):
-    """Keeps the last ``window`` values of a series and flags it when they do not move."""
-
-    def __init__(self, window: int, threshold: float):
-        self.window, self.threshold = window, threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("ts", TimestampType()), StructField("value", DoubleType())])
-        self.recent = handle.getListState("recent", schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        batch = pd.concat(list(rows)).sort_values("ts")
-        out = []
-        for t, v in zip(batch["ts"], batch["value"]):
-            kept = (kept + [(t.to_pydatetime(), None if pd.isna(v) else float(v))])[-self.window :]
-            vals = [x for _, x in kept if x is not None]
-            frozen = len(vals) == self.window and statistics.stdev(vals) < self.threshold
-            out.append((*key, t, v, frozen))
-        self.recent.put(kept)
-        yield pd.DataFrame(out, columns=["site_id", "sensor", "ts", "value", "is_frozen"])
-
-    def close(self) -> None:
-        pass
-
-
-def frozen_stream(df: DataFrame, window: int = 6, threshold: float = 0.001) -> DataFrame:
-    """Frozen flags for each reading of a stream; one short list of values per series is kept.
-
-    Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``).
-    """
-    return (
-        df.select(*SERIES, "ts", "value")
-        .groupBy(*SERIES)
-        .transformWithStateInPandas(
-            statefulProcessor=_FrozenProcessor(window, threshold),
-            outputStructType="site_id string, sensor string, ts timestamp, value double, is_frozen boolean",
-            outputMode="Append",
-            timeMode="None",
-        )
-    )
-
-
 def stream_time(ts: Column | str = "ts") -> Column:
     """Watermarks need TIMESTAMP; readings hold naive UTC."""
     return (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")

@@ -124,3 +124,14 @@ def test_lines_of_thousands_of_quoted_fields(spark):
     got = [r[0] for r in df.select(reports.split_fields(F.col("line"))).collect()]
     assert got[0] == [f"{i},5" for i in range(3000)]
     assert got[1] == ["a", "b,c", "", 'd"e', ""] and got[2] == [""] and got[3] == ["", "x", "y"]
+
+
+def test_long_holes_are_filled_in_blocks(spark, monkeypatch):
+    from plantspark.operators import resample
+
+    monkeypatch.setattr(resample, "HOLE_BLOCK", 7)
+    rows = [("a", T0), ("a", T0 + timedelta(minutes=100)), ("a", T0 + timedelta(minutes=101)), ("b", T0), ("b", T0 + timedelta(minutes=14))]
+    df = spark.createDataFrame([(k, t, 1.0) for k, t in rows], "k string, ts timestamp_ntz, value double")
+    got = resample.gap_fill(df, "1 minute", 86_400, keys=["k"]).collect()
+    assert sorted((r.k, r.ts) for r in got) == [("a", T0 + timedelta(minutes=i)) for i in range(102)] + [("b", T0 + timedelta(minutes=i)) for i in range(15)]
+    assert sum(r.value is not None for r in got) == 5

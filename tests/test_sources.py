@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plantspark.operators import quality
 from plantspark.operators import resample as rs
 from plantspark.schema import READINGS
-from plantspark.session import reliable_checkpoint, tune
+from plantspark.session import tune
 from plantspark.sources import tables as tb
 from plantspark.streaming import live
 
@@ -80,9 +80,8 @@ def test_run_history(spark, tmp_path):
     assert h.all().count() == 0
 
 
-def test_checkpoint_and_tune(spark, readings, rows):
-    tune(spark)
-    assert rows(reliable_checkpoint(readings)) == rows(readings)
+def test_tune(spark):
+    assert tune(spark).conf.get("spark.sql.adaptive.enabled") == "true"
 
 
 # ------------------------------------------------------------------ streams
@@ -126,9 +125,10 @@ def test_stream_keep_first(stream):
     assert drain(live.keep_first_stream(twice), "deduped", "append").count() == batch.count()
 
 
-def test_stream_frozen(spark, stream):
-    live_df, batch = stream
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = drain(live.frozen_stream(live_df), "frozen", "append")
-    want = quality.frozen_flags(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 86_400)
-    assert {r.ts: r.is_frozen for r in out.collect()} == {r.ts: r.is_frozen for r in want.collect()}
+def test_batch_files_are_checked(spark, readings, tmp_path):
+    path = str(tmp_path / "batch")
+    tb.write_batch(readings, path, "s", datetime(2024, 1, 1))
+    assert tb.read_batch(spark, path)[0].count() == readings.count()
+    readings.limit(1).write.parquet(path + "/data/year=2030/month=1")
+    with pytest.raises(tb.ContractError, match="foreign"):
+        tb.read_batch(spark, path)
