@@ -106,6 +106,7 @@ PLUS = "plus|más"
 WRAPPED_AT = rf"\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*"
 WRAPPED_DOT = rf"\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
 LABEL = r"[A-Za-z0-9-]+"
+_LABEL = re.compile(LABEL)
 #: Last labels that make "x at y dot z" without brackets an address.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|ai|me|tv|eu|uk|us|ca|au|de|at|ch|fr|be|es|mx|ar|it|nl|pl|pt|br|ru|jp|cn|in"
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
@@ -152,18 +153,44 @@ def _spelled(run: str, at: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def _is_label(text: str, start: int, end: int) -> bool:
+    """Whether exactly one label stands there; looks no further than it reaches."""
+    m = _LABEL.match(text, start, end)
+    return m is not None and m.end() == end
+
+
+def _after_at(text: str, end: int) -> bool:
+    """Whether labels joined by dots stand between a plain @ and ``end``."""
+    while end and (text[end - 1].isascii() and text[end - 1].isalnum() or text[end - 1] in ".-"):
+        end -= 1
+    return end > 0 and text[end - 1] == "@"
+
+
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, sign)``; a bare dot counts only after an at in the same address."""
-    out, live = [], -1
+    """``(start, end, sign)``; a bare dot counts between digits, after an @ in the same address, or in the name before one."""
+    out, live, waiting = [], -1, []
     for m in ADDRESS.finditer(text):
-        kind = m.lastgroup
+        kind, (s, e) = m.lastgroup, m.span()
         if kind in ("wrapped_at", "bare_at"):
-            out.append((m.start(), m.end(), "@"))
-        elif kind == "wrapped_dot" or live >= 0 and re.fullmatch(LABEL, text[live : m.start()]):
-            out.append((m.start(), m.end(), "."))
+            name = s
+            for a, b in reversed(waiting):  # john dot smith at ...
+                if not _is_label(text, b, name):
+                    break
+                out.append((a, b, "."))
+                name = a
+            out.append((s, e, "@"))
+            waiting = []
+        elif (
+            kind == "wrapped_dot"
+            or text[s - 1].isdigit() and text[e].isdigit()
+            or live >= 0 and _is_label(text, live, s)
+            or _after_at(text, s)
+        ):
+            out.append((s, e, "."))
         else:
+            waiting.append((s, e))
             continue
-        live = m.end()
+        live = e
     return out
 
 

@@ -29,6 +29,10 @@ def found(text):
 def test_disguises():
     assert found("mail jane (at) example [dot] com now") == [("email", "jane (at) example [dot] com")]
     assert found("mail jane at example dot org now") == [("email", "jane at example dot org")]
+    assert found("mail john dot smith at mail dot example dot com, please") == [("email", "john dot smith at mail dot example dot com")]
+    assert found("mail jane@example dot com now") == [("email", "jane@example dot com")]
+    assert found("host 10 dot 0 dot 0 dot 7 is up") == [("ip", "10 dot 0 dot 0 dot 7")]
+    assert found("host 10[dot]0[dot]0[dot]7 is up") == [("ip", "10[dot]0[dot]0[dot]7")]
     assert found("ask bоb@exаmple.com") == [("email", "bоb@exаmple.com")]
     assert found("ｂob＠example．com!") == [("email", "ｂob＠example．com")]
     assert found("call plus one five five five zero one zero nine nine nine nine please") == [("phone", "plus one five five five zero one zero nine nine nine nine")]
@@ -43,7 +47,7 @@ def test_clean_text_has_none():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "one " * 50_000, "( at ) " * 30_000, "1 " * 100_000):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000, "one " * 50_000, "( at ) " * 30_000, "1 " * 100_000, "a dot " * 40_000, "@a dot " * 40_000, "a at b dot com " * 20_000, "a [at] b.c " + "x dot " * 60_000):
         pii.disguised(text, pii.detect(text))
 
 
