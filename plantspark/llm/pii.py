@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -230,15 +231,18 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
                 edits.append((s, s2, p))  # blanks between two digits go with the first
         if edits:
             views.append(_rewrite(plain, edits))
-    found: set[tuple[int, int, int]] = set()
+    found: list[tuple[int, int, int]] = []
+    taken: list[list[Span]] = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # apart and in order
     for view, at in views:
         for s, kind, e in detect(view):
             p, q = at[s][0], at[e - 1][1]
             first, last = source[p], source[q - 1] + 1
-            if text[first:last] == view[s:e]:
-                continue
-            if not any(k == kind and first < b and a < last for a, k, b in [*base, *found]):
-                found.add((first, kind, last))
+            own = taken[kind]
+            i = bisect_left(own, (first, last))
+            clear = (i == 0 or own[i - 1][1] <= first) and (i == len(own) or own[i][0] >= last)
+            if clear and text[first:last] != view[s:e]:
+                own.insert(i, (first, last))
+                found.append((first, kind, last))
     return sorted(found)
 
 
