@@ -89,6 +89,7 @@ def _with_seeds(items: Items, counts: np.ndarray, total: int) -> Items:
         chance = sum(log_p[w[k : k + len(c)]] for k in range(SEED)) + np.log(max(total, 1))
         at = np.flatnonzero(chance < 0)
         at = at if len(at) else np.arange(len(c))
+        at = at[np.unique(c[at], return_index=True)[1]]  # a repeated seed stands at its first place
         codes.append(c[at])
         item.append(np.full(len(at), i))
         place.append(at)
