@@ -39,8 +39,10 @@ SCRIPT_SHARE = 0.01
 #: Natural-log units that a change of language costs, and how much of the evidence of overlapping n-grams counts.
 SWITCH = 6.0
 EVIDENCE = 0.4
-#: Words scored and labelled together.
-CHUNK_WORDS = 1_000_000
+#: Distinct words scored in one step.
+SCORE_WORDS = 50_000
+#: Words labelled together.
+CHUNK_WORDS = 500_000
 
 
 def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -76,10 +78,12 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         scores = np.zeros((len(words), len(self.langs)), np.float32)
-        for h, word in _grams(words):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else []
-            if len(first):
-                scores[word[first]] += np.add.reduceat(self.table[h], first, axis=0)
+        for start in range(0, len(words), SCORE_WORDS):
+            own = scores[start : start + SCORE_WORDS]
+            for h, word in _grams(words[start : start + SCORE_WORDS]):
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else []
+                if len(first):
+                    own[word[first]] += np.add.reduceat(self.table[h], first, axis=0)
         scores *= EVIDENCE
         scores -= scores.max(axis=1, keepdims=True)
         return np.where(self.allowed[_scripts(words)], scores, np.float32(-60.0))
