@@ -1 +1 @@
-"""Reusable plan shapes: ordered work split into time slices, exact quantiles, salted joins."""
+"""Reusable plan shapes: ordered work split into time slices, exact quantiles, null-safe joins."""
