@@ -258,12 +258,12 @@ def importance_rank(spark, sf):
     "setpoint_by_model",
     f"""
 WITH {PLANT}
-SELECT site_id, ts, round(load_rt, 6) AS load_rt, load_rt IS NOT NULL AS found, load_rt IS NOT NULL AS on_axes, load_rt IS NOT NULL AS not_worse
+SELECT site_id, ts, round(load_rt, 6) AS load_rt, true AS found, true AS on_axes, true AS not_worse
 FROM plant""",
 )
 def setpoint_by_model(spark, sf):
     p = plant(spark, sf)
-    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4, row_keys=("site_id", "ts"))
+    cfg = model.ModelConfig(features=("load_rt", "pump_hz", "fan_hz"), target="power_kw", use_time_features=False, kind="random_forest", trees=5, depth=4, impute="mean", row_keys=("site_id", "ts"))
     fitted = model.train(p, cfg)
     contexts = p.select(F.concat_ws("|", "site_id", F.col("ts").cast("string")).alias("context_id"), "site_id", "ts", "load_rt")
     axes = {"chw_pump_hz": sp.hz_steps(), "ct_fan_hz": sp.hz_steps()}
