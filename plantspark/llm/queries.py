@@ -205,7 +205,8 @@ FROM ranked r JOIN plan p ON p.source = r.source AND p.nth = (r.rank // 32) % p.
 
 @query("op9_source_mix", MIX_SQL)
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Its SQL defines it over rounds of about 1,000 slots; the pipeline mixes by the unrounded weights."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), round_slots=mixing.ROUND)
 
 
 # ------------------------------------------------------------------ quality rules

@@ -85,3 +85,32 @@ def test_mix_with_given_weights(spark, docs):
     for n in range(8, 200, 8):
         share = sum(r.source == "src0" for r in got[:n])
         assert abs(share - 0.75 * n) < 2
+
+
+def test_exact_order_stays_within_a_block_of_the_given_weights():
+    """A hot source, a tiny one, over 1,000 sources and fractional weights, over the whole length."""
+    hot = [139_580, *[45_285] * 19]
+    many = [1 + i % 10 for i in range(1500)]
+    for weights, lengths in ((hot, [w // 10 for w in hot]), ([10_000, 1, 4999], [10_000, 1, 4999]), (many, [3 * w for w in many]), (mixing.whole_numbers(["0.3", "0.45", "0.0001", "1E-3"]), [3000, 4500, 1, 10])):
+        total, done, last = sum(weights), [0] * len(weights), min(n * sum(weights) // w for n, w in zip(lengths, weights, strict=True))
+        for t, (k, nth, slot, release, deadline) in enumerate(mixing.fair_slots(weights, lengths), 1):
+            assert nth == done[k] and release == nth * total // weights[k] and release <= slot < deadline == -(-(nth + 1) * total // weights[k])
+            done[k] += 1
+            if slot < last and t % 7 == 0:
+                assert t == slot + 1 and all(abs(d * total - t * w) < total for d, w in zip(done, weights, strict=True))
+        assert done == lengths
+
+
+def test_mix_follows_unrounded_weights(spark):
+    """By position, each source is less than a block from its weight, in rounds and over the whole length."""
+    n = {"hot": 3000, "tiny": 4, "other": 1500}
+    df = spark.createDataFrame([(f"{s}{i}", s) for s, c in n.items() for i in range(c)], "doc_id string, source string")
+    for given in ({"hot": 0.67, "tiny": 0.0005, "other": 0.3295}, {"hot": 2.0, "tiny": 0.001, "other": 1.0}, {"hot": 5.0, "tiny": 1.0, "other": 2.0}):
+        weights = spark.createDataFrame(list(given.items()), "source string, weight double")
+        got = sorted(mixing.mix(df, weights, block=1).collect(), key=lambda r: r.position)
+        assert len(got) == sum(n.values()) == len({r.position for r in got}) and all(r.release <= r.slot < r.deadline for r in got)
+        done, total = dict.fromkeys(n, 0), sum(given.values())
+        last = min(c * total / given[s] for s, c in n.items())
+        for t, r in enumerate(got, 1):
+            done[r.source] += 1
+            assert t > last or all(abs(done[s] - t * w / total) < 1 + 1e-9 for s, w in given.items())
