@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them."""
+"""Benchmark decontamination: near word pairs find passages, local alignment scores them."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +16,12 @@ from pyspark.sql import types as T
 from plantspark.llm.common import columns
 
 WORDS = re.compile(r"\w+")
-#: Words of a seed.
-SEED = 4
+#: Items under so many words are not searched for.
+LEAST = 4
+#: A seed is two words at one of these distances, in the item and in the text.
+DISTANCES = (1, 2)
+#: Places of an item whose seeds more items of a block hold than this may go, up to half of the hits it needs.
+COMMON = 64
 #: Alignment scores in words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage is a copy if its score reaches this share of the best possible for the item, or for
@@ -32,72 +35,61 @@ def tokens(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def _codes(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each run of ``SEED`` words; equal runs have equal codes."""
-    code = np.zeros(max(0, len(ids) - SEED + 1), np.uint64)
-    for k in range(SEED):
-        code = (code ^ ids[k : k + len(code)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        code ^= code >> np.uint64(29)
-    return code
+def _pairs(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of a text of known (from 0) and unknown words (-1), as numbers, and the place each starts at."""
+    codes, places = [], []
+    for d in DISTANCES:
+        a, b = ids[:-d], ids[d:]
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        codes.append(a[at] * size + b[at])
+        places.append(at)
+    return np.concatenate(codes), np.concatenate(places)
 
 
 @dataclass
 class Items:
-    """A block of test items: words as numbers, and its seeds sorted by code."""
+    """A block of test items: words as numbers, the items that hold each seed, and for each the hits and the words of a text that a copy has."""
 
     ids: list
     words: list[np.ndarray]
     vocabulary: dict[str, int]
-    codes: np.ndarray | None = None
-    item: np.ndarray | None = None
-    place: np.ndarray | None = None
+    codes: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    hits: np.ndarray
+    reach: np.ndarray
 
 
 def _items(rows: list) -> Items:
+    """An alignment of m matches has m - 1 steps from one to the next. A step with at most one error is a seed at a place of its own in
+    item and text; any other costs 2 or more, so a score of s needs s / 2 - 1 seeds, and errors end it within 3 words - s.
+    """
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(r["text"])], np.int64) for r in rows]
-    return Items([r["item_id"] for r in rows], words, vocabulary)
-
-
-def word_counts(docs: DataFrame, shared: Broadcast) -> tuple[np.ndarray, int]:
-    """How often the corpus has each word of the block's vocabulary, and how many words it has."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value.vocabulary
-        n = np.zeros(len(vocabulary) + 1, np.int64)
-        for batch in batches:
-            for text in batch.column("text"):
-                ids = [vocabulary.get(w, -1) for w in tokens(text.as_py())]
-                n += np.bincount(np.array(ids, np.int64) + 1, minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["word", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(len(shared.value.vocabulary) + 1, np.int64)
-    n[rows["word"].to_numpy()] = rows["n"].to_numpy()
-    return n[1:], int(n.sum())
-
-
-def _with_seeds(items: Items, counts: np.ndarray, total: int) -> Items:
-    """Keep the n-grams that a corpus of independent words would hold less than once; an item without any keeps all."""
-    log_p = np.log(np.maximum(counts, 0.5) / max(total, 1))
-    codes, item, place = [], [], []
-    for i, w in enumerate(items.words):
-        c = _codes(w)
-        if not len(c):
-            continue
-        chance = sum(log_p[w[k : k + len(c)]] for k in range(SEED)) + np.log(max(total, 1))
-        at = np.flatnonzero(chance < 0)
-        at = at if len(at) else np.arange(len(c))
-        at = at[np.unique(c[at], return_index=True)[1]]  # a repeated seed stands at its first place
-        codes.append(c[at])
-        item.append(np.full(len(at), i))
-        place.append(at)
-    if codes:
-        codes, item, place = map(np.concatenate, (codes, item, place))
-        order = np.argsort(codes, kind="stable")
-        items.codes, items.item, items.place = codes[order], item[order], place[order]
-    return items
+    size = max(1, len(vocabulary))
+    need = np.array([needed(len(w)) for w in words])
+    hits = np.maximum(1, np.ceil(need / MATCH - 1)).astype(np.int64)
+    reach = np.array([3 * len(w) for w in words], np.int64) - np.ceil(need).astype(np.int64)
+    code, item, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, w in enumerate(words):
+        if len(w) >= LEAST:
+            c, at = _pairs(w, size)
+            code.append(c)
+            item.append(np.full(len(c), i))
+            place.append(at)
+    code, item, place = map(np.concatenate, (code, item, place))
+    held = np.unique(np.stack([code, item]), axis=1)[0]
+    own, n = np.unique(held, return_counts=True)
+    common = n[np.searchsorted(own, code)] > COMMON
+    keep = np.ones(len(code), bool)
+    for i in np.unique(item[common]):  # each place that goes costs a copy one hit at most
+        mine = np.flatnonzero(item == i)
+        gone = np.unique(place[mine[common[mine]]])[: hits[i] // 2]
+        keep[mine[np.isin(place[mine], gone)]] = False
+        hits[i] -= len(gone)
+    code, item = np.unique(np.stack([code[keep], item[keep]]), axis=1)
+    own, first = np.unique(code, return_index=True)
+    return Items([r["item_id"] for r in rows], words, vocabulary, own, np.append(first, len(code)), item, hits, reach)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -120,43 +112,39 @@ def needed(length: int) -> float:
 
 def hits_in(text: str | None, items: Items) -> list[tuple[int, int, int, float, int]]:
     """``item, seeds, score, similarity, last word`` of every item that the text holds a copy of, the best copy each."""
-    if items.codes is None:
+    if not len(items.codes):
         return []
     get = items.vocabulary.get
     ids = np.array([get(w, -1) for w in tokens(text)], np.int64)
-    if len(ids) < SEED:
-        return []
-    known = ids >= 0
-    full = np.ones(len(ids) - SEED + 1, bool)
-    for k in range(SEED):
-        full &= known[k : k + len(full)]
-    at = np.flatnonzero(full)
-    if not len(at):
+    if len(ids) < LEAST:
         return []
-    codes = _codes(ids)[at]
-    low = np.searchsorted(items.codes, codes, "left")
-    n = np.searchsorted(items.codes, codes, "right") - low
-    places: dict[int, list[int]] = defaultdict(list)
-    for j in np.flatnonzero(n):
-        for s in range(low[j], low[j] + n[j]):
-            places[int(items.item[s])].append(int(at[j]) - int(items.place[s]))
+    codes, at = _pairs(ids, len(items.vocabulary))
+    found = np.minimum(np.searchsorted(items.codes, codes), len(items.codes) - 1)
+    same = items.codes[found] == codes
+    found, at = found[same], at[same]
+    n = items.first[found + 1] - items.first[found]
+    which = items.item[np.repeat(items.first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    seeds = np.unique(which * len(ids) + np.repeat(at, n))  # a place of the text counts once for an item
+    which, at = np.divmod(seeds, len(ids))
+    last = np.arange(len(seeds)) + items.hits[which] - 1
+    k = np.flatnonzero(last < len(seeds))
+    k = k[(which[last[k]] == which[k]) & (at[np.minimum(last[k], len(seeds) - 1)] - at[k] <= items.reach[which[k]])]
     out = []
-    for i, starts in places.items():
-        words = items.words[i]
-        slack = len(words) // 4 + 8
-        best = (0, 0)
-        starts.sort()
-        k = 0
-        while k < len(starts):  # copies whose windows touch are aligned together
-            a = b = starts[k]
-            while k < len(starts) and starts[k] - b <= len(words) + 2 * slack:
-                b = starts[k]
-                k += 1
-            first = max(0, a - slack)
-            score, end = align(words, ids[first : b + len(words) + slack])
-            best = max(best, (score, first + end))
+    for i in np.unique(which[k]):
+        words, reach = items.words[i], int(items.reach[i])
+        mine = k[which[k] == i]
+        best, end = (0, 0), -1
+        starts, stops = np.maximum(0, at[last[mine]] - reach), at[mine] + reach + 1
+        j = 0
+        while j < len(mine):  # passages that touch are aligned together
+            start, end = int(starts[j]), int(stops[j])
+            while j < len(mine) and starts[j] <= end:
+                start, end = min(start, int(starts[j])), max(end, int(stops[j]))
+                j += 1
+            score, stop = align(words, ids[start:end])
+            best = max(best, (score, start + stop))
         if best[0] >= needed(len(words)):
-            out.append((i, len(starts), best[0], best[0] / (MATCH * len(words)), best[1]))
+            out.append((int(i), int((which == i).sum()), best[0], best[0] / (MATCH * len(words)), best[1]))
     return out
 
 
@@ -169,17 +157,14 @@ def blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
     context = docs.sparkSession.sparkContext
     for b in range(n):
         items = _items(bench.where(part == b).collect() if n > 1 else bench.collect())
-        words = context.broadcast(items)
-        counts, total = word_counts(docs, words)
-        words.unpersist()
-        yield context.broadcast(_with_seeds(items, counts, total))
+        yield context.broadcast(items)
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_seeds, score, similarity, last_word``: one row for each row of ``docs`` and item it holds a copy of.
 
-    Seeds are runs of four words of an item that are rarer than chance in the corpus; each passage around seeds is
-    aligned with the item (match 2, mismatch and gap -1). The items go to the tasks in blocks of bounded size,
+    Seeds are all pairs of words of an item at a distance of one or two. Each passage with as many of them as a copy must
+    have is aligned with the item (match 2, mismatch and gap -1), so the result is that of aligning all pairs whole. The items go to the tasks in blocks of bounded size,
     and the rows of ``docs`` stay where they are. Null, empty and short texts and items (under four words) have no copy;
     repeated items and rows each count; null identifiers are carried, further columns ignored.
     """

@@ -46,3 +46,43 @@ def test_empty_tables(spark, docs):
     assert decontam.find_copies(docs([(1, "a b c d e")]), bench).count() == 0
     assert decontam.find_copies(docs([]), spark.createDataFrame([(1, prose(1, 9))], "item_id long, text string")).count() == 0
     assert decontam.remove_contaminated(docs([(1, "a")]), bench).count() == 1
+
+
+def whole(item, text):
+    """The best local alignment of all words."""
+    row, best = [0] * (len(text) + 1), 0
+    for x in item:
+        new = [0]
+        for j, y in enumerate(text, 1):
+            new.append(max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[j - 1] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_edited_copies_against_aligning_all_pairs():
+    """Every third or fourth word replaced, dropped or followed by another, in long, short and much copied items of common words."""
+    r = random.Random(4)
+    common = prose(7, 12).split()
+    items = [" ".join(r.choice(common) if r.random() < share else prose(r.random(), 1) for _ in range(n)) for n in (4, 6, 9, 12, 20, 33, 60, 130) for share in (0.2, 0.6, 1.0)]
+    texts = [prose(r.random(), 80) for _ in range(5)] + [" ".join(r.choices(common, k=150)) for _ in range(5)]
+    for item in items:
+        for every, how in ((4, "new"), (3, "new"), (4, "gone"), (2, "more"), (1, "more"), (3, "gone"), (5, "new")):
+            w = [x for k, y in enumerate(item.split()) for x in ([y] if (k + 1) % every else {"new": ["zz"], "gone": [], "more": [y, "zz"]}[how])]
+            texts.append(f"{prose(r.random(), 20)} {' '.join(w)} {prose(r.random(), 20)}")
+    rows = [{"item_id": i, "text": t} for i, t in enumerate(items)]
+    for block in (rows, rows + [{"item_id": 100 + i, "text": f"{items[5]} {i}"} for i in range(70)]):  # the second has seeds of many items
+        index = decontam._items(block)
+        assert (index.hits[5] < decontam._items(rows).hits[5]) == (block is not rows)
+        for text in texts if block is rows else texts[::6]:
+            words = decontam.tokens(text)
+            got = {i: score for i, _, score, _, _ in decontam.hits_in(text, index) if i < len(items)}
+            scores = {i: whole(decontam.tokens(t), words) for i, t in enumerate(items)}
+            assert got == {i: x for i, x in scores.items() if x >= decontam.needed(len(items[i].split()))}
+
+
+def test_copies_of_common_items_are_found(spark, docs):
+    """Many edited copies of one item: its words are frequent in the corpus then."""
+    item = prose(41, 40)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, f"{prose(i, 9)} {edited(item, 4, i)}") for i in range(60)]
+    assert decontam.find_copies(docs(rows), bench).count() == 60
