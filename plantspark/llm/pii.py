@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,16 +108,22 @@ WRAPPED_AT = rf"\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*"
 WRAPPED_DOT = rf"\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
 LABEL = r"[A-Za-z0-9-]+"
 _LABEL = re.compile(LABEL)
+_LABELS = re.compile(rf"{LABEL}(?:\.{LABEL})*")
 #: Last labels that make "x at y dot z" without brackets an address.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|ai|me|tv|eu|uk|us|ca|au|de|at|ch|fr|be|es|mx|ar|it|nl|pl|pt|br|ru|jp|cn|in"
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: At least three spelled digits, with digits, dots and a plus between or before them.
-NUMBER_RUN = re.compile(rf"(?i)(?:(?:\b(?:{PLUS})\b|\+)[\s,-]*)?(?:(?:\b(?:{_NUMBER}|{DOT})\b|[0-9]+|\.)[\s,-]*)*\b(?:{_NUMBER})\b(?:[\s,-]*(?:\b(?:{_NUMBER}|{DOT})\b|[0-9]+|\.))*")
-NUMBER_HINT = re.compile(rf"(?i)\b(?:{_NUMBER})\b(?:[\s,.-]+(?:(?:{DOT})\b[\s,-]*)?(?:{_NUMBER})\b){{2}}")
-NUMBER_TOKEN = re.compile(rf"(?i)\b(?:{_NUMBER}|{DOT}|{PLUS})\b|[0-9]|[.+]")
+NUMBER_HINT = re.compile(rf"\b(?:{_NUMBER})\b")
+NUMBER_TOKEN = re.compile(rf"\b(?:{_NUMBER}|{DOT}|{PLUS})\b|[0-9]|[.+]")
+#: What stands between the signs of a number, and what a number can hold once they are plain.
+BETWEEN, NUMERIC = re.compile(r"[\s,-]*"), frozenset("0123456789 ().+-")
+#: The fewest digits that a detector asks for.
+FEWEST = 4
+_JOINT = rf"(?:\s+(?:{DOT})\s+|{WRAPPED_DOT}|\.)"
 ADDRESS = re.compile(
-    rf"(?i)(?:(?P<wrapped_at>{WRAPPED_AT})|(?P<bare_at>(?<=[a-z0-9])\s+(?:{AT})\s+(?={LABEL}(?:\s+(?:{DOT})\s+{LABEL})*\s+(?:{DOT})\s+(?:{ENDINGS})\b))|(?P<wrapped_dot>{WRAPPED_DOT})|(?P<bare_dot>(?<=[a-z0-9])\s+(?:{DOT})\s+(?=[a-z0-9])))"
+    rf"(?i)(?:(?P<wrapped_at>{WRAPPED_AT})|(?P<bare_at>(?<=[a-z0-9])\s+(?:{AT})\s+(?={LABEL}(?:{_JOINT}{LABEL})*{_JOINT}(?:{ENDINGS})\b))|(?P<wrapped_dot>{WRAPPED_DOT})|(?P<bare_dot>(?<=[a-z0-9])\s+(?:{DOT})\s+(?=[a-z0-9])))"
 )
+#: A bare "at" with a plain dot in the word after it.
+BARE_AT = re.compile(rf"[a-z0-9]\s+(?:{AT})\s+{LABEL}\.")
 
 
 def _character(c: str) -> str:
@@ -145,18 +151,41 @@ def plain_characters(text: str) -> tuple[str, list[int]]:
     return "".join(chars), source
 
 
-def _spelled(run: str, at: int) -> list[tuple[int, int, str]]:
-    out = []
-    for m in NUMBER_TOKEN.finditer(run):
-        t = m[0].lower()
-        p = SPELLED.get(t) or ("+" if t in ("plus", "más", "+") else t if len(t) == 1 else ".")
-        out.append((at + m.start(), at + m.end(), p))
+def _lower(text: str) -> str:
+    """In lower case, each character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _number_edits(low: str) -> list[tuple[int, int, str]]:
+    """``(start, end, sign)`` for the signs of each run of digits, dots and a plus before them that has a spelled digit."""
+    out: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str]] = []
+    spelled = False
+
+    def close() -> None:
+        while run and run[-1][2] in ".+":
+            run.pop()
+        k = next((k for k, t in enumerate(run) if t[2] != "."), 0)
+        if spelled:  # blanks between two digits go with the first
+            out.extend((s, e2, p) for (s, _, p), (e2, _, _) in zip(run[k:], [*run[k + 1 :], (run[-1][1], 0, "")], strict=True))
+        run.clear()
+
+    for m in NUMBER_TOKEN.finditer(low):
+        t = m[0]
+        sign = SPELLED.get(t) or ("+" if t in ("plus", "más", "+") else t if len(t) == 1 else ".")
+        if run and (sign == "+" or not BETWEEN.fullmatch(low, run[-1][1], m.start())):
+            close()
+            spelled = False
+        run.append((m.start(), m.end(), sign))
+        spelled = spelled or t in SPELLED
+    close()
     return out
 
 
-def _is_label(text: str, start: int, end: int) -> bool:
-    """Whether exactly one label stands there; looks no further than it reaches."""
-    m = _LABEL.match(text, start, end)
+def _is_label(text: str, start: int, end: int, labels: re.Pattern = _LABEL) -> bool:
+    """Whether exactly one label (or labels with plain dots) stands there; looks no further than it reaches."""
+    m = labels.match(text, start, end)
     return m is not None and m.end() == end
 
 
@@ -184,68 +213,115 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
         elif (
             kind == "wrapped_dot"
             or text[s - 1].isdigit() and text[e].isdigit()
-            or live >= 0 and _is_label(text, live, s)
+            or live >= 0 and _is_label(text, live, s, _LABELS)
             or _after_at(text, s)
         ):
             out.append((s, e, "."))
         else:
             waiting.append((s, e))
+            live = -1
             continue
         live = e
     return out
 
 
-def _rewrite(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[Span]]:
-    """The text with the edits made, and for each of its characters the range it stands for."""
-    chars, source, at = [], [], 0
-    for s, e, p in sorted(edits):
-        if s < at:
-            continue
-        chars.append(text[at:s])
-        source += [(i, i + 1) for i in range(at, s)]
-        chars.append(p)
-        source.append((s, e))
-        at = e
-    chars.append(text[at:])
-    source += [(i, i + 1) for i in range(at, len(text))]
-    return "".join(chars), source
+class View:
+    """A text with edits made, each to one character, that knows the range each character stands for."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]) -> None:
+        parts, at, n = [], 0, 0
+        self.places: list[int] = []
+        self.ranges: list[Span] = []
+        for s, e, p in sorted(edits):
+            if s < at:
+                continue
+            parts += (text[at:s], p)
+            n += s - at
+            self.places.append(n)
+            self.ranges.append((s, e))
+            n += 1
+            at = e
+        parts.append(text[at:])
+        self.text = "".join(parts)
+
+    def span(self, start: int, end: int) -> Span:
+        return self._range(start)[0], self._range(end - 1)[1]
+
+    def _range(self, i: int) -> Span:
+        k = bisect_right(self.places, i) - 1
+        if k < 0:
+            return i, i + 1
+        s, e = self.ranges[k]
+        return (s, e) if i == self.places[k] else (e + i - self.places[k] - 1, e + i - self.places[k])
+
+    def holds_number(self) -> bool:
+        """Whether an edit stands among signs of numbers with as many digits as any detector needs."""
+        end = -1
+        for place in self.places:
+            if place < end:
+                continue
+            start = end = place
+            while start and self.text[start - 1] in NUMERIC:
+                start -= 1
+            while end < len(self.text) and self.text[end] in NUMERIC:
+                end += 1
+            if sum(c.isdigit() for c in self.text[start:end]) >= FEWEST:
+                return True
+        return False
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans in the source that only show after normalisation and overlap no base span of their kind."""
+    """Spans in the source that only show after normalisation; of their kind, one that overlaps base spans must reach over them.
+
+    Look-alikes are undone first. Then spelled digits and written-out @ and dots are undone one after the
+    other, and each alone, since a word of an address may be a digit's; of spans that overlap, the longest counts.
+    """
     plain, source = plain_characters(text)
     changed = len(plain) != len(text) or plain != text
-    low = plain.lower()
-    address = any(c in low for c in "[({<") or any(f" {w} " in low for w in DOT.split("|"))
-    numbers = NUMBER_HINT.search(plain)
-    if not (changed or address or numbers):
+    low = _lower(plain)
+    views: list[tuple[View, ...]] = [(View(plain, []),)] if changed else []
+    if _has_address(low) and (edits := _address_edits(plain)):
+        views.append((View(plain, edits),))
+    if NUMBER_HINT.search(low) and (edits := _number_edits(low)):
+        numbers = View(plain, edits)
+        if numbers.holds_number():
+            views.append((numbers,))
+        if _has_address(low) and (edits := _address_edits(numbers.text)):
+            views.append((View(numbers.text, edits), numbers))
+    if not views:
         return []
-    views: list[tuple[str, list[Span]]] = [(plain, [(i, i + 1) for i in range(len(plain))])] if changed else []
-    if address and (edits := _address_edits(plain)):
-        views.append(_rewrite(plain, edits))
-    if numbers:
-        edits = []
-        for m in NUMBER_RUN.finditer(plain):
-            tokens = _spelled(m[0], m.start())
-            for (s, e, p), (s2, _, _) in zip(tokens, [*tokens[1:], (tokens[-1][1], 0, "")], strict=True):
-                edits.append((s, s2, p))  # blanks between two digits go with the first
-        if edits:
-            views.append(_rewrite(plain, edits))
-    found: list[tuple[int, int, int]] = []
-    taken: list[list[Span]] = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # apart and in order
-    for view, at in views:
-        for s, kind, e in detect(view):
-            p, q = at[s][0], at[e - 1][1]
+    hits: set[tuple[int, int, int]] = set()
+    for chain in views:
+        for s, kind, e in detect(chain[0].text):
+            p, q = s, e
+            for view in chain:
+                p, q = view.span(p, q)
             first, last = source[p], source[q - 1] + 1
-            own = taken[kind]
-            i = bisect_left(own, (first, last))
-            clear = (i == 0 or own[i - 1][1] <= first) and (i == len(own) or own[i][0] >= last)
-            if clear and text[first:last] != view[s:e]:
-                own.insert(i, (first, last))
-                found.append((first, kind, last))
+            if text[first:last] != chain[0].text[s:e]:
+                hits.add((first, kind, last))
+    found: list[tuple[int, int, int]] = []
+    given = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # apart and in order
+    taken: list[list[Span]] = [[] for _ in KINDS]
+    for first, kind, last in sorted(hits, key=lambda h: (h[0] - h[2], h)):
+        over = _overlapped(given[kind], first, last)
+        if (first, last) in over or any(s < first or e > last for s, e in over) or _overlapped(taken[kind], first, last):
+            continue
+        taken[kind].insert(bisect_left(taken[kind], (first, last)), (first, last))
+        found.append((first, kind, last))
     return sorted(found)
 
 
+def _has_address(low: str) -> bool:
+    return any(c in low for c in "[({<") or any(w in low for w in DOT.split("|")) or BARE_AT.search(low) is not None
+
+
+def _overlapped(own: list[Span], first: int, last: int) -> list[Span]:
+    """Those of the spans, apart and in order, that share a character with the range."""
+    i = bisect_left(own, (first, first))
+    i -= i > 0 and own[i - 1][1] > first
+    return own[i : bisect_left(own, (last, last), i)]
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -258,7 +334,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, base_spans, spans`` for every row: arrays of ``kind, start, end`` in code points, end exclusive.
 
     ``base_spans`` are what the plain patterns find in the text; ``spans`` adds what they find once look-alikes,
-    spelled digits and written-out @ and dots are undone, as the range in the source that was disguised. Null
+    spelled digits and written-out @ and dots are undone, as the range in the source that was disguised, also where it reaches over a base span. Null
     and empty texts have no spans. Identifiers are carried as they are, null or repeated; further columns
     are ignored. Texts are taken whole, and one task needs memory for one batch of rows.
     """

@@ -60,3 +60,29 @@ def test_frame(docs):
     assert [s.kind for s in last.spans] == ["email", "card", "ip", "phone", "email"]
     assert all(not r.spans for (d, _), r in got.items() if d != 30)
     assert pii.find_personal_data(docs([])).count() == 0
+
+
+def test_mixed_disguises():
+    """Spelled and plain digits, with @ and dots written out in any way, in one number or address."""
+    for kind, span in (
+        ("phone", "+1 555 010 99 nine nine"),
+        ("phone", "plus one 5 five 5 zero 1 zero 9 nine 9 nine"),
+        ("ip", "10 dot 0 dot zero dot seven"),
+        ("ip", "one nine two [dot] one six eight [dot] one [dot] seven"),
+        ("ip", "１０ dot 0 (dot) zero [.] seven"),
+        ("card", "4539 1488 0343 six 4 6 7"),
+        ("phone", "+1 (five five five) 010 9999"),
+        ("email", "jane at example.com"),
+        ("email", "jane at mail.example dot com"),
+        ("email", "jane at one two three dot com"),
+        ("email", "jаne (at) eight [dot] org"),
+        ("email", "bob@example.cоm"),
+    ):
+        assert found(f"so {span}, please") == [(kind, span)], span
+    assert found("bob@example.co dot uk") == [("email", "bob@example.co dot uk")]
+    assert not found("nine@example.com has one dot") and not found("one of the 2019 papers, two of 1,500")
+
+
+def test_mixed_runs_take_linear_time():
+    for text in ("1 " * 100_000 + "x one", "one (" * 50_000, "a at b." * 40_000, "one dot " * 40_000, "+ one " * 50_000, "one [dot] " * 30_000, "bob@a.cо " * 20_000):
+        pii.disguised(text, pii.detect(text))
