@@ -19,6 +19,8 @@ ORDER = 2
 PRIOR = 8.0
 #: The code of the end of a text, which also stands before its first word; no word has it.
 END = np.uint64(0x452821E638D01377)
+#: Longer texts are walked in pieces of this many tokens.
+PIECE = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,32 +114,111 @@ def tallies(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part", "n_order").applyInArrow(total, "chunk long, part int, n_order int, n long, totals binary, tokens long, types long")
 
 
+class Automaton:
+    """The n-grams of a chunk as an automaton, with the counts that the whole corpus has of them.
+
+    A state is a known context of up to ``order - 1`` words; state 0 is the empty one. The arc of a known n-gram leads
+    from its context, at (count + prior * shorter) / (context + prior), to the longest known context that it ends in. Any
+    other word takes the state's failure arc, at prior / (context + prior), to the context without its first word,
+    and tries there; the empty context has an arc for each word.
+    """
+
+    def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, types: int, prior: float) -> None:
+        self.order, words = len(totals), len(totals[0])
+        p = (totals[0] + 1.0) / (tokens + types + 1)
+        self.word_log = np.log10(p)
+        number, size = [], 1  # the state of each n-gram that can be a context, 0 if it isn't known
+        for k in range(self.order - 1):
+            known = totals[k] > 0
+            number.append(np.where(known, size + np.cumsum(known) - 1, 0))
+            size += int(known.sum())
+        self.word_target = number[0] if number else np.zeros(words, np.int64)
+        end = int(np.searchsorted(grams.codes[0], mix(np.array([END]))[0])) if words else 0
+        self.start = int(self.word_target[end]) if words else 0
+        self.back, self.fail = np.zeros(size), np.zeros(size, np.int64)
+        keys, logs, targets = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        first = np.cumsum(grams.length) - grams.length
+        shorter_at = grams.at[0]
+        if number:
+            own = number[0] > 0
+            self.back[number[0][own]] = np.log10(prior / (totals[0][own] + prior))
+        for k in range(1, self.order):
+            place = np.flatnonzero(grams.full[k])
+            at = np.full(len(grams.full[k]), -1, np.int64)
+            at[place] = grams.at[k]
+            where = np.zeros(len(totals[k]), np.int64)
+            where[grams.at[k]] = place  # one place where each n-gram stands
+            own = np.flatnonzero(totals[k] > 0)
+            where = where[own]
+            context = shorter_at[where - 1]
+            if k == 1:
+                context[np.isin(where, first)] = end
+            shorter = shorter_at[where]
+            count, seen = totals[k][own], totals[k - 1][context]
+            longer = np.zeros(len(totals[k]))
+            longer[own] = (count + prior * p[shorter]) / (seen + prior)
+            p = longer
+            keys.append(number[k - 1][context] * words + grams.at[0][where])
+            logs.append(np.log10(p[own]))
+            if k < self.order - 1:
+                state = number[k][own]
+                self.fail[state] = number[k - 1][shorter]
+                self.back[state] = np.log10(prior / (count + prior))
+                targets.append(state)
+            else:
+                targets.append(number[k - 1][shorter])
+            shorter_at = at
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        self.words, self.key, self.log, self.target = words, key[order], np.concatenate(logs)[order], np.concatenate(targets)[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each word in its state, and the state after it."""
+        out, after, rest = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(rest):
+            s, w = after[rest], word[rest]
+            empty = s == 0
+            out[rest[empty]] += self.word_log[w[empty]]
+            after[rest[empty]] = self.word_target[w[empty]]
+            rest, s, w = rest[~empty], s[~empty], w[~empty]
+            key = s * self.words + w
+            arc = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+            hit = self.key[arc] == key if len(self.key) else np.zeros(len(key), bool)
+            out[rest[hit]] += self.log[arc[hit]]
+            after[rest[hit]] = self.target[arc[hit]]
+            rest, s = rest[~hit], s[~hit]
+            out[rest] += self.back[s]
+            after[rest] = self.fail[s]
+        return out, after
+
+
 def traverse(grams: Grams, totals: list[np.ndarray], tokens: int, types: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the base and of the model's probability of each token, given what comes before it in its text.
 
-    A state is a known context. The arc of a known n-gram has (count + prior * shorter) / (context + prior); any other
-    word takes the failure arc, prior / (context + prior), to the state of the shorter context. All texts are
-    walked side by side: the state that each token meets is the context its predecessors leave.
+    Each text is walked once through the :class:`Automaton`, its state carried from token to token, all texts of the chunk
+    side by side. Longer texts are walked in pieces, which start in the empty state ``order - 1`` tokens earlier and
+    so reach the same state: it depends on no more tokens than that.
     """
-    count = totals[0][grams.at[0]].astype(float)
-    base = (count + 1) / (tokens + types + 1)
-    p = base.copy()
-    start = np.cumsum(grams.length) - grams.length
-    seen = np.empty_like(count)  # how often the context came, one order below
-    seen[1:] = count[:-1]
-    end_code = np.searchsorted(grams.codes[0], mix(np.array([END]))[0])
-    seen[start] = float(totals[0][end_code]) if len(start) else 0.0
-    for k in range(1, len(totals)):
-        full = grams.full[k]
-        c = totals[k][grams.at[k]].astype(float)
-        context = seen[full]
-        p[full] = (c + prior * p[full]) / (context + prior)
-        following = np.zeros_like(count)
-        whole = np.zeros_like(count)
-        whole[full] = c
-        following[1:] = whole[:-1]
-        seen = following
-    return np.log10(base), np.log10(p)
+    model = Automaton(grams, totals, tokens, types, prior)
+    word = grams.at[0]
+    begin = np.cumsum(grams.length) - grams.length
+    lead, piece = model.order - 1, max(PIECE, model.order)
+    n = -(-grams.length // piece)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    size = np.minimum(piece, np.repeat(grams.length, n) - nth * piece)
+    warm = np.where(nth > 0, lead, 0)
+    at = np.repeat(begin, n) + nth * piece - warm
+    state = np.where(nth > 0, 0, model.start)
+    order = np.argsort(-(size + warm), kind="stable")
+    at, warm, state, size = at[order], warm[order], state[order], (size + warm)[order]
+    own = np.zeros(len(word))
+    for t in range(int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -t, "left"))
+        place = at[:live] + t
+        p, state = model.step(state[:live], word[place])
+        counts = t >= warm[:live]
+        own[place[counts]] = p[counts]
+    return model.word_log[word], own
 
 
 def score_texts(docs: DataFrame, held_out: str = "held_out", order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

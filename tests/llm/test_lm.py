@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from plantspark.llm import lm
@@ -47,3 +49,19 @@ def test_empty_table(docs):
 def test_no_training_rows(docs):
     r = lm.score_texts(docs([(1, "a b")]).withColumn("out", F.lit(True)), "out").first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_automaton_carries_its_state(monkeypatch, order):
+    """States, failure arcs and the walk, also of texts in pieces, against plain counts."""
+    monkeypatch.setattr(lm, "PIECE", 5)
+    rows = [(i, " ".join("abcd"[(i * k * k + k // 3) % 4] for k in range(3 + 4 * i))) for i in range(9)] + [(20, "a zz b c zz a b"), (21, "")]
+    held = [d >= 7 for d, _ in rows]
+    grams = lm.Grams(pa.table({"text": [t for _, t in rows]}), order)
+    train = ~np.array(held)
+    totals = [np.bincount(grams.at[k][train[grams.text[grams.full[k]]]], minlength=len(grams.codes[k])).astype(np.uint64) for k in range(order)]
+    model = lm.Automaton(grams, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), 3.0)
+    assert len(model.fail) == 1 + sum(int((t > 0).sum()) for t in totals[:-1]) and len(model.key) == sum(int((t > 0).sum()) for t in totals[1:])
+    base, own = lm.traverse(grams, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), 3.0)
+    for i, w in enumerate(plain.language_model(rows, held, order, 3.0)):
+        assert base[grams.text == i].sum() == pytest.approx(w[3]) and own[grams.text == i].sum() == pytest.approx(w[4])
