@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import chat, decontam, langid, lines, lm, mixing, neardup, pii, quality, suffix
+from plantspark.llm import audit, chat, decontam, langid, lines, lm, mixing, neardup, negatives, pii, quality, suffix, urls
 from plantspark.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,3 +251,146 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *names)
+
+
+# ------------------------------------------------------------------ filter interaction
+
+AUDIT_SQL = r"""
+WITH parts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failed AS (
+  SELECT doc_id, part,
+         len(words) < 100 AS a,
+         100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM parts),
+marked AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                      CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+         count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+  FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS gone
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+seen AS (
+  SELECT part, filter_order, step, f, n, n_good, n_toxic, fails,
+         contains(fails, f) AS hit, gone <> '' AND regexp_matches(fails, '[' || gone || '_]') AS late
+  FROM marked, steps),
+summed AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE NOT hit AND NOT late), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE hit AND NOT late), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE hit AND late), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n_good) FILTER (WHERE hit AND NOT late), 0)::BIGINT AS good_lost,
+         coalesce(sum(n_toxic) FILTER (WHERE hit AND NOT late), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM summed
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit.audit_filters(docs, table(spark, sf_dir, "labels")).drop("filter")
+
+
+# ------------------------------------------------------------------ urls
+
+URL_RULES = (
+    urls.Rule("org", "/", urls.ALLOW),
+    urls.Rule("example.org", "/es/", urls.BLOCK),
+    urls.Rule("example.org", "/en/1", urls.BLOCK),
+    urls.Rule("com", "/fr/", urls.ALLOW),
+    urls.Rule("com", "/de/", urls.BLOCK),
+)
+
+
+def _url_sql() -> str:
+    """Rules by their table; the scores round by round, in whole units."""
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
+    sql = rf"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+parts AS (
+  SELECT row_number() OVER () AS row_no, page_id, html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT row_no, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+fitting AS (
+  SELECT row_no, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM named JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row_no),
+ruled AS (SELECT n.*, f.rule, f.rule_verdict FROM named n LEFT JOIN fitting f ON n.row_no = f.row_no),
+found AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '[\x20\x09-\x0D"''/][hH][rR][eE][fF][\x20\x09-\x0D]*=[\x20\x09-\x0D]*(?:["''][\x20\x09-\x0D]*)?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''\x20\x09-\x0D<>\\]+)', 1)) AS raw
+  FROM named WHERE host <> ''),
+links AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT src, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM found) WHERE src <> dst GROUP BY ALL),
+ways AS (
+  SELECT kind, src, dst, n, sum(n) OVER (PARTITION BY kind, src) AS n_all
+  FROM (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links)),
+seeds AS (
+  SELECT CASE rule_verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
+  FROM ruled WHERE host <> '' AND rule IS NOT NULL GROUP BY ALL),
+score0 AS (
+  SELECT kind, host, ({urls.UNITS * (100 - urls.PASSED) // 100}::HUGEINT * n) // sum(n) OVER (PARTITION BY kind) AS score FROM seeds)"""
+    for i in range(1, urls.ROUNDS + 1):
+        sql += f""",
+score{i} AS MATERIALIZED (
+  SELECT kind, host, sum(score)::HUGEINT AS score FROM (
+    SELECT * FROM score0 UNION ALL
+    SELECT w.kind, w.dst, s.score * w.n // w.n_all * {urls.PASSED} // 100 FROM score{i - 1} s JOIN ways w ON w.kind = s.kind AND w.src = s.host)
+  GROUP BY ALL)"""
+    return sql + f""",
+hosts AS (
+  SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) > coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS bad
+  FROM score{urls.ROUNDS} GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(rule_verdict, CASE WHEN h.bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN hosts h ON r.host = h.host
+"""
+
+
+@query("op12_url_filter", _url_sql())
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No page of the given tables links to another host, so a host without a rule is judged by its own pages' rules."""
+    judged = urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.drop("trust", "distrust")
+
+
+# ------------------------------------------------------------------ hard negatives
+
+NEGATIVES_SQL = """
+WITH own AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, list_inner_product(a.x, o.x)::BIGINT AS score
+  FROM own a JOIN own o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
