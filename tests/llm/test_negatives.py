@@ -108,7 +108,7 @@ def test_bounds_hold_every_score():
 
 
 def test_zone_maps_leave_blocks_unread(spark, small):
-    rows = [(i, [float(i // 100 == g) * 0.9 for g in range(10)], i % 3) for i in range(1000)]
+    rows = [(i + 50, [float(i // 100 == g) * 0.9 for g in range(10)], i % 3) for i in range(1000)]
     seen = []
     read = negatives._read
 
