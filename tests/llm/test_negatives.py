@@ -122,4 +122,4 @@ def test_zone_maps_leave_blocks_unread(spark, small):
     finally:
         negatives._read = read
     assert got == plain(rows, k=2)
-    assert max(seen) < 4 * 63 / 4
+    assert max(seen) < 4 * 63 / 3
