@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.functions.timefx import minutes_between, time_chunk
+from plantspark.functions.timefx import minutes_between
 from plantspark.operators.flags import with_flags
-from plantspark.plans.ordered import prefix, segments, windowed
+from plantspark.plans.ordered import chunk_of, prefix, segments, windowed
+from plantspark.plans.slices import Slices
+from plantspark.plans.stored import stored
 from plantspark.schema import SERIES
 
 ON, OFF, TRANSITION, UNKNOWN = "ON", "OFF", "TRANSITION", "UNKNOWN"
@@ -188,13 +190,13 @@ def violation_samples(
 
 def state_segments(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     state: str = "state",
     keys: Sequence[str] = tuple(SERIES),
     order: Sequence[str] = ("ts", "row_no"),
 ) -> DataFrame:
     """Runs of equal state with start, end, row count and minutes."""
-    return segments(df, keys, order, state, time_chunk(order[0], slice_seconds)).withColumn(
+    return segments(df, keys, order, state, chunk_of(df, keys, order, slices)).withColumn(
         "minutes", minutes_between("seg_start", "seg_end")
     )
 
@@ -212,13 +214,13 @@ def runtime_violations(segs: DataFrame, min_run: float = 30.0, min_down: float =
 
 def start_events(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     state: str = "state",
     keys: Sequence[str] = tuple(SERIES),
     order: Sequence[str] = ("ts", "row_no"),
 ) -> DataFrame:
     """Rows at which a device turns ON; the first row of a series counts when it is ON."""
-    prev = windowed(df, keys, order, 1, {"_prev": lambda w: F.lag(state).over(w)}, time_chunk(order[0], slice_seconds))
+    prev = windowed(df, keys, order, 1, {"_prev": lambda w: F.lag(state).over(w)}, chunk_of(df, keys, order, slices))
     return prev.where((F.col(state) == ON) & ~F.col("_prev").eqNullSafe(F.lit(ON))).drop("_prev")
 
 
@@ -226,28 +228,28 @@ def startup_sequence(
     states: DataFrame,
     first_device: str,
     next_device: str,
-    slice_seconds: int,
+    slices: int | None = None,
     site: Sequence[str] = ("site_id",),
     device: str = "device",
     state: str = "state",
     order: Sequence[str] = ("ts", "row_no"),
 ) -> DataFrame:
-    """Every start of ``next_device`` with the state of ``first_device`` at that moment.
+    """Every start of ``next_device`` with the state of ``first_device`` at that moment. ``slices``: seconds, or None to measure.
 
     ``violated`` is true unless that state is ON. The as-of lookup is one ordered pass over both
     streams (last known state up to each start), not a range join.
     """
     keys = list(site)
-    nxt = start_events(states.where(F.col(device) == next_device), slice_seconds, state, [*keys, device], order)
+    starts = start_events(states.where(F.col(device) == next_device), slices, state, [*keys, device], order)
+    nxt = stored(starts.select(*keys, *order), "starts") if slices is None else starts
     pre = states.where(F.col(device) == first_device)
     null_state = F.lit(None).cast("string")
     both = pre.select(*keys, *order, F.lit(0).alias("_is_start"), F.col(state).alias("prior_state")).unionByName(
         nxt.select(*keys, *order, F.lit(1).alias("_is_start"), null_state.alias("prior_state"))
     )
     # A prerequisite reading at the very same time counts as known, so it sorts first.
-    asof = prefix(
-        both, keys, [order[0], "_is_start", *order[1:]], {"prior_state": ("prior_state", "last")}, time_chunk(order[0], slice_seconds)
-    )
+    both_order = [order[0], "_is_start", *order[1:]]
+    asof = prefix(both, keys, both_order, {"prior_state": ("prior_state", "last")}, chunk_of(both, keys, both_order, slices))
     return (
         asof.where(F.col("_is_start") == 1)
         .drop("_is_start")

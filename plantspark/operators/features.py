@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantspark.functions.physics import wet_bulb_guarded
-from plantspark.functions.timefx import calendar_features, cyclic_features, time_chunk
-from plantspark.plans.ordered import windowed
+from plantspark.functions.timefx import calendar_features, cyclic_features
+from plantspark.plans.ordered import chunk_of, windowed
+from plantspark.plans.rolling import rolling_blocks
+from plantspark.plans.slices import Slices
 from plantspark.schema import SERIES
 
 @dataclass(frozen=True)
@@ -61,6 +63,9 @@ def resolve_policies(
     return out
 
 
+#: Rows from which a rolling window is put together from blocks.
+WIDE = 256
+
 _AGGS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
@@ -75,26 +80,33 @@ def _rolling(column: str, agg: str, n: int, need: int):
 def lag_rolling(
     df: DataFrame,
     rules: Mapping[str, StatsRule],
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     keys: Sequence[str] = tuple(SERIES),
     order: Sequence[str] = ("ts",),
+    wide_from: int = WIDE,
 ) -> DataFrame:
     """Add ``<c>_lag_<n>`` and ``<c>_roll<agg>_<n>`` for every column with a rule.
 
-    Rolling windows end at the previous row, so a feature never sees the value it may predict.
-    All expressions share one window spec: one shuffle and one sort for the whole set. Every requested
-    window is computed, however wide.
+    Rolling windows end at the previous row, so a feature never sees the value it may predict. Every requested
+    window is computed, however wide: windows of ``wide_from`` rows and more are put together from blocks of rows
+    (see ``plans.rolling``), in time that does not depend on their width; all others and the lags share one window
+    spec, so one shuffle and one sort.
     """
-    exprs, lookback = {}, 1
+    exprs, wide, lookback = {}, {}, 1
     for c, r in rules.items():
         for n in r.lags:
             exprs[f"{c}_lag_{n}"] = lambda w, c=c, n=n: F.lag(c, n).over(w)
             lookback = max(lookback, n)
         for n in r.windows:
             for agg in r.aggs:
-                exprs[f"{c}_roll{agg}_{n}"] = _rolling(c, agg, n, r.min_periods or n)
-            lookback = max(lookback, n)
-    return windowed(df, keys, order, lookback, exprs, time_chunk(order[0], slice_seconds))
+                if n >= wide_from:
+                    wide.setdefault(n, {})[f"{c}_roll{agg}_{n}"] = (c, agg, r.min_periods or n)
+                else:
+                    exprs[f"{c}_roll{agg}_{n}"] = _rolling(c, agg, n, r.min_periods or n)
+                    lookback = max(lookback, n)
+    chunk = chunk_of(df, keys, order, slices)
+    out = windowed(df, keys, order, lookback, exprs, chunk) if exprs else df
+    return rolling_blocks(out, keys, order, wide, chunk) if wide else out
 
 
 def usable_windows(rule: StatsRule, series_rows: int) -> tuple[StatsRule, StatsRule]:

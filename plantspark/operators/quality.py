@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantspark.functions import physics
-from plantspark.functions.timefx import minutes_between, naive_literal, time_chunk
+from plantspark.functions.timefx import minutes_between, naive_literal
 from plantspark.plans.joins import key_join
-from plantspark.plans.ordered import segments, windowed
+from plantspark.plans.ordered import chunk_of, segments, windowed
+from plantspark.plans.slices import Slices
 from plantspark.plans.quantiles import exact_quantiles
 from plantspark.schema import ROLE_FROZEN_MULTIPLIER, ROLE_ZERO_LIMIT, SERIES
 
@@ -31,7 +32,7 @@ class FutureDataError(ValueError):
 
 def frozen_flags(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     window: int = 6,
     threshold: float = 0.001,
     keys: Sequence[str] = tuple(SERIES),
@@ -48,13 +49,13 @@ def frozen_flags(
         frame = w.rowsBetween(-(window - 1), 0)
         return F.when(F.count(v).over(frame) == window, F.stddev_samp(v).over(frame))
 
-    out = windowed(df, keys, order, window - 1, {"rolling_std": std}, time_chunk(order[0], slice_seconds))
+    out = windowed(df, keys, order, window - 1, {"rolling_std": std}, chunk_of(df, keys, order, slices))
     return out.withColumn("is_frozen", F.coalesce(F.col("rolling_std") < F.lit(threshold), F.lit(False)))
 
 
 def frozen_by_role(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     base: int = 3,
     role: str = "device_role",
     keys: Sequence[str] = tuple(SERIES),
@@ -74,13 +75,13 @@ def frozen_by_role(
             out = F.when(F.col(role) == name, same).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
-    return windowed(df, keys, order, longest - 1, {"is_frozen": equal_run}, time_chunk(order[0], slice_seconds))
+    return windowed(df, keys, order, longest - 1, {"is_frozen": equal_run}, chunk_of(df, keys, order, slices))
 
 
 def steady_state(
     df: DataFrame,
     load: str,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     window_minutes: int = 15,
     interval_minutes: int = 5,
     max_change_pct: float = 5.0,
@@ -102,13 +103,13 @@ def steady_state(
         pct = F.try_divide(hi - lo, (hi + lo) / F.lit(2.0) + F.lit(1e-6)) * F.lit(100.0)
         return F.when(F.count(v).over(frame) == n, pct)
 
-    out = windowed(df, keys, order, n - 1, {"_change": change}, time_chunk(order[0], slice_seconds))
+    out = windowed(df, keys, order, n - 1, {"_change": change}, chunk_of(df, keys, order, slices))
     return out.withColumn("is_steady_state", F.coalesce(F.col("_change") <= F.lit(max_change_pct), F.lit(True))).drop("_change")
 
 
 def meter_drops(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     tolerance: float = 0.01,
     keys: Sequence[str] = tuple(SERIES),
     order: Sequence[str] = tuple(ORDER),
@@ -116,7 +117,7 @@ def meter_drops(
 ) -> DataFrame:
     """Readings and falls (beyond the tolerance) of each cumulative meter."""
     diff = windowed(
-        df, keys, order, 1, {"_diff": lambda w: F.col(value) - F.lag(value).over(w)}, time_chunk(order[0], slice_seconds)
+        df, keys, order, 1, {"_diff": lambda w: F.col(value) - F.lag(value).over(w)}, chunk_of(df, keys, order, slices)
     )
     return diff.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_readings"),
@@ -126,7 +127,7 @@ def meter_drops(
 
 def long_gaps(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     max_minutes: float = 60.0,
     keys: Sequence[str] = tuple(SERIES),
     order: Sequence[str] = tuple(ORDER),
@@ -134,14 +135,14 @@ def long_gaps(
     """Pairs of neighbouring readings of a series further apart than ``max_minutes``."""
     ts = order[0]
     prev = windowed(
-        df.select(*keys, *order), keys, order, 1, {"prev_ts": lambda w: F.lag(ts).over(w)}, time_chunk(ts, slice_seconds)
+        df.select(*keys, *order), keys, order, 1, {"prev_ts": lambda w: F.lag(ts).over(w)}, chunk_of(df, keys, order, slices)
     )
     return prev.withColumn("gap_minutes", minutes_between("prev_ts", ts)).where(F.col("gap_minutes") > F.lit(max_minutes))
 
 
 def low_power_factor_spans(
     df: DataFrame,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     limit: float = 0.8,
     min_minutes: float = 60.0,
     keys: Sequence[str] = tuple(SERIES),
@@ -150,7 +151,7 @@ def low_power_factor_spans(
 ) -> DataFrame:
     """Runs of readings below ``limit`` that last longer than ``min_minutes``."""
     low = df.where(F.col(value).isNotNull()).withColumn("_low", F.col(value) < F.lit(limit))
-    spans = segments(low, keys, order, "_low", time_chunk(order[0], slice_seconds))
+    spans = segments(low, keys, order, "_low", chunk_of(low, keys, order, slices))
     return (
         spans.where(F.col("_low"))
         .withColumn("minutes", minutes_between("seg_start", "seg_end"))

@@ -8,9 +8,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantspark.functions.timefx import epoch_micros, time_chunk
+from plantspark.functions.timefx import epoch_micros
 from plantspark.plans.joins import key_join
-from plantspark.plans.ordered import first_per_key, windowed
+from plantspark.plans.ordered import chunk_of, first_per_key, windowed
+from plantspark.plans.slices import Slices
 from plantspark.schema import SERIES
 
 
@@ -109,7 +110,7 @@ def keep_first(
 def gap_fill(
     df: DataFrame,
     every: str,
-    slice_seconds: int,
+    slices: int | Slices | None = None,
     keys: Sequence[str] = tuple(SERIES),
     ts: str = "ts",
     value: str = "value",
@@ -121,7 +122,7 @@ def gap_fill(
     """
     step = F.expr(f"INTERVAL {every}")
     prev = windowed(
-        df.select(*keys, ts, value), keys, [ts], 1, {"_prev": lambda w: F.lag(ts).over(w)}, time_chunk(ts, slice_seconds)
+        df.select(*keys, ts, value), keys, [ts], 1, {"_prev": lambda w: F.lag(ts).over(w)}, chunk_of(df, keys, [ts], slices)
     )
     # A hole is cut into blocks of at most HOLE_BLOCK windows, so no array grows with it.
     long = F.expr(f"{HOLE_BLOCK} * INTERVAL {every}")

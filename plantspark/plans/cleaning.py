@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantspark.functions import physics
-from plantspark.functions.timefx import time_chunk
 from plantspark.operators import quality
 from plantspark.operators.resample import keep_first, resample, to_wide
-from plantspark.plans.ordered import windowed
+from plantspark.plans.ordered import chunk_of, windowed
 from plantspark.sources.reports import read_reports
 
 
@@ -21,7 +20,8 @@ class CleanOptions:
     """Which steps run and on which columns; a step without columns is skipped."""
 
     interval_minutes: int = 5
-    slice_seconds: int = 30 * 86_400
+    #: Length of the slices that ordered checks work on; None measures slices of equal row counts.
+    slice_seconds: int | None = None
     frozen_window: int = 6
     frozen_threshold: float = 0.001
     frozen_columns: Sequence[str] | None = None
@@ -69,7 +69,7 @@ def clean_wide(df: DataFrame, opt: CleanOptions, site: Sequence[str] = ("site_id
 
         exprs["is_steady_state"] = steady
     if exprs:
-        df = windowed(df, list(site), [ts], lookback, exprs, time_chunk(ts, opt.slice_seconds))
+        df = windowed(df, list(site), [ts], lookback, exprs, chunk_of(df, list(site), [ts], opt.slice_seconds))
     if opt.load and opt.load not in df.columns:
         df = df.withColumn("is_steady_state", F.lit(True))
     if opt.heat and opt.load:

@@ -6,8 +6,9 @@ slice is one window partition, so the full-size work spreads over the cluster, a
 rows per slice (its edges, or one summary row) are ordered over the whole series. Results equal
 the plain window exactly.
 
-The slice column is a pure function of the row (see ``functions.timefx.time_chunk``), so a
-recomputed task after an executor loss reproduces the same slices.
+The slice column is a pure function of the row: a time slice of fixed length
+(``functions.timefx.time_chunk``, for data whose rows per time are known) or a measured one
+(``plans.slices``, for any data). A recomputed task after an executor loss meets the same slices.
 """
 
 from __future__ import annotations
@@ -20,17 +21,31 @@ from pyspark.sql.window import Window, WindowSpec
 
 from plantspark.functions.timefx import time_chunk
 from plantspark.plans.joins import key_join
+from plantspark.plans.slices import Slices, fit_slices
 
+#: Slices by a column, measured ones, or None for one window per series.
+Chunk = Column | Slices | None
 WindowExpr = Callable[[WindowSpec], Column]
 
 
+def chunk_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | Slices | None) -> Chunk:
+    """Slices of a fixed number of seconds, the given ones, or (None) slices measured now, which reads ``df`` once."""
+    if isinstance(slices, int):
+        return time_chunk(order[0], slices)
+    return slices if slices is not None else fit_slices(df, keys, order)
+
+
+def _sliced(df: DataFrame, chunk: Column | Slices) -> DataFrame:
+    return chunk.add(df) if isinstance(chunk, Slices) else df.withColumn("_slice", chunk)
+
+
 def windowed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     lookback: int,
     exprs: dict[str, WindowExpr],
-    chunk: Column | None,
+    chunk: Chunk,
 ) -> DataFrame:
     """Add window columns that look at most ``lookback`` rows back.
 
@@ -39,27 +54,34 @@ def windowed(
     ``chunk=None`` asks for one window per key (for series of known small size).
 
     Rows past the first ``lookback`` of a slice see all they need inside the slice. The first
-    ``lookback`` rows are evaluated again over the head and tail rows of all slices, which hold
-    every row they can reach. Both branches read one shuffle.
+    ``lookback`` rows are evaluated again over head and tail rows, which hold every row they can
+    reach: over those of all slices, or for measured slices, of which any two neighbours hold
+    enough rows, over the slice's head and the tails of the two slices before it, so that no task
+    gets more than three times ``lookback`` rows. Both branches read one shuffle.
     """
     w_series = Window.partitionBy(*keys).orderBy(*order)
-    if chunk is None:
+    if chunk is None or isinstance(chunk, Slices) and chunk.is_single:
         return df.withColumns({n: f(w_series) for n, f in exprs.items()})
     w_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    sliced = df.withColumn("_slice", chunk)
+    sliced = _sliced(df, chunk)
     # By rank, not by row number: rows with equal order columns share a rank, so both branches
     # split the slice at the same place whatever order a sort gives to such rows.
     is_head = F.rank().over(w_slice) <= lookback
     is_tail = F.lead(F.lit(1), lookback).over(w_slice).isNull()
+    near = isinstance(chunk, Slices) and lookback <= chunk.reach
+    if near:
+        is_head = is_head & (F.col("_slice") > 0)
     inner = sliced.withColumns({"_head": is_head, **{n: f(w_slice) for n, f in exprs.items()}}).where(~F.col("_head"))
-    edge = (
-        sliced.withColumns({"_head": is_head, "_tail": is_tail})
-        .where(F.col("_head") | F.col("_tail"))
-        .withColumns({n: f(w_series) for n, f in exprs.items()})
-        .where(F.col("_head"))
-        .drop("_tail")
-    )
-    return inner.unionByName(edge).drop("_slice", "_head")
+    ends = sliced.withColumns({"_head": is_head, "_tail": is_tail}).where(F.col("_head") | F.col("_tail"))
+    if near:
+        own = F.when(F.col("_head"), F.array("_slice")).otherwise(F.array().cast("array<bigint>"))
+        later = F.when(F.col("_tail"), F.array(F.col("_slice") + 1, F.col("_slice") + 2)).otherwise(F.array().cast("array<bigint>"))
+        ends = ends.withColumn("_target", F.explode(F.concat(own, later)))
+        w_target = Window.partitionBy(*keys, "_target").orderBy(*order)
+        edge = ends.withColumns({n: f(w_target) for n, f in exprs.items()}).where(F.col("_head") & (F.col("_target") == F.col("_slice"))).drop("_target")
+    else:
+        edge = ends.withColumns({n: f(w_series) for n, f in exprs.items()}).where(F.col("_head"))
+    return inner.unionByName(edge.drop("_tail")).drop("_slice", "_head")
 
 
 _WITHIN = {
@@ -91,7 +113,7 @@ def prefix(
     keys: Sequence[str],
     order: Sequence[str],
     exprs: dict[str, tuple[str, str]],
-    chunk: Column,
+    chunk: Column | Slices,
     include_current: bool = True,
 ) -> DataFrame:
     """Running ``sum``, ``min``, ``max`` or non-null ``last`` from the start of the series.
@@ -104,7 +126,7 @@ def prefix(
     stop = 0 if include_current else -1
     w_slice = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
     w_carry = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sliced = df.withColumn("_slice", chunk)
+    sliced = _sliced(df, chunk)
     totals = sliced.groupBy(*part).agg(*[_slice_total(c, k, order).alias(f"_t_{n}") for n, (c, k) in exprs.items()])
     carry = totals.select(*part, *[_WITHIN[k](F.col(f"_t_{n}"), w_carry).alias(f"_c_{n}") for n, (_, k) in exprs.items()])
     local = sliced.withColumns({f"_l_{n}": _WITHIN[k](F.col(c), w_slice) for n, (c, k) in exprs.items()})
@@ -116,7 +138,7 @@ def prefix(
 
 
 def segments(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, chunk: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, chunk: Column | Slices
 ) -> DataFrame:
     """Gaps and islands: one row per run of equal ``state`` with start, end and row count.
 
@@ -129,8 +151,7 @@ def segments(
     ts = order[0]
     w = Window.partitionBy(*part).orderBy(*order, state)
     ends = (
-        df.select(*keys, *order, state)
-        .withColumn("_slice", chunk)
+        _sliced(df.select(*keys, *order, state), chunk)
         .withColumns(
             {
                 "_rn": F.row_number().over(w),
@@ -169,8 +190,8 @@ def segments(
         .withColumn("_isle", F.sum("_new").over(w_series.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, "_isle", state)
         .agg(
-            F.min("seg_start").alias("seg_start"),
-            F.max("seg_end").alias("seg_end"),
+            F.min_by("seg_start", F.struct("_slice", "_rn")).alias("seg_start"),
+            F.max_by("seg_end", F.struct("_slice", "_rn")).alias("seg_end"),
             F.sum("n_rows").alias("n_rows"),
         )
         .select(*cols)

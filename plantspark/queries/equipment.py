@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantspark.operators import equipment as eq
-from plantspark.queries.registry import PLANT, RAW_SLICE, READINGS, plant, query, readings, table
+from plantspark.queries.registry import PLANT, READINGS, plant, query, readings, table
 
 _STATE = """CASE WHEN value IS NULL THEN 'UNKNOWN' WHEN event_type IN ('purchase', 'signup') THEN
     CASE WHEN value > 10 THEN 'ON' WHEN value < 2 THEN 'OFF' ELSE 'TRANSITION' END
@@ -43,7 +43,7 @@ segs AS (SELECT site_id, sensor, isle, any_value(state) AS state, min(ts) AS seg
     f"WITH {_ISLANDS} SELECT site_id, sensor, state, seg_start, seg_end, n_rows, minutes FROM segs",
 )
 def state_segments(spark, sf):
-    return eq.state_segments(states(spark, sf), RAW_SLICE)
+    return eq.state_segments(states(spark, sf))
 
 
 @query(
@@ -56,7 +56,7 @@ SELECT site_id, sensor, state, seg_start, seg_end, n_rows, minutes,
 FROM segs WHERE (state = 'ON' AND minutes < 600) OR (state = 'OFF' AND minutes < 15)""",
 )
 def min_runtime(spark, sf):
-    return eq.runtime_violations(eq.state_segments(states(spark, sf), RAW_SLICE), min_run=600.0)
+    return eq.runtime_violations(eq.state_segments(states(spark, sf)), min_run=600.0)
 
 
 @query(
@@ -66,7 +66,7 @@ WITH {STATES}, p AS (SELECT *, lag(state) OVER (PARTITION BY site_id, sensor ORD
 SELECT site_id, sensor, ts, row_no FROM p WHERE state = 'ON' AND prev IS DISTINCT FROM 'ON'""",
 )
 def start_events(spark, sf):
-    return eq.start_events(states(spark, sf), RAW_SLICE).select("site_id", "sensor", "ts", "row_no")
+    return eq.start_events(states(spark, sf)).select("site_id", "sensor", "ts", "row_no")
 
 
 @query(
@@ -83,7 +83,7 @@ SELECT site_id, ts, row_no, prior_state, NOT coalesce(prior_state = 'ON', false)
 )
 def startup_sequence(spark, sf):
     s = states(spark, sf).select("site_id", "ts", "row_no", "state", F.col("event_type").alias("device"))
-    return eq.startup_sequence(s, "view", "signup", RAW_SLICE)
+    return eq.startup_sequence(s, "view", "signup")
 
 
 RULES = [

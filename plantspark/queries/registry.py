@@ -15,8 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-#: Slice lengths of the ordered operators: a day of raw readings, a week of hourly values.
-RAW_SLICE = 86_400
+#: Slices of hourly values, 168 rows a week; those of raw readings are measured.
 HOURLY_SLICE = 7 * 86_400
 
 

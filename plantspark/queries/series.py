@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from plantspark.functions.timefx import bucket_start, calendar_features, cyclic_features
 from plantspark.operators import features, quality
 from plantspark.operators import resample as rs
+from plantspark.plans.rolling import rolling_blocks
+from plantspark.plans.slices import fit_slices
 from plantspark.queries.registry import (
     HOURLY,
     HOURLY_SLICE,
     PLANT,
-    RAW_SLICE,
     READINGS,
     hourly,
     plant,
@@ -242,10 +243,65 @@ FROM readings WINDOW w AS (PARTITION BY site_id ORDER BY ts, row_no ROWS BETWEEN
 )
 def wide_rolling_window(spark, sf):
     rules = {"value": features.StatsRule((), (1200,))}
-    out = features.lag_rolling(readings(spark, sf), rules, RAW_SLICE, keys=["site_id"], order=["ts", "row_no"])
+    out = features.lag_rolling(readings(spark, sf), rules, keys=["site_id"], order=["ts", "row_no"])
     return out.select("site_id", "row_no", r6("value_rollmean_1200"))
 
 
+HOT_HOUR = f"""{READINGS}, hot AS (
+  SELECT CASE WHEN row_no % 10 < 6 THEN 'hot' ELSE sensor END AS sensor, site_id, row_no, value,
+         CASE WHEN row_no % 10 < 6 THEN TIMESTAMP '2024-01-15 08:00:00' + to_microseconds((row_no * 7919) % 3600000000)
+              ELSE ts END AS ts
+  FROM readings)"""
+
+#: Rows of a slice and of a block in the queries below: few, so that the smallest tables have many of them.
+SMALL_SLICE, SMALL_BLOCK = 400, 150
+
+
+def hot_hour(spark, sf):
+    """Readings of which six in ten belong to one sensor of either site, within one hour."""
+    r, hot = readings(spark, sf), F.col("row_no") % 10 < 6
+    moved = F.expr("TIMESTAMP_NTZ'2024-01-15 08:00:00' + make_dt_interval(0, 0, 0, ((row_no * 7919) % 3600000000) / 1000000.0)")
+    return r.select("site_id", F.when(hot, "hot").otherwise(F.col("sensor")).alias("sensor"), "row_no", "value", F.when(hot, moved).otherwise(F.col("ts")).alias("ts"))
+
+
+@query(
+    "hot_hour_drops",
+    f"""
+WITH {HOT_HOUR}, d AS (
+  SELECT site_id, sensor, value - lag(value) OVER (PARTITION BY site_id, sensor ORDER BY ts, row_no) AS diff FROM hot)
+SELECT site_id, sensor, count(*) AS n_readings, CAST(sum(CASE WHEN diff < -0.01 THEN 1 ELSE 0 END) AS BIGINT) AS drops_count,
+       true AS within_limit
+FROM d GROUP BY 1, 2""",
+)
+def hot_hour_drops(spark, sf):
+    """Falls of meters over measured slices, and whether every slice of the series kept to its limit."""
+    r = hot_hour(spark, sf)
+    cut = fit_slices(r, ["site_id", "sensor"], ["ts", "row_no"], SMALL_SLICE)
+    sizes = cut.add(r).groupBy("site_id", "sensor", "_slice").agg(F.count("*").alias("n"))
+    within = sizes.groupBy("site_id", "sensor").agg((F.max("n") <= SMALL_SLICE).alias("within_limit"))
+    return quality.meter_drops(r, cut).join(within, ["site_id", "sensor"])
+
+
+@query(
+    "hot_hour_rolling",
+    f"""
+WITH {HOT_HOUR}
+SELECT site_id, row_no,
+       round(CASE WHEN count(value) OVER w = 700 THEN avg(value) OVER w END, 6) AS value_rollmean_700,
+       round(CASE WHEN count(value) OVER w = 700 THEN stddev_samp(value) OVER w END, 6) AS value_rollstd_700,
+       round(CASE WHEN count(value) OVER w = 700 THEN min(value) OVER w END, 6) AS value_rollmin_700,
+       round(CASE WHEN count(value) OVER w = 700 THEN max(value) OVER w END, 6) AS value_rollmax_700
+FROM hot WINDOW w AS (PARTITION BY site_id ORDER BY ts, row_no ROWS BETWEEN 700 PRECEDING AND 1 PRECEDING)""",
+)
+def hot_hour_rolling(spark, sf):
+    """Windows of 700 rows from blocks of 150, over measured slices of 400."""
+    r = hot_hour(spark, sf)
+    cut = fit_slices(r, ["site_id"], ["ts", "row_no"], SMALL_SLICE)
+    wanted = {700: {f"value_roll{a}_700": ("value", a, 700) for a in ("mean", "std", "min", "max")}}
+    out = rolling_blocks(r, ["site_id"], ["ts", "row_no"], wanted, cut, SMALL_BLOCK)
+    return out.select("site_id", "row_no", *[r6(c) for c in wanted[700]])
+
+
 @query(
     "time_features",
     f"""
@@ -271,7 +327,7 @@ SELECT site_id, sensor, count(*) AS n_readings, CAST(sum(CASE WHEN diff < -0.01
 FROM d GROUP BY 1, 2""",
 )
 def meter_monotonic(spark, sf):
-    return quality.meter_drops(readings(spark, sf), RAW_SLICE)
+    return quality.meter_drops(readings(spark, sf))
 
 
 @query(
@@ -283,7 +339,7 @@ SELECT site_id, sensor, ts, row_no, prev_ts, date_diff('microsecond', prev_ts, t
 FROM g WHERE date_diff('microsecond', prev_ts, ts) > 3600000000""",
 )
 def long_gaps(spark, sf):
-    return quality.long_gaps(readings(spark, sf), RAW_SLICE)
+    return quality.long_gaps(readings(spark, sf))
 
 
 @query(
@@ -301,7 +357,7 @@ FROM a WHERE low AND date_diff('microsecond', seg_start, seg_end) > 3600000000""
 )
 def low_pf_spans(spark, sf):
     r = readings(spark, sf).withColumn("value", F.col("value") / 60.0)
-    return quality.low_power_factor_spans(r, RAW_SLICE)
+    return quality.low_power_factor_spans(r)
 
 
 @query(
