@@ -14,6 +14,8 @@ from plantspark.llm.common import columns, stored
 
 #: Rows of a block, anchors of a pack, zone maps of a page.
 BLOCK, PACK, PAGE = 1024, 128, 256
+#: Windows of anchors whose best scores a task remembers, so as not to send on what cannot be among the first.
+SENT = 100_000
 #: Bits of a dimension in the Hilbert index.
 BITS = 2
 #: Components must stay below this after scaling, so that any score fits 64 bits (up to 8,192 dimensions).
@@ -189,6 +191,18 @@ def _rows(row: dict, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row["labels"], np.int32), np.frombuffer(row["vectors"], np.int32).reshape(len(ids), dims)
 
 
+def _still_first(sent: dict, key: tuple, score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the places ``at``, those that ``k`` better ones that this task has sent on for ``key`` do not rule out."""
+    least = sent.get(key)
+    if least is not None and len(least) == k:
+        at = at[score[at] >= least[0]]
+    return at
+
+
+def _note(sent: dict, key: tuple, scores: np.ndarray, k: int) -> None:
+    sent[key] = np.sort(np.concatenate([sent.get(key, scores[:0]), scores]))[-k:]
+
+
 def _packs(blocks: DataFrame, dims: int, positives: int) -> DataFrame:
     """Anchors in packs of neighbours along the curve, each with a score that its last positive reaches at least.
 
@@ -258,12 +272,15 @@ def _read(needed: DataFrame, packs: DataFrame, blocks: DataFrame, dims: int, pic
     names = _names(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict = {}
         for batch in batches:
             for i in range(len(batch)):
+                if len(sent) > SENT:
+                    sent.clear()
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids, labels, x = _rows({c: row[f"block_{c}"] for c in ROWS}, dims)
                 a = np.frombuffer(row["vectors"], np.int32).reshape(-1, dims)
-                found = pick(row, _scores(a, x), ids, labels)
+                found = pick(row, _scores(a, x), ids, labels, sent)
                 if found:
                     arrays = [np.concatenate(v) for v in zip(*found, strict=True)]
                     packed = [np.full(len(arrays[0]), row["pack_id"]), *arrays]
@@ -321,12 +338,14 @@ def hard_negatives(
     def may_be_positive(pack: dict, least: np.ndarray, most: np.ndarray, own: np.ndarray, every: np.ndarray) -> np.ndarray:
         return (own > 0) & (most >= np.frombuffer(pack["least"], np.int64)[:, None])
 
-    def own_label(pack: dict, score: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> list:
+    def own_label(pack: dict, score: np.ndarray, ids: np.ndarray, labels: np.ndarray, sent: dict) -> list:
         found = []
         for i, (anchor, mine) in enumerate(zip(np.frombuffer(pack["ids"], np.int64), np.frombuffer(pack["labels"], np.int32), strict=True)):
-            at = np.flatnonzero((labels == mine) & (ids != anchor))
+            key = (pack["pack_id"], i)
+            at = _still_first(sent, key, score[i], np.flatnonzero((labels == mine) & (ids != anchor)), positives)
             at = at[_first(score[i][at], ids[at], positives)]
             if len(at):
+                _note(sent, key, score[i][at], positives)
                 found.append((np.full(len(at), i), np.full(len(at), anchor), ids[at], score[i][at]))
         return found
 
@@ -344,12 +363,15 @@ def hard_negatives(
         place, low, high = windows(pack)
         return (own < every)[place] & (most[place] >= low[:, None]) & (least[place] <= high[:, None]) & (low <= high)[:, None]
 
-    def other_label(pack: dict, score: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> list:
+    def other_label(pack: dict, score: np.ndarray, ids: np.ndarray, labels: np.ndarray, sent: dict) -> list:
         found, mine = [], np.frombuffer(pack["labels"], np.int32)
         for w, i, low, high in zip(pack["near"], *windows(pack), strict=True):
+            key = (pack["pack_id"], i, w["nth"])
             at = np.flatnonzero((score[i] >= low) & (score[i] <= high) & (labels != mine[i]))
+            at = _still_first(sent, key, score[i], at, negatives)
             at = at[_first(score[i][at], ids[at], negatives)]
             if len(at):
+                _note(sent, key, score[i][at], negatives)
                 found.append((*(np.full(len(at), w[c]) for c in ("place", "nth", "anchor_id", "positive_id", "positive_score")), ids[at], score[i][at]))
         return found
 
