@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plantspark.functions.timefx import epoch_micros
 from plantspark.operators.features import add_time_features, available_features, check_alignment, feature_hash
 from plantspark.operators.quality import complete_cases, require_samples
-from plantspark.plans.quantiles import exact_quantiles
+from plantspark.plans.ranks import refined_quantiles
 
 TIME_FEATURES = ["hour", "month", "day_of_week", "is_weekend"]
 
@@ -147,14 +147,18 @@ def hash_split(df: DataFrame, keys: Sequence[str] = (), test_share: float = 0.2,
 
 
 def time_split(df: DataFrame, ts: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Earlier rows to train, later rows to test; the cut is the exact quantile of the time column."""
+    """Earlier rows to train, later rows to test; rows without a time are in neither. See :func:`split_moment`."""
+    cut = F.lit(split_moment(df, ts, test_share)).cast("bigint")
     us = epoch_micros(ts)
-    one = df.select(F.lit(0).alias("_all"), us.cast("double").alias("_us"))
-    row = exact_quantiles(one, ["_all"], "_us", {"cut": 1 - test_share}).first()
-    cut = F.lit(row["cut"] if row else None).cast("double")
     return df.where(us <= cut), df.where(us > cut)
 
 
+def split_moment(df: DataFrame, ts: str, test_share: float = 0.2) -> int | None:
+    """Microseconds of the last training time: the exact quantile, found by refinement (see ``plans.ranks``). None without times."""
+    row = refined_quantiles(df.select(epoch_micros(ts).alias("_us")), [], "_us", {"cut": 1 - test_share}, lower=True).first()
+    return None if row is None else int(row["cut"])
+
+
 def train(
     df: DataFrame, cfg: ModelConfig | None = None, test_share: float = 0.2, split: str = "random", min_samples: int = 10
 ) -> PowerModel:

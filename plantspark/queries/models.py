@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantspark.functions.timefx import epoch_micros
 from plantspark.operators import consistency as co
 from plantspark.operators import features, model
 from plantspark.operators import setpoints as sp
+from plantspark.plans import ranks
 from plantspark.queries.registry import PLANT, meters, plant, query, r6, table
 
 _PAIRS = """comp AS (
@@ -205,6 +207,37 @@ def feature_overlap(spark, sf):
     return o.withColumn("overlap", r6("overlap"))
 
 
+@query(
+    "time_split_cut",
+    """
+WITH n AS (SELECT count(*) AS n FROM lineitem),
+c AS (SELECT l_shipdate AS cut FROM lineitem ORDER BY l_shipdate LIMIT 1 OFFSET (SELECT CAST(floor((n - 1) * 0.8) AS BIGINT) FROM n))
+SELECT l_orderkey AS run, l_linenumber AS line, date_diff('microsecond', TIMESTAMP '1970-01-01', cut) AS cut_us,
+       CASE WHEN l_shipdate <= cut THEN 'train' ELSE 'test' END AS side
+FROM lineitem, c""",
+)
+def time_split_cut(spark, sf):
+    m = meters(spark, sf).select("run", "line", "ts")
+    train, test = model.time_split(m, "ts")
+    cut = F.lit(model.split_moment(m, "ts")).cast("bigint").alias("cut_us")
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return both.select("run", "line", cut, "side")
+
+
+@query(
+    "refined_quantiles",
+    """
+SELECT event_type, count(*) AS n, round(quantile_cont(ms, 0.05), 1) AS p05, round(quantile_cont(ms, 0.5), 1) AS p50,
+       round(quantile_cont(ms, 0.999), 1) AS p999
+FROM (SELECT event_type, date_diff('microsecond', TIMESTAMP '1970-01-01', ts)::DOUBLE / 1000::DOUBLE AS ms FROM events) GROUP BY 1""",
+)
+def refined_quantiles(spark, sf):
+    """Quantiles of times, which agree in their first digits; buckets are split down to 20 rows."""
+    e = table(spark, sf, "events").select("event_type", (epoch_micros("ts") / F.lit(1000.0)).alias("ms"))
+    q = ranks.refined_quantiles(e, ["event_type"], "ms", {"p05": 0.05, "p50": 0.5, "p999": 0.999}, max_values=20)
+    return q.select("event_type", "n", *[F.round(c, 1).alias(c) for c in ("p05", "p50", "p999")])
+
+
 # ------------------------------------------------------------------ fitted models
 # Predictions have no SQL; the queries return what must hold for every row, whatever the trees look like.
 
