@@ -69,6 +69,8 @@ class FrozenProcessor(StatefulProcessor):
         ready.sort()
         for us, row_no, value in ready:
             self.waiting.removeKey((us, row_no))
+            if end and _wake_ms(us) - end >= self.idle_ms:
+                last = []
             seen = [*last, value]
             whole = len(seen) == self.window and None not in seen
             std = sample_deviation(seen) if whole else None
@@ -107,8 +109,8 @@ def frozen_stream(
 
     ``ts`` must be a TIMESTAMP. Readings may arrive in any order up to ``late`` behind the newest; each comes out once the
     watermark has passed it, after all that precede it by time and row number. Later ones are dropped.
-    State per series: the readings not yet final, ``window - 1`` values, and nothing once ``idle`` seconds (at least
-    ``late``) have gone by without a reading; the series then begins anew, without a past. Readings without a time are left out, a null value
+    State per series: the readings not yet final, ``window - 1`` values, and nothing once ``idle`` seconds
+    have gone by without a reading; after such a gap between two readings the series begins anew, without a past. Readings without a time are left out, a null value
     empties the windows that hold it, a null key is a key, and of readings equal in series, time and row number the
     last to arrive counts. Needs the state store of ``STATE_STORE``.
     """
