@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plantspark.functions import text as tx
 from plantspark.functions.timefx import parse_text_timestamp
-from plantspark.operators import features, flags, sensors
+from plantspark.operators import features, flags, inheritance, sensors
 from plantspark.operators import setpoints as sp
 from plantspark.queries.registry import PLANT, plant, query, r6, table
 from plantspark.sources import reports
@@ -153,6 +153,55 @@ def inherited_annotations(spark, sf):
     return sensors.inherit_annotations(base, site, "position")
 
 
+#: Chains of forty parts each; in every tenth the root inherits from its seventh descendant.
+_CHAINS = """links AS (
+  SELECT p_partkey AS node, CASE WHEN p_partkey % 40 <> 0 THEN p_partkey - 1 WHEN p_partkey // 40 % 10 = 3 THEN p_partkey + 7 END AS parent FROM part),
+own AS (
+  SELECT p_partkey AS node, 's' || (p_size % 6) AS sensor, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS physical_type,
+         CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS device_role FROM part WHERE p_partkey % 4 > 0),
+known AS (SELECT node, CASE WHEN parent IN (SELECT node FROM links) THEN parent END AS parent FROM links),
+up(node, here, dist, seen, loops) AS (
+  SELECT node, node, 0, [node], false FROM known
+  UNION ALL
+  SELECT u.node, k.parent, dist + 1, list_append(seen, k.parent), list_contains(seen, k.parent)
+  FROM up u JOIN known k ON k.node = u.here WHERE k.parent IS NOT NULL AND NOT loops)"""
+
+
+def chains(spark, sf):
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    parent = F.when(key % 40 != 0, key - 1).when(F.floor(key / 40) % 10 == 3, key + 7)
+    notes = p.where(key % 4 > 0).select(
+        key.alias("node"),
+        F.concat(F.lit("s"), (F.col("p_size") % 6).cast("string")).alias("sensor"),
+        F.when(key % 3 == 0, F.col("p_type")).alias("physical_type"),
+        F.when(key % 5 == 0, F.col("p_brand")).alias("device_role"),
+    )
+    return notes, p.select(key.alias("node"), parent.alias("parent"))
+
+
+@query(
+    "inherited_chains",
+    f"""
+WITH RECURSIVE {_CHAINS}
+SELECT u.node, o.sensor, arg_min(o.physical_type, dist) AS physical_type, arg_min(o.device_role, dist) AS device_role
+FROM up u JOIN own o ON o.node = u.here
+WHERE u.node NOT IN (SELECT node FROM up WHERE loops) GROUP BY 1, 2""",
+)
+def inherited_chains(spark, sf):
+    return inheritance.inherit_chains(*chains(spark, sf), on_circle="report")[0]
+
+
+@query(
+    "inheritance_circles",
+    f"""
+WITH RECURSIVE {_CHAINS}
+SELECT node, CASE WHEN here = node THEN 'circle' ELSE 'below_circle' END AS problem, 'E407' AS code FROM up WHERE loops
+UNION ALL SELECT node, 'unknown_parent', NULL FROM links WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM links)""",
+)
+def inheritance_circles(spark, sf):
+    return inheritance.inheritance_problems(chains(spark, sf)[1])
+
+
 @query(
     "feature_labels",
     f"""
