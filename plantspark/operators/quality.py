@@ -14,6 +14,7 @@ from plantspark.plans.joins import key_join
 from plantspark.plans.ordered import chunk_of, segments, windowed
 from plantspark.plans.slices import Slices
 from plantspark.plans.quantiles import exact_quantiles
+from plantspark.plans.sketches import approx_quantiles
 from plantspark.schema import ROLE_FROZEN_MULTIPLIER, ROLE_ZERO_LIMIT, SERIES
 
 ORDER = ["ts", "row_no"]
@@ -194,9 +195,14 @@ def iqr_outliers(
     keys: Sequence[str] = tuple(SERIES),
     value: str = "value",
     whiskers: float = 1.5,
+    approx_k: int | None = None,
 ) -> DataFrame:
-    """Rows outside the whiskers around the exact quartiles of their series (flag ``is_outlier``)."""
-    q = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
+    """Rows outside the whiskers around the quartiles of their series (flag ``is_outlier``).
+
+    The quartiles are exact, or with ``approx_k`` from sketches of that size (see ``plans.sketches``).
+    """
+    probs = {"q1": 0.25, "q3": 0.75}
+    q = approx_quantiles(df, keys, value, probs, approx_k) if approx_k else exact_quantiles(df, keys, value, probs)
     iqr = F.col("q3") - F.col("q1")
     return (
         key_join(df, q, keys)
@@ -213,10 +219,12 @@ def affinity_check(
     kw: str,
     keys: Sequence[str],
     tolerance: float = 0.20,
+    approx_k: int | None = None,
 ) -> DataFrame:
-    """Add ``affinity_ratio`` and ``affinity_law_invalid`` (too far from the asset's median ratio)."""
+    """Add ``affinity_ratio`` and ``affinity_law_invalid`` (too far from the asset's median ratio; ``approx_k`` as above)."""
     ratio = df.withColumn("affinity_ratio", physics.affinity_ratio(hz, kw))
-    med = exact_quantiles(ratio, keys, "affinity_ratio", {"median_ratio": 0.5})
+    probs = {"median_ratio": 0.5}
+    med = approx_quantiles(ratio, keys, "affinity_ratio", probs, approx_k) if approx_k else exact_quantiles(ratio, keys, "affinity_ratio", probs)
     ratio_col, mid = F.col("affinity_ratio"), F.col("median_ratio")
     invalid = (
         F.when(ratio_col.isNull(), F.lit(None).cast("boolean"))

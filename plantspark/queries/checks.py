@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from plantspark.functions import physics
 from plantspark.functions.text import scrub_number
 from plantspark.functions.timefx import to_utc
 from plantspark.operators import flags, quality
+from plantspark.plans import sketches
 from plantspark.queries.registry import (
     HOURLY,
     HOURLY_SLICE,
@@ -82,6 +83,26 @@ def iqr_outliers(spark, sf):
     return quality.iqr_outliers(r).withColumn("lower", r6("lower")).withColumn("upper", r6("upper"))
 
 
+@query(
+    "sketched_quantiles",
+    f"""
+WITH {READINGS}
+SELECT site_id, sensor, count(value) AS n, true AS p05, true AS p50, true AS p95
+FROM readings WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22' GROUP BY 1, 2""",
+)
+def sketched_quantiles(spark, sf):
+    """Quantiles of two weeks from sketches per series and day, and whether their ranks, counted over all rows, keep to the bound."""
+    r = readings(spark, sf).select("site_id", "sensor", "ts", "value")
+    keys, probs = ["site_id", "sensor"], {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    first, last = date(2024, 1, 8), date(2024, 1, 21)
+    found = sketches.quantiles_of(sketches.merged(sketches.day_sketches(r, keys, "value"), keys, first, last), keys, probs)
+    window = r.where(F.col("ts").cast("date").between(F.lit(first), F.lit(last)))
+    errors = sketches.rank_errors(window, keys, "value", found.drop("n"), probs)
+    # A bound at 99 % confidence for one quantile; three times as wide holds for all of a table.
+    most = 3 * sketches.rank_error() + 1 / F.col("n")
+    return errors.join(found.select(*keys, "n"), keys).select(*keys, "n", *[(F.col(p) <= most).alias(p) for p in probs])
+
+
 @query(
     "affinity_check",
     f"""

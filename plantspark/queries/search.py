@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plantspark.operators import setpoints as sp
+from plantspark.operators.units import cheapest_units as cheapest
 from plantspark.queries.registry import PLANT, plant, query, r6, table
 
 AXES = {n: sp.hz_steps() for n in sp.SETPOINTS}
@@ -175,6 +177,33 @@ def unit_combinations_twelve(spark, sf):
     return sp.unit_combinations(u, "plant_no", "unit", "cap", "kw", target, mutex=lambda m: m.bitwiseAND(F.lit(3)) == 3)
 
 
+@query(
+    "cheapest_units",
+    f"""
+WITH {_UNITS}, p AS (SELECT unit // 12 AS plant_no, unit, cap, kw, now FROM units),
+u AS (SELECT *, row_number() OVER (PARTITION BY plant_no ORDER BY unit) - 1 AS idx FROM p),
+n AS (SELECT plant_no, count(*) AS n, floor(sum(cap) * 0.6) AS target_rt FROM u GROUP BY 1),
+m AS (SELECT plant_no, target_rt, unnest(generate_series(0::BIGINT, (1::BIGINT << n) - 1)) AS mask FROM n),
+c AS (SELECT m.plant_no, m.mask, any_value(target_rt) AS target_rt, sum(CASE WHEN (m.mask >> idx) & 1 = 1 THEN cap ELSE 0 END) AS total_capacity,
+        sum(CASE WHEN (m.mask >> idx) & 1 = 1 THEN kw ELSE 0 END) AS total_kw,
+        sum(CASE WHEN ((m.mask >> idx) & 1) <> now THEN 1 ELSE 0 END) AS switches
+      FROM m JOIN u USING (plant_no) WHERE m.mask & 3 <> 3 GROUP BY ALL)
+SELECT plant_no, any_value(target_rt)::DOUBLE AS target_rt, round(min(total_kw::DOUBLE + switches * 5.0::DOUBLE), 6) AS objective_kw, true AS carries
+FROM c WHERE total_capacity >= target_rt GROUP BY 1""",
+)
+def cheapest_units(spark, sf):
+    """The least objective over plants of twelve units, the first two of which exclude each other, from two trimmed halves."""
+    no = F.floor(F.col("unit") / 12).cast("long")
+    place = F.row_number().over(Window.partitionBy(no).orderBy("unit"))
+    u = units(spark, sf).select(no.alias("plant_no"), "unit", "cap", "kw", "now", F.when(place <= 2, F.lit("first two")).alias("bound"))
+    target = u.groupBy("plant_no").agg(F.floor(F.sum("cap") * 0.6).cast("double").alias("target_rt"))
+    best = cheapest(u, "plant_no", "unit", "cap", "kw", target, current="now", group="bound")
+    chosen = best.select("plant_no", F.explode("units").alias("name"))
+    load = u.withColumn("name", F.col("unit").cast("string")).join(chosen, ["plant_no", "name"]).groupBy("plant_no").agg(F.sum("cap").alias("cap"))
+    joined = best.join(load, "plant_no")
+    return joined.select("plant_no", "target_rt", r6("objective_kw"), (F.col("cap") >= F.col("target_rt")).alias("carries"))
+
+
 @query(
     "greedy_order",
     f"""
