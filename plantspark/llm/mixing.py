@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from plantspark.llm.common import columns
 
-#: Slots of one round of the schedule of ``op9_source_mix``, as its SQL has it, before each source gets at least one.
+#: Slots of one round of a rounded schedule (``round_slots``), before each source gets at least one.
 ROUND = 1000
 BLOCK = 32
 #: Rows of a source are ranked in this many hash ranges.

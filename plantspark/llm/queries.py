@@ -173,30 +173,34 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ mixing
 
 MIX_SQL = """
-WITH RECURSIVE weights AS (
-  SELECT source, ceil(sqrt(count(*)))::BIGINT AS w FROM documents GROUP BY source),
-quotas AS (
-  SELECT source, greatest(1, (w * 1000) // (SELECT sum(w)::BIGINT FROM weights)) AS q FROM weights),
+WITH RECURSIVE sizes AS (
+  SELECT source, ceil(sqrt(count(*)))::BIGINT AS w, ((count(*) + 31) // 32)::BIGINT AS b FROM documents GROUP BY source),
+common AS (SELECT list_reduce(list(w), lambda x, y: gcd(x, y)) AS g FROM sizes),
 every AS (
-  SELECT list(source ORDER BY source) AS names, list(q ORDER BY source) AS quota, sum(q)::BIGINT AS slots FROM quotas),
-edf(t, done, pick) AS (
-  SELECT 0::BIGINT, [0::BIGINT for x in quota], NULL::BIGINT FROM every
+  SELECT list(source ORDER BY source) AS names, list((w // g)::BIGINT ORDER BY source) AS w, list(b ORDER BY source) AS b,
+         sum(w // g)::BIGINT AS total, sum(b)::BIGINT AS blocks FROM sizes, common),
+rounds AS (
+  SELECT names, w, total, CASE WHEN total <= blocks THEN w ELSE b END AS quota, CASE WHEN total <= blocks THEN total ELSE 0 END AS slots FROM every),
+edf(t, done, pick, slot) AS (
+  SELECT 0::BIGINT, [0::BIGINT for x in w], NULL::BIGINT, NULL::BIGINT FROM rounds
   UNION ALL
-  SELECT t + 1, [done[k] + CASE WHEN k = p THEN 1 ELSE 0 END for k in range(1, len(done) + 1)], p
-  FROM (SELECT t, done, slots,
-               list_sort([{'deadline': ((done[k] + 1) * slots + quota[k] - 1) // quota[k], 'rank': -quota[k], 'k': k}
-                          for k in range(1, len(quota) + 1)
-                          if done[k] < quota[k] AND (done[k] * slots) // quota[k] <= t])[1].k AS p
-        FROM edf, every WHERE t < slots)),
+  SELECT here + 1, [done[k] + CASE WHEN k = p THEN 1 ELSE 0 END for k in range(1, len(done) + 1)], p, here
+  FROM (SELECT done, here,
+               list_sort([{'deadline': ((done[k] + 1) * total + w[k] - 1) // w[k], 'rank': -w[k], 'k': k}
+                          for k in range(1, len(w) + 1) if done[k] < quota[k] AND (done[k] * total) // w[k] <= here])[1].k AS p
+        FROM (SELECT done, w, total, quota,
+                     greatest(t, list_min([(done[k] * total) // w[k] for k in range(1, len(w) + 1) if done[k] < quota[k]])) AS here
+              FROM edf, rounds))
+  WHERE p IS NOT NULL),
 plan AS (
-  SELECT t - 1 AS slot, names[pick] AS source, quota[pick] AS q, slots,
+  SELECT slot, names[pick] AS source, quota[pick] AS q, w[pick] AS w, total, slots,
          row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth
-  FROM edf, every WHERE pick IS NOT NULL),
+  FROM edf, rounds WHERE pick IS NOT NULL),
 ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM documents)
 SELECT r.doc_id, r.source, (r.rank // 32)::BIGINT AS block,
-       ((r.rank // 32) * p.slots // p.q)::BIGINT AS release,
-       (((r.rank // 32 + 1) * p.slots + p.q - 1) // p.q)::BIGINT AS deadline,
+       ((r.rank // 32) // p.q * p.slots + p.nth * p.total // p.w)::BIGINT AS release,
+       ((r.rank // 32) // p.q * p.slots + ((p.nth + 1) * p.total + p.w - 1) // p.w)::BIGINT AS deadline,
        ((r.rank // 32) // p.q * p.slots + p.slot)::BIGINT AS slot,
        (((r.rank // 32) // p.q * p.slots + p.slot) * 32 + r.rank % 32)::BIGINT AS position
 FROM ranked r JOIN plan p ON p.source = r.source AND p.nth = (r.rank // 32) % p.q
@@ -205,8 +209,8 @@ FROM ranked r JOIN plan p ON p.source = r.source AND p.nth = (r.rank // 32) % p.
 
 @query("op9_source_mix", MIX_SQL)
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Its SQL defines it over rounds of about 1,000 slots; the pipeline mixes by the unrounded weights."""
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), round_slots=mixing.ROUND)
+    """By the unrounded natural weights, as the pipeline's last stage."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 # ------------------------------------------------------------------ quality rules

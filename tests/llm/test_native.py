@@ -1,5 +1,9 @@
+import math
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plantspark.llm import lines, mixing, quality
 from tests.llm import plain
@@ -114,3 +118,23 @@ def test_mix_follows_unrounded_weights(spark):
         for t, r in enumerate(got, 1):
             done[r.source] += 1
             assert t > last or all(abs(done[s] - t * w / total) < 1 + 1e-9 for s, w in given.items())
+
+
+@pytest.mark.parametrize("sizes", [[1], [33, 1], [2000, 7, 300, 1], [40] * 25])
+def test_mix_keeps_to_unrounded_weights(docs, sizes):
+    """Every block within its window, and at any slot each source less than a block from its share while it lasts."""
+    rows = [(k * 10_000 + i, "t") for k, n in enumerate(sizes) for i in range(n)]
+    df = docs(rows).withColumn("source", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 10_000).cast("string")))
+    got = sorted(mixing.mix(df).collect(), key=lambda r: r.position)
+    assert len(got) == len(rows) == len({r.position for r in got})
+    assert all(r.release <= r.slot < r.deadline or r.slot >= r.release for r in got)
+    weight = {f"s{k}": math.ceil(math.sqrt(n)) for k, n in enumerate(sizes)}
+    total, blocks = sum(weight.values()), {f"s{k}": -(-n // 32) for k, n in enumerate(sizes)}
+    starts = {}
+    for r in got:
+        starts.setdefault((r.source, r.block), r.slot)
+    horizon = min(blocks[s] * total // w for s, w in weight.items())
+    for t in range(1, min(horizon, 400) + 1):
+        for s, w in weight.items():
+            done = sum(1 for (x, _), at in starts.items() if x == s and at < t)
+            assert abs(done - t * w / total) < 1
