@@ -104,8 +104,10 @@ SPELLED = {
 AT = "at|arobase|arroba"
 DOT = "dot|punkt|point|punto"
 PLUS = "plus|más"
-WRAPPED_AT = rf"\s*[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*"
-WRAPPED_DOT = rf"\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
+#: Blanks before a bracket are tried from the first of them only, so that long runs of blanks stay linear.
+_LEAD = r"(?:(?<!\s)\s+)?"
+WRAPPED_AT = rf"{_LEAD}[\[({{<]\s*(?:{AT}|@)\s*[\])}}>]\s*"
+WRAPPED_DOT = rf"{_LEAD}[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*"
 LABEL = r"[A-Za-z0-9-]+"
 _LABEL = re.compile(LABEL)
 _LABELS = re.compile(rf"{LABEL}(?:\.{LABEL})*")

@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -86,3 +89,15 @@ def test_mixed_disguises():
 def test_mixed_runs_take_linear_time():
     for text in ("1 " * 100_000 + "x one", "one (" * 50_000, "a at b." * 40_000, "one dot " * 40_000, "+ one " * 50_000, "one [dot] " * 30_000, "bob@a.cо " * 20_000):
         pii.disguised(text, pii.detect(text))
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \t"])
+def test_long_runs_of_blanks_are_linear(blank):
+    gap = blank * (1_000_000 // len(blank))
+    for text in (f"( dot at x{gap}jane (at) mail (dot) org", f"jane [at] mail{gap}[dot] org{gap}( dot", f"dot ({gap}at{gap})"):
+        start = time.perf_counter()
+        pii.disguised(text, [])
+        assert time.perf_counter() - start < 2
+    near = blank * 30
+    found = pii.disguised(f"write to jane{near}[at]{near}mail{near}[dot]{near}org now", [])
+    assert [(s, e) for s, _, e in found] == [(9, 9 + len(f"jane{near}[at]{near}mail{near}[dot]{near}org"))]
