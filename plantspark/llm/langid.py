@@ -141,8 +141,9 @@ def switching_paths(scores: np.ndarray, first: np.ndarray, length: np.ndarray, p
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     n_langs = scores.shape[1]
-    back = np.empty(scores.shape, np.uint8)
-    keep = np.arange(n_langs, dtype=np.uint8)
+    kind = np.uint8 if n_langs <= 256 else np.uint32
+    back = np.empty(scores.shape, kind)
+    keep = np.arange(n_langs, dtype=kind)
     live = len(length)
     longest = int(length[0]) if live else 0
     alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
@@ -153,9 +154,9 @@ def switching_paths(scores: np.ndarray, first: np.ndarray, length: np.ndarray, p
         best = v.argmax(axis=1)
         change = v[np.arange(live), best][:, None] - penalty
         rows = first[:live] + t
-        back[rows] = np.where(change > v, best[:, None].astype(np.uint8), keep)
+        back[rows] = np.where(change > v, best[:, None].astype(kind), keep)
         value[:live] = np.maximum(v, change) + scores[rows]
-    out = np.empty(len(scores), np.uint8)
+    out = np.empty(len(scores), kind)
     state = value.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         live = alive[t]

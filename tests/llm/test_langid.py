@@ -59,3 +59,12 @@ def test_rejects_only_what_has_no_language(spark, docs):
     rows = [(1, "the house"), (2, "12 34"), (3, None), (4, "das Haus und the garden")]
     kept = langid.keep_identified(docs(rows), model(spark))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and kept.columns == docs(rows).columns
+
+
+def test_more_languages_than_a_byte_counts():
+    r = np.random.default_rng(1)
+    scores = r.normal(0, 1, (40, 300))
+    scores[:20, 280] += 9
+    scores[20:, 299] += 9
+    got = langid.switching_paths(scores, np.array([0, 20]), np.array([20, 20]))
+    assert (got[:20] == 280).all() and (got[20:] == 299).all()
