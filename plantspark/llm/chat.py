@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -25,10 +26,22 @@ def _sound(text: str) -> bool:
     return True
 
 
+class _NoNumber:
+    """What stands for NaN, the infinities and numbers beyond a double, which JSON cannot write."""
+
+
+NO_NUMBER = _NoNumber()
+LACKS, DEEP = "number that JSON lacks", "nested too deeply"
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no blanks, and non-ASCII characters as they are."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return text if _sound(text) else json.dumps(value, sort_keys=True, separators=(",", ":"))  # escapes half surrogates
+    """JSON with sorted keys, no blanks, and non-ASCII characters as they are; null for ``NO_NUMBER``."""
+
+    def write(ascii_only: bool) -> str:
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False, default=lambda _: None)
+
+    text = write(False)
+    return text if _sound(text) else write(True)  # escapes half surrogates
 
 
 def violations(value: object, schema: Mapping, at: str = "arguments") -> list[str]:
@@ -58,11 +71,26 @@ def violations(value: object, schema: Mapping, at: str = "arguments") -> list[st
     return out
 
 
-def _read(text: str | None) -> object:
+def _read(text: str | None) -> tuple[object, list[str]]:
+    """The JSON object that a text is, else None, and what is wrong with it."""
+    lacking: list[str] = []
+
+    def none(_: str) -> _NoNumber:
+        lacking.append(LACKS)
+        return NO_NUMBER
+
+    def real(digits: str) -> object:
+        x = float(digits)
+        return x if math.isfinite(x) else none(digits)
+
+    if not text or text.lstrip()[:1] != "{":
+        return None, []
     try:
-        return json.loads(text) if text and text.lstrip()[:1] == "{" else None
-    except (ValueError, RecursionError):
-        return None
+        return json.loads(text, parse_constant=none, parse_float=real), lacking[:1]
+    except RecursionError:
+        return None, [DEEP]
+    except ValueError:
+        return None, []
 
 
 def _name(x: object) -> str | None:
@@ -74,15 +102,18 @@ def events_of(role: str | None, text: str | None, schemas: Mapping[str, Mapping]
 
     A message whose text is an object with a list ``tool_calls`` is a call for each (``id``, ``name``, ``arguments``
     as object or JSON text, ``after``: identifiers it needs), one with a ``tool_call_id`` is a result, any other a message.
+    Numbers that JSON lacks are written as null, and are a problem of each event of their message; so is an object
+    nested deeper than Python reads, which is no call then: as a message, its text stays whole.
     """
-    said = _read(text)
+    said, wrong = _read(text)
     if isinstance(said, dict) and isinstance(said.get("tool_calls"), list):
         for call in said["tool_calls"]:
-            problems = []
+            problems = list(wrong)
             call = call if isinstance(call, dict) else {}
             arguments = call.get("arguments")
             if isinstance(arguments, str):
-                arguments = _read(arguments)
+                arguments, inner = _read(arguments)
+                problems += [x for x in inner if x not in problems]
             call_id, name = _name(call.get("id")), _name(call.get("name"))
             if call_id is None:
                 problems.append("call without id")
@@ -92,12 +123,23 @@ def events_of(role: str | None, text: str | None, schemas: Mapping[str, Mapping]
                 problems += violations(arguments, {"type": "object", **schemas[name]})
             after = [x for x in call.get("after", ()) if _name(x)] if isinstance(call.get("after"), list) else []
             body = {"role": role, "tool_call": {"id": call_id, "name": name, "arguments": arguments}}
-            yield "call", call_id, after, canonical(body), problems
+            try:
+                written = canonical(body)
+            except RecursionError:
+                body["tool_call"]["arguments"] = None
+                written, problems = canonical(body), [*problems, DEEP]
+            yield "call", call_id, after, written, problems
     elif isinstance(said, dict) and "tool_call_id" in said:
         call_id = _name(said["tool_call_id"])
-        yield "result", call_id, [], canonical({"role": role, "tool_call_id": call_id, "content": said.get("content")}), [] if call_id else ["result without id"]
+        problems = [*wrong, *([] if call_id else ["result without id"])]
+        body = {"role": role, "tool_call_id": call_id, "content": said.get("content")}
+        try:
+            written = canonical(body)
+        except RecursionError:
+            written, problems = canonical(body | {"content": None}), [*problems, DEEP]
+        yield "result", call_id, [], written, problems
     else:
-        yield "message", None, [], canonical({"role": role, "content": text}), []
+        yield "message", None, [], canonical({"role": role, "content": text}), wrong if wrong == [DEEP] else []
 
 
 def events(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from plantspark.llm import chat
 from plantspark.llm.queries import QUERIES
 
@@ -92,3 +94,21 @@ def test_query_keeps_every_turn(spark):
         both = turns.get((r.conv_id, call_turn)) == "user" and turns.get((r.conv_id, call_turn + 1)) == "assistant"
         assert r.linked == (r.kind != "message" and both)
         json.loads(r.body)
+
+
+def test_numbers_that_json_lacks_and_deep_nesting():
+    call = '{"tool_calls": [{"id": "c", "name": "t", "arguments": {"a": NaN, "b": 1e999, "c": [-Infinity, 1.5]}}]}'
+    kind, call_id, _, body, problems = next(chat.events_of("assistant", call, {"t": {"properties": {"a": {"type": "number"}}}}))
+    said = json.loads(body, parse_constant=lambda x: pytest.fail(x))
+    assert (kind, call_id) == ("call", "c") and said["tool_call"]["arguments"] == {"a": None, "b": None, "c": [None, 1.5]}
+    assert problems == [chat.LACKS, "arguments.a is no number"]
+    text = json.dumps({"tool_calls": [{"id": "c", "name": "t", "arguments": '{"x": Infinity}'}]})
+    assert next(chat.events_of("assistant", text, {"t": {}}))[4] == [chat.LACKS]
+    result = next(chat.events_of("tool", '{"tool_call_id": "c", "content": NaN}', {}))
+    assert result[3:] == ('{"content":null,"role":"tool","tool_call_id":"c"}', [chat.LACKS])
+    for depth in (500, 5_000, 200_000):
+        deep = '{"tool_calls": [{"id": "c", "name": "t", "arguments": ' + '{"a":' * depth + "1" + "}" * depth + "}]}"
+        kind, _, _, body, problems = next(chat.events_of("assistant", deep, {"t": {}}))
+        assert json.loads(body)["role"] == "assistant" if kind == "message" or depth < 1000 else body
+        assert (kind == "call" and (not problems or problems == [chat.DEEP])) or (kind == "message" and problems == [chat.DEEP])
+    assert next(chat.events_of("user", '{"x": NaN}', {}))[0::4] == ("message", [])
