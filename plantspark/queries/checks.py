@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from plantspark.functions.text import scrub_number
 from plantspark.functions.timefx import to_utc
 from plantspark.operators import flags, quality
 from plantspark.plans import sketches
+from plantspark.plans.stored import shared_folder
 from plantspark.queries.registry import (
     HOURLY,
     HOURLY_SLICE,
@@ -25,6 +27,7 @@ from plantspark.queries.registry import (
     readings,
     table,
 )
+from plantspark.sources import guarded
 
 
 @query(
@@ -103,6 +106,39 @@ def sketched_quantiles(spark, sf):
     return errors.join(found.select(*keys, "n"), keys).select(*keys, "n", *[(F.col(p) <= most).alias(p) for p in probs])
 
 
+@query(
+    "leakage_excluded",
+    """
+SELECT o_orderpriority, count(*) AS n_excluded, min(o_orderdate) AS first_excluded, max(o_orderdate) AS last_excluded
+FROM orders WHERE o_orderdate > TIMESTAMP '1996-06-30' GROUP BY 1""",
+)
+def leakage_excluded(spark, sf):
+    return guarded.split_leakage(table(spark, sf, "orders"), datetime(1996, 6, 30), ["o_orderpriority"], "o_orderdate")[1]
+
+
+@query(
+    "guarded_write",
+    f"""
+WITH {READINGS}
+SELECT count(*) AS rows_in, count(*) FILTER (WHERE value > 180) AS invalid_rows, count(value) AS complete_rows,
+       count(*) FILTER (WHERE value IS NULL) AS lacking_value, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20') AS rows_after_cutoff,
+       count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-20' OR ts IS NULL) AS rows_committed
+FROM readings""",
+)
+def guarded_write(spark, sf):
+    """A batch written once under three guards, its measures, and the rows that readers then see."""
+    path = f"{shared_folder(spark)}/guarded-{uuid.uuid4().hex}"
+    guards = [
+        guarded.invalid_share(F.col("value") > 180, 0.9),
+        guarded.minimum_samples([], "value", 1),
+        guarded.no_leakage(datetime(2024, 1, 20), exclude=True),
+    ]
+    done = guarded.write_guarded(readings(spark, sf).select("site_id", "sensor", "ts", "value"), path, guards)
+    names = ["rows_in", "invalid_rows", "complete_rows", "lacking_value", "rows_after_cutoff"]
+    committed = guarded.read_committed(spark, path).agg(F.count("*").alias("rows_committed"))
+    return committed.select(*[F.lit(done.metrics[n]).cast("bigint").alias(n) for n in names], "rows_committed")
+
+
 @query(
     "affinity_check",
     f"""
