@@ -71,6 +71,8 @@ def read_lines(
     if codec == "auto":
         valid = F.is_valid_utf8(value)
         text = F.when(valid, value).otherwise(_decoder("cp950")(F.when(~valid, value.cast("binary"))))
+    elif wide:
+        text = decode_utf16(value.cast("binary"), codec.endswith("be"))
     else:
         text = value if codec in ("utf-8", "utf-8-sig") else _decoder(codec)(value.cast("binary"))
     text = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r$", "")
@@ -97,6 +99,30 @@ def detect_encodings(spark: SparkSession, path: str | Sequence[str], glob: str |
     return per_file.select("source_file", found.alias("encoding"))
 
 
+def decode_utf16(raw: Column, big_endian: bool) -> Column:
+    """Text of UTF-16 bytes, in built-in expressions; half surrogates and a lone last byte become replacement characters.
+
+    Only damaged lines pay for the repair: it works on the bytes as hexadecimal text, unit by unit.
+    """
+    name = "UTF-16BE" if big_endian else "UTF-16LE"
+
+    def unit(first: str) -> str:
+        """A unit whose upper byte begins with ``first``."""
+        return f"{first}[0-9A-F][0-9A-F]{{2}}" if big_endian else f"[0-9A-F]{{2}}{first}[0-9A-F]"
+
+    # The upper byte's first digit, then its second: D8-DB open a pair, DC-DF close it.
+    def upper(digits: str) -> str:
+        return f"{digits}[0-9A-F]{{2}}" if big_endian else f"[0-9A-F]{{2}}{digits}"
+
+    plain = f"(?:{unit('[0-9A-CEF]')}|{upper('D[0-7]')})"
+    sound = f"(?:{plain}|{upper('D[89AB]')}{upper('D[C-F]')})"
+    lost = "FFFD" if big_endian else "FDFF"
+    digits = F.hex(raw)
+    whole = F.regexp_replace(digits, f"\\G((?:{sound})*+)(?:{upper('D[89AB]')}[0-9A-F]{{2}}$|{upper('D[89A-F]')}|[0-9A-F]{{2}}$)", f"$1{lost}")
+    repaired = F.when(digits.rlike(f"^(?:{sound})*+$"), raw).otherwise(F.unhex(whole))
+    return F.decode(repaired, name)
+
+
 def _decoder(codec: str):
     """A small vectorised helper: bytes of one line to text."""
 
