@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
+from functools import partial
+from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from plantspark.functions.timefx import epoch_micros
 from plantspark.operators.features import add_time_features, available_features, check_alignment, feature_hash
 from plantspark.operators.quality import complete_cases, require_samples
 from plantspark.plans.ranks import refined_quantiles
+from plantspark.plans.stored import stored
 
 TIME_FEATURES = ["hour", "month", "day_of_week", "is_weekend"]
 
@@ -234,41 +237,74 @@ def eligible_models(n_samples: Column) -> Column:
     return F.array_compact(F.array(*[F.when(n_samples >= need, F.lit(kind)) for kind, need in MIN_SAMPLES.items()]))
 
 
-def train_targets(df: DataFrame, targets: Sequence[str], cfg: ModelConfig | None = None) -> tuple[dict[str, PowerModel], DataFrame]:
-    """One model per target; a failing target is logged and skipped."""
-    from dataclasses import replace
+def side_by_side(spark: SparkSession, jobs: Mapping[str, Callable[[], object]], parallel: int = 4, pool: str = "fits") -> dict[str, tuple[object, str | None]]:
+    """Result and error text of every job, run by ``parallel`` threads; one that fails stops no other.
 
-    cfg = cfg or ModelConfig()
-    models, log = {}, []
-    for t in targets:
+    Each thread takes over the caller's local properties and gives its Spark jobs a group of their own, named after the
+    job, in the scheduler pool ``pool``: with ``spark.scheduler.mode=FAIR`` small fits are not held up by large ones.
+    """
+    sc = spark.sparkContext
+
+    def run(name: str) -> tuple[object, str | None]:
+        sc.setLocalProperty("spark.scheduler.pool", pool)
+        sc.setJobGroup(f"{pool}: {name}", name)
         try:
-            models[t] = train(df, replace(cfg, target=t))
-            log.append((t, "ok", None, models[t].metrics.get("mape")))
-        except Exception as e:  # one bad target must not stop the batch
-            log.append((t, "failed", str(e), None))
+            return jobs[name](), None
+        except Exception as e:  # one bad job must not stop the batch
+            return None, str(e)
+
+    # Wrapped once per job: each wrapper holds a copy of the caller's properties, which threads must not share.
+    wrapped = {name: inheritable_thread_target(spark)(partial(run, name)) for name in jobs}
+    with ThreadPoolExecutor(max(1, parallel)) as threads:
+        futures = {name: threads.submit(f) for name, f in wrapped.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
+def train_targets(
+    df: DataFrame, targets: Sequence[str], cfg: ModelConfig | None = None, parallel: int = 4
+) -> tuple[dict[str, PowerModel], DataFrame]:
+    """One model per target, as :func:`train` gives it, fitted side by side; a failing target is logged and skipped.
+
+    The columns in use are written to the shared folder first, so the input is read once for all targets. Without
+    ``row_keys`` all columns are in use, as the split then follows from all of them.
+    """
+    cfg = cfg or ModelConfig()
+    wanted = {*cfg.features, *targets, cfg.ts, *cfg.row_keys}
+    kept = [c for c in df.columns if c in wanted] if cfg.row_keys else df.columns
+    table = stored(df.select(*kept), "training")
+    done = side_by_side(df.sparkSession, {t: lambda t=t: train(table, replace(cfg, target=t)) for t in targets}, parallel)
+    models = {t: m for t, (m, error) in done.items() if error is None}
+    log = [(t, "ok", None, m.metrics.get("mape")) if error is None else (t, "failed", error, None) for t, (m, error) in done.items()]
     frame = df.sparkSession.createDataFrame(log, "target string, status string, message string, mape double")
     return models, frame
 
 
-def search(df: DataFrame, cfg: ModelConfig, grid: Mapping[str, Sequence], train_share: float = 0.8) -> tuple[PowerModel, list[dict]]:
-    """Fit every combination of ``grid`` (parameter names of the estimator), keep the best RMSE."""
+def search(
+    df: DataFrame, cfg: ModelConfig, grid: Mapping[str, Sequence], train_share: float = 0.8, parallel: int = 4
+) -> tuple[PowerModel, list[dict]]:
+    """Fit every combination of ``grid`` (parameter names of the estimator), keep the best RMSE, fit it on all rows.
+
+    Rows are split by the hash of their keys, so the same rows validate every combination however they lie; they are read
+    once and written to the shared folder. Combinations are fitted side by side; one that fails is listed with its error.
+    """
     ready, names = prepare(df, cfg)
-    rows = complete_cases(ready, ["label"] if cfg.impute else [*names, "label"])
-    stages = _stages(cfg, names)
-    builder = ParamGridBuilder()
-    for p, values in grid.items():
-        builder = builder.addGrid(getattr(stages[-1], p), list(values))
-    combos = builder.build()
-    tvs = TrainValidationSplit(
-        estimator=Pipeline(stages=stages),
-        estimatorParamMaps=combos,
-        evaluator=RegressionEvaluator(labelCol="label", metricName="rmse"),
-        trainRatio=train_share,
-        seed=cfg.seed,
-        parallelism=2,
-    )
-    fitted = tvs.fit(rows)
-    results = [
-        {**{p.name: v for p, v in combo.items()}, "rmse": m} for combo, m in zip(combos, fitted.validationMetrics)
-    ]
-    return PowerModel(fitted.bestModel, cfg, names, {"rmse": min(fitted.validationMetrics)}), results
+    rows = stored(complete_cases(ready, ["label"] if cfg.impute else [*names, "label"]), "search")
+    fit_on, check_on = hash_split(rows, cfg.row_keys, 1 - train_share, cfg.seed)
+    combos = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
+    def pipeline(combo: Mapping) -> Pipeline:
+        *first, estimator = _stages(cfg, names)
+        return Pipeline(stages=[*first, estimator.copy({getattr(estimator, k): v for k, v in combo.items()})])
+
+    def validate(combo: Mapping) -> float:
+        scored = pipeline(combo).fit(fit_on).transform(check_on)
+        return float(regression_metrics(scored, "label", "prediction").first()["rmse"])
+
+    done = side_by_side(df.sparkSession, {str(combo): lambda c=combo: validate(c) for combo in combos}, parallel)
+    results = [{**c, "rmse": done[str(c)][0]} | ({"error": done[str(c)][1]} if done[str(c)][1] else {}) for c in combos]
+    good = [r for r in results if r["rmse"] is not None]
+    if not good:
+        raise ValueError(f"no combination could be fitted, e.g. {results[0].get('error') if results else 'none was given'}")
+    best = min(good, key=lambda r: r["rmse"])
+    fitted = pipeline({k: v for k, v in best.items() if k != "rmse"}).fit(rows)
+    return PowerModel(fitted, cfg, names, {"rmse": best["rmse"]}), results
