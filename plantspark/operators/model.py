@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plantspark.functions.timefx import epoch_micros
 from plantspark.operators.features import add_time_features, available_features, check_alignment, feature_hash
 from plantspark.operators.quality import complete_cases, require_samples
+from plantspark.operators.sensors import STANDARD_CATEGORIES
 from plantspark.plans.ranks import refined_quantiles
 from plantspark.plans.stored import stored
 
@@ -56,6 +57,22 @@ class ModelConfig:
     row_keys: Sequence[str] = ()
 
 
+def config_from_mapping(mapping: DataFrame, **options) -> ModelConfig:
+    """A configuration whose features are the mapped sensors that are no target, by category, then name, and whose target is the mapped one.
+
+    ``mapping`` is a site's table of ``sensor, category, is_target`` (see ``sensors.mapping_frame``); ``options`` are further
+    fields of the configuration and win over the mapping. Sensors in several categories count once, custom categories come last.
+    """
+    rows = mapping.select("sensor", "category", F.coalesce("is_target", F.lit(False)).alias("is_target")).distinct().collect()
+    place = {c: i for i, c in enumerate(STANDARD_CATEGORIES)}
+    targets = sorted(r.sensor for r in rows if r.is_target)
+    if len(targets) > 1 and "target" not in options:
+        raise ValueError(f"the mapping names several targets: {targets}")
+    ranked = sorted((place.get(r.category, len(place)), r.category, r.sensor) for r in rows if not r.is_target)
+    features = tuple(dict.fromkeys(s for _, _, s in ranked if s not in targets))
+    return ModelConfig(**{"features": features} | ({"target": targets[0]} if targets else {}) | options)
+
+
 def prepare(df: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, list[str]]:
     """Features (text cast to numbers, time features appended) and the label, plus the feature order."""
     time_cols: list[str] = []

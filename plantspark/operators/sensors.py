@@ -132,6 +132,16 @@ def pick_pump_columns(sensors: DataFrame, name: str = "sensor", position: str =
     )
 
 
+def pump_columns_of(columns: Sequence[str]) -> tuple[str, str] | None:
+    """The first frequency and the first power column of a pump among the names of a wide table, if it has both."""
+
+    def first(parts: Sequence[str]) -> str | None:
+        return next((c for c in columns if any(x in c.lower() for x in parts)), None)
+
+    hz, kw = first(PUMP_HZ_PARTS), first(PUMP_KW_PARTS)
+    return (hz, kw) if hz and kw else None
+
+
 def mapping_coverage(mapping: DataFrame, actual: DataFrame, name: str = "sensor") -> DataFrame:
     """Mapped sensors as ``matched``, ``missing_required`` or ``missing_optional``, and actual
     sensors without a mapping as ``unmapped``."""

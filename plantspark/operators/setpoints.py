@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plantspark.plans.joins import key_join
 from plantspark.plans.ordered import prefix
+from plantspark.plans.stored import stored
 
 Scorer = Callable[[Mapping[str, Column]], Column]
 
@@ -147,29 +148,46 @@ def best_setpoints_by_model(
     current: Sequence[str] | None = None,
     feasible: Callable[[Mapping[str, Column]], Column] | None = None,
     bounds: tuple[float, float] = HZ_RANGE,
+    refine: float | None = None,
 ) -> DataFrame:
     """As :func:`best_setpoints` with a fitted model: the context's columns, the winner, baseline and savings.
 
-    ``context_id`` names each context once. The grid is exploded inside the task that holds the context, scored, and
-    reduced to one row per context before anything is shuffled. A context without a candidate keeps null results.
+    ``context_id`` names each context once. The grid and, as one marked point, the current setting are exploded inside
+    the task that holds the context, scored once, and reduced to one row per context before anything is shuffled.
+    ``refine`` scores a second, finer grid around the winner, kept where it is better. ``violations`` lists set-points
+    outside ``bounds``; ``success`` is true where a candidate was found and it has none. A context without a candidate
+    keeps null results.
     """
     names = list(axes)
+    mid = F.lit((bounds[0] + bounds[1]) / 2)
+    now = F.struct(*[(F.coalesce(F.col(c).cast("double"), mid) if c else mid).alias(n) for n, c in zip(names, current or [None] * len(names))])
+
+    def allowed(points: Column) -> Column:
+        return F.filter(points, lambda p: feasible({n: p[n] for n in names})) if feasible else points
+
+    def marked(points: Column, is_now: bool) -> Column:
+        return F.transform(points, lambda p: F.struct(*[p[n].alias(n) for n in names], F.lit(is_now).alias("_now")))
 
-    def scored(points: Column) -> DataFrame:
-        rows = contexts.withColumn("_p", F.explode(points))
-        rows = rows.withColumns({n: F.col("_p")[n] for n in names}).drop("_p")
+    def scored(rows: DataFrame, points: Column) -> DataFrame:
+        rows = rows.withColumn("_p", F.explode(points))
+        rows = rows.withColumns({n: F.col("_p")[n] for n in names}).withColumn("_now", F.col("_p")["_now"]).drop("_p")
         rows = rows.withColumns(dict(inputs({n: F.col(n) for n in names})))
-        return model.score(rows)
+        best = F.min(F.when(~F.col("_now"), F.struct(F.col("prediction").alias("kw"), *names))).alias("_b")
+        return model.score(rows).groupBy(context_id).agg(best, F.min(F.when(F.col("_now"), F.col("prediction"))).alias("baseline_kw"))
 
-    grid = grid_column(axes)
-    points = F.filter(grid, lambda p: feasible({n: p[n] for n in names})) if feasible else grid
-    best = scored(points).groupBy(context_id).agg(F.min(F.struct(F.col("prediction").alias("kw"), *names)).alias("_b"))
-    mid = F.lit((bounds[0] + bounds[1]) / 2)
-    now = F.array(F.struct(*[(F.coalesce(F.col(c), mid) if c else mid).alias(n) for n, c in zip(names, current or [None] * len(names))]))
-    baseline = scored(now).groupBy(context_id).agg(F.min("prediction").alias("baseline_kw"))
-    found = key_join(key_join(contexts, best, [context_id]), baseline, [context_id])
+    points = F.concat(marked(allowed(grid_column(axes)), False), marked(F.array(now), True))
+    found = key_join(contexts, scored(contexts, points), [context_id])
+    if refine:
+        found = stored(found, "coarse-setpoints")
+        offsets = grid_column({n: [-2 * refine, -refine, 0.0, refine, 2 * refine] for n in names})
+        lo, hi = F.lit(bounds[0]), F.lit(bounds[1])
+        near = F.transform(offsets, lambda o: F.struct(*[F.greatest(lo, F.least(hi, F.col("_b")[n] + o[n])).alias(n) for n in names]))
+        finer = scored(found.where(F.col("_b").isNotNull()).drop("baseline_kw"), marked(allowed(near), False)).select(context_id, F.col("_b").alias("_finer"))
+        found = key_join(found, finer, [context_id]).withColumn("_b", F.least("_b", "_finer")).drop("_finer")
     out = found.withColumns({**{f"best_{n}": F.col("_b")[n] for n in names}, "best_kw": F.col("_b")["kw"]}).drop("_b")
-    return with_savings(out, "baseline_kw", "best_kw")
+    broken = bound_violations({n: f"best_{n}" for n in names}, *bounds)
+    judged = out.withColumn("violations", broken).withColumn("success", F.col("best_kw").isNotNull() & (F.size("violations") == 0))
+    return with_savings(judged, "baseline_kw", "best_kw")
 
 
 def bound_violations(columns: Mapping[str, str], low: float = HZ_RANGE[0], high: float = HZ_RANGE[1]) -> Column:

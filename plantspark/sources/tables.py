@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,8 +148,8 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     return b.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_batch(spark: SparkSession, path: str, vocabulary: Sequence[str] = tuple(QUALITY_FLAGS), schema_version: str | None = None) -> tuple[DataFrame, dict]:
-    """Readings and manifest of a batch after its checks: checksum, time baseline, vocabulary, version, list of files."""
+def read_batch(spark: SparkSession, path: str, vocabulary: Sequence[str] = tuple(QUALITY_FLAGS), schema_version: str | None = None, ts: str = "ts") -> tuple[DataFrame, dict]:
+    """Readings and manifest of a batch after its checks: checksum, time baseline, vocabulary, version, list of files, columns, time unit."""
     row = spark.read.schema("manifest string, checksum string").json(f"{path}/manifest").select(
         "manifest", (F.sha2("manifest", 256) == F.col("checksum")).alias("ok")
     ).first()
@@ -167,7 +167,13 @@ def read_batch(spark: SparkSession, path: str, vocabulary: Sequence[str] = tuple
     differ = file_differences(spark, path)
     if first := differ.first():
         raise ContractError(f"{differ.count()} files differ from the batch's list, e.g. {first['file']} is {first['problem']}")
-    return spark.read.parquet(f"{path}/data"), m
+    data = spark.read.parquet(f"{path}/data")
+    if found := check_schema(data.schema, ts):
+        raise ContractError("; ".join(found))
+    times = m.get("timestamp_schema") or {}
+    if (times.get("unit"), times.get("timezone")) != ("microseconds", "UTC"):
+        raise ContractError(f"times in {times.get('unit')} of {times.get('timezone')}, microseconds of UTC expected")
+    return data, m
 
 
 # ------------------------------------------------------------------ run history
@@ -180,6 +186,38 @@ RUNS = (
 )
 
 
+def runs_from_search(
+    found: DataFrame, model_name: str, method: str, at: Column | datetime, load: str = "load_rt", outdoor: str | None = None, current: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Records of a set-point search, one per context that has a winner.
+
+    ``found`` comes from a search: ``best_<name>``, ``best_kw``, ``baseline_kw`` for the set-points ``chw_pump_hz``, ``cw_pump_hz`` and
+    ``ct_fan_hz`` (recorded as the tower fan's). ``current`` names the columns with today's settings; a setting that the
+    search lacks is recorded as 0, and savings are of the baseline, 0 per cent where it is not positive.
+    """
+    setpoints = {"chw_pump_hz": "chw_pump_hz", "cw_pump_hz": "cw_pump_hz", "tower_fan_hz": "ct_fan_hz"}
+
+    def or_zero(column: str | None) -> Column:
+        return F.coalesce(F.col(column).cast("double"), F.lit(0.0)) if column and column in found.columns else F.lit(0.0)
+
+    save = F.col("baseline_kw") - F.col("best_kw")
+    moment = at if isinstance(at, Column) else F.lit(at)
+    return found.where(F.col("best_kw").isNotNull()).select(
+        F.expr("uuid()").alias("run_id"),
+        moment.cast("timestamp_ntz").alias("timestamp"),
+        F.lit(model_name).alias("model_name"),
+        F.col(load).cast("double").alias("load_rt"),
+        (F.col(outdoor).cast("double") if outdoor else F.lit(None).cast("double")).alias("outdoor_temp"),
+        *[or_zero((current or {}).get(s)).alias(f"current_{n}") for n, s in setpoints.items()],
+        *[or_zero(f"best_{s}").alias(f"optimal_{n}") for n, s in setpoints.items()],
+        F.col("baseline_kw").alias("current_power_kw"),
+        F.col("best_kw").alias("optimal_power_kw"),
+        save.alias("savings_kw"),
+        F.when(F.col("baseline_kw") > 0, save / F.col("baseline_kw") * 100.0).otherwise(F.lit(0.0)).alias("savings_percent"),
+        F.lit(method).alias("method"),
+    )
+
+
 class RunHistory:
     """Recorded optimisation runs as an append-only Parquet table."""
 
