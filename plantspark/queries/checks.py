@@ -269,6 +269,48 @@ def clean_readings(spark, sf):
     return out.select("site_id", "ts", r6("load_rt"), r6("power_kw"), "power_kw_frozen", "temp_frozen")
 
 
+@query(
+    "clean_every_point",
+    f"""
+WITH {PLANT}, p AS (SELECT site_id, ts, load_rt, power_kw, pump_hz, temp, fan_hz AS rh FROM plant),
+b AS (SELECT *, {_WB} AS wb, CASE WHEN pump_hz > 0 THEN power_kw / pow(pump_hz, 3) END AS ratio FROM p),
+w AS (
+  SELECT *, count(power_kw) OVER f6 = 6 AND stddev_samp(power_kw) OVER f6 < 40 AS kw_frozen,
+         count(wb) OVER f6 = 6 AND stddev_samp(wb) OVER f6 < 40 AS wb_frozen,
+         CASE WHEN count(load_rt) OVER f3 = 3 THEN
+           (max(load_rt) OVER f3 - min(load_rt) OVER f3) / ((max(load_rt) OVER f3 + min(load_rt) OVER f3) / 2.0 + 1e-6) * 100.0 END AS chg
+  FROM b WINDOW f6 AS (PARTITION BY site_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW),
+    f3 AS (PARTITION BY site_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+m AS (SELECT site_id, median(ratio) AS med FROM b GROUP BY 1)
+SELECT w.site_id, ts, round(load_rt, 6) AS ch_0_rt, round(power_kw, 6) AS pump_kw, round(wb, 6) AS temp_wb_out,
+       coalesce(kw_frozen, false) AS kw_frozen, coalesce(wb_frozen, false) AS wb_frozen, coalesce(chg <= 60, true) AS is_steady,
+       abs(ratio - med) / med > 0.8 AS affinity_law_invalid
+FROM w LEFT JOIN m ON w.site_id = m.site_id""",
+)
+def clean_every_point(spark, sf):
+    """The whole chain from long readings without a sensor map: resample, wet bulb, frozen, steady, pump columns found by name."""
+    from plantspark.plans.cleaning import CleanOptions, clean
+
+    names = {"signup": "CH-0.RT", "purchase": "pump_kw", "view": "pump_hz", "click": "rh_out", "error": "temp_db_out"}
+    sensor = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
+    r = readings(spark, sf).withColumn("sensor", sensor)
+    opt = CleanOptions(
+        interval_minutes=60, frozen_threshold=40.0, load="CH_0_RT", steady_minutes=180, steady_pct=60.0, affinity="auto", affinity_tolerance=0.8
+    )
+    out = clean(r, None, opt)
+    return out.select(
+        "site_id",
+        "ts",
+        r6("CH_0_RT", "ch_0_rt"),
+        r6("pump_kw"),
+        r6("temp_wb_out"),
+        F.col("pump_kw_frozen").alias("kw_frozen"),
+        F.col("temp_wb_out_frozen").alias("wb_frozen"),
+        F.col("is_steady_state").alias("is_steady"),
+        "affinity_law_invalid",
+    )
+
+
 @query(
     "plant_kpis",
     f"""

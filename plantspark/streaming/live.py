@@ -19,15 +19,17 @@ def resample_stream(
     df: DataFrame, every: str, late: str = "10 minutes", keys: Sequence[str] = tuple(SERIES), ts: str = "ts", value: str = "value"
 ) -> DataFrame:
     """Tumbling means, maxima or last values by sensor kind; a window is final once the watermark
-    passes its end. ``ts`` must be a TIMESTAMP."""
+    passes its end. ``ts`` must be a TIMESTAMP. Of readings of one time the last by ``row_no`` counts, where
+    the stream has one."""
     kind = method_by_name("sensor")
+    last = F.struct(ts, "row_no") if "row_no" in df.columns else F.col(ts)
     return (
         df.withWatermark(ts, late)
         .groupBy(*keys, F.window(ts, every).alias("_w"))
         .agg(
             F.avg(value).alias("_mean"),
             F.max(value).alias("_max"),
-            F.max_by(value, ts).alias("_last"),
+            F.max_by(value, last).alias("_last"),
             F.count(value).alias("n_readings"),
         )
         .select(

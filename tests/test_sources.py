@@ -119,6 +119,19 @@ def test_stream_resample(stream, rows):
     assert len(got) >= 4 and all(ref[k] == v for k, v in got.items())
 
 
+def test_stream_resample_breaks_ties_as_the_batch_does(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows_ = [("a", start + timedelta(minutes=i // 3), "m_KWH", float(i * 7 % 11), i) for i in range(60)]
+    schema = "site_id string, ts timestamp, sensor string, value double, row_no long"
+    batch = spark.createDataFrame(rows_, schema).repartition(4)
+    batch.write.parquet(str(tmp_path / "ties"))
+    live_df = spark.readStream.schema(schema).parquet(str(tmp_path / "ties"))
+    out = drain(live.resample_stream(live_df, "5 minutes", late="0 seconds"), "ties", "append")
+    want = {r.ts: r.value for r in rs.resample(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "5 minutes").collect()}
+    got = {r.ts: r.value for r in out.collect()}
+    assert len(got) >= 2 and all(want[k] == v for k, v in got.items())
+
+
 def test_stream_keep_first(stream):
     live_df, batch = stream
     twice = live_df.withColumn("v2", F.explode(F.array("value", "value"))).drop("value").withColumnRenamed("v2", "value")
