@@ -240,8 +240,11 @@ def startup_sequence(
     streams (last known state up to each start), not a range join.
     """
     keys = list(site)
-    starts = start_events(states.where(F.col(device) == next_device), slices, state, [*keys, device], order)
-    nxt = stored(starts.select(*keys, *order), "starts") if slices is None else starts
+    following = states.where(F.col(device) == next_device)
+    chunk = chunk_of(following, [*keys, device], order, slices) if slices is None else slices
+    starts = start_events(following, chunk, state, [*keys, device], order)
+    # Long series: the starts, few of their rows, are kept, as the slices of both devices are measured over them.
+    nxt = stored(starts.select(*keys, *order), "starts") if isinstance(chunk, Slices) and not chunk.is_single else starts
     pre = states.where(F.col(device) == first_device)
     null_state = F.lit(None).cast("string")
     both = pre.select(*keys, *order, F.lit(0).alias("_is_start"), F.col(state).alias("prior_state")).unionByName(

@@ -122,8 +122,8 @@ def _codes(df: DataFrame, order: Sequence[str]) -> list[tuple[str, Column]]:
 def fit_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS) -> Slices:
     """Slices of at most ``max_rows`` rows for every series of ``df``, contiguous in ``order``.
 
-    One read of keys and order columns where no bucket is too full, one more of the full buckets' rows for each
-    further level; the counts are combined before the shuffle. Order columns count up to the first that is neither
+    One read of the keys; where a series is longer, one of keys and order columns, and one more of the full buckets' rows
+    for each further level. The counts are combined before the shuffle. Order columns count up to the first that is neither
     a time nor a whole number; rows that agree in all of these stay together, whatever their number. Null keys
     are keys, null order values come first. An empty table, or one of short series only, needs no slices.
     """
@@ -131,6 +131,9 @@ def fit_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_row
     single = Slices(tuple(keys), tuple(order), max_rows)
     if not codes:
         return single
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if longest is None or longest <= max_rows:
+        return single
     half, n = max(1, max_rows // 2), len(codes)
     cols = [c for _, c in codes]
     names = [f"_b{i}" for i in range(n)]
