@@ -3,7 +3,7 @@
 A slice of fixed length holds as many rows as fall into it: one sensor that writes most of its year
 within an hour still goes to one task. Here rows are counted per series and coarse time bucket; where a
 bucket holds too many, its rows alone are counted again in buckets 256 times narrower, down to the last
-microsecond and then through the further whole-number order columns. The buckets that are small enough, in
+microsecond and then through the further whole-number order columns; widths that would split none of them are skipped. The buckets that are small enough, in
 order, are gathered into slices. Every row finds its slice by an equi join on its bucket, and only series
 longer than a slice appear in the joined tables at all.
 
@@ -61,6 +61,10 @@ class Level:
             out[f"_b{i}"] = c if i < self.depth else F.shiftright(c, self.shift) if i == self.depth else F.lit(0).cast("bigint")
         return out
 
+    def splits(self) -> Column:
+        """Whether the smallest and the largest code of a bucket's rows lie in different buckets of this level."""
+        return F.shiftright(F.col(f"_lo{self.depth}"), self.shift) != F.shiftright(F.col(f"_hi{self.depth}"), self.shift)
+
     def start(self, n: int) -> Column:
         """The smallest codes of a bucket."""
         parts = [F.col(f"_b{i}") if i < self.depth else F.shiftleft(F.col(f"_b{i}"), self.shift) if i == self.depth else F.lit(LOWEST) for i in range(n)]
@@ -123,7 +127,7 @@ def fit_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_row
     """Slices of at most ``max_rows`` rows for every series of ``df``, contiguous in ``order``.
 
     One read of the keys; where a series is longer, one of keys and order columns, and one more of the full buckets' rows
-    for each further level. The counts are combined before the shuffle. Order columns count up to the first that is neither
+    for each further level that splits any of them. The counts are combined before the shuffle. Order columns count up to the first that is neither
     a time nor a whole number; rows that agree in all of these stay together, whatever their number. Null keys
     are keys, null order values come first. An empty table, or one of short series only, needs no slices.
     """
@@ -140,22 +144,27 @@ def fit_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_row
     todo = levels([k for k, _ in codes])
     slim = df.select(*keys, *[c.alias(f"_c{i}") for i, c in enumerate(cols)])
     own = [F.col(f"_c{i}") for i in range(n)]
-    rows, leaves = slim, []
-    for i, level in enumerate(todo):
-        counts = rows.select(*keys, *[c.alias(k) for k, c in level.buckets(own).items()]).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-        if i == 0:
+    ends = [f(c).alias(f"_{k}{i}") for i, c in enumerate(own) for k, f in (("lo", F.min), ("hi", F.max))]
+    rows, leaves, level = slim, [], todo[0]
+    while level is not None:
+        counts = rows.withColumns(level.buckets(own)).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"), *ends)
+        if level == todo[0]:
             whole = F.sum("_n").over(Window.partitionBy(*keys))
             counts = counts.withColumn("_all", whole).where(F.col("_all") > max_rows).drop("_all")
         counts = stored(counts, "slice-counts")
-        full = (F.col("_n") > half) if i + 1 < len(todo) else F.lit(False)
-        n_rows, n_full = counts.agg(F.count(F.lit(1)), F.count_if(full)).first()
-        if n_rows == 0:
-            break
-        leaves.append((level, counts.where(~full)))
-        if n_full == 0:
+        full, rest = F.col("_n") > half, todo[todo.index(level) + 1 :]
+        told = counts.agg(F.count(F.lit(1)), F.count_if(full), *[F.max(full & finer.splits()) for finer in rest]).first()
+        if told[0] == 0:
             break
+        finer = next((x for x, splits in zip(rest, told[2:], strict=True) if splits), None)
+        if finer is None:
+            full = F.lit(False)
+        if finer is None or told[1] < told[0]:
+            leaves.append((level, counts.where(~full)))
         heavy = counts.where(full).select(*keys, *names)
-        rows = key_join(rows.withColumns(level.buckets(own)), heavy, [*keys, *names], "left_semi").drop(*names)
+        # Buckets lie within those of the level before, so the last heavy ones alone choose the rows.
+        rows = key_join(slim.withColumns(level.buckets(own)), heavy, [*keys, *names], "left_semi").drop(*names)
+        level = finer
     if not leaves:
         return single
     each = reduce(
