@@ -159,7 +159,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_score")
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score_texts(docs.withColumn("held_out", fold(F.col("doc_id"), 7) == 2))
+    return lm.score_texts(docs.withColumn("held_out", fold(F.col("doc_id"), 7) == 2), order=3)
 
 
 # ------------------------------------------------------------------ near-duplicates

@@ -60,7 +60,7 @@ def test_queries_carry_whole_results(spark, table):
     assert near == {d: w for (d, _), w in zip(table, want, strict=True)}
     held = [plain.fold(d, 7) == 2 for d, _ in table]
     scored = {r.doc_id: r for r in QUERIES["op7_lm_score"](spark, SF).collect()}
-    for (d, _), h, w in zip(table, held, plain.language_model(table, held, 2, 8.0), strict=True):
+    for (d, _), h, w in zip(table, held, plain.language_model(table, held, 3, 8.0), strict=True):
         r = scored[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, *w[:3])
         assert r.base_score == pytest.approx(w[3]) and r.score == pytest.approx(w[4])
