@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,6 +115,24 @@ def tallies(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part", "n_order").applyInArrow(total, "chunk long, part int, n_order int, n long, totals binary, tokens long, types long")
 
 
+#: Shuffle files of an execution go when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Executions planned inside leave no shuffle files behind; for plans that run once, into the checkpoint folder."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE)
+        else:
+            spark.conf.set(RELEASE, before)
+
+
 class Automaton:
     """The n-grams of a chunk as an automaton, with the counts that the whole corpus has of them.
 
@@ -233,7 +252,8 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", order: int = ORDER,
     d = columns(docs, "doc_id", "text", held_out).toDF("doc_id", "text", "held_out").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
     parts = max(1, -(-total_bytes(d) // chunk_bytes))
     chunks = cut(pack(d, chunk_bytes))
-    answers = cut(tallies(requests(chunks, order, parts)))
+    with released(d.sparkSession):
+        answers = cut(tallies(requests(chunks, order, parts)))
     tokens, types = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
