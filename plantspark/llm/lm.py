@@ -35,7 +35,8 @@ class Grams:
         self.length = np.array([len(t) + 1 for t in texts], np.int64)
         edge = np.array([END])
         token = np.concatenate([x for t in texts for x in (t, edge)] or [np.zeros(0, np.uint64)])
-        self.text = np.repeat(np.arange(len(texts)), self.length)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.length)
+        del words, texts
         before = np.arange(len(token)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
         self.codes, self.at, self.full = [], [], []
         code = mix(token)
@@ -48,7 +49,7 @@ class Grams:
             full = before >= n - 2
             own, at = np.unique(code[full], return_inverse=True)
             self.codes.append(own)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
             self.full.append(full)
 
 
@@ -260,6 +261,7 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", order: int = ORDER,
         out = []
         replies = sorted(right.select(["n_order", "part", "n", "totals"]).to_pylist(), key=lambda r: (r["n_order"], r["part"]))
         totals = [np.concatenate([restore(r["totals"], r["n"], np.uint64) for r in replies if r["n_order"] == k] or [np.zeros(0, np.uint64)]) for k in range(1, order + 1)]
+        del replies
         for body in left["body"].to_pylist():
             rows = unpack(body)
             grams = Grams(rows, order)
