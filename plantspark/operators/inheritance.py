@@ -20,10 +20,16 @@ def _links(parents: DataFrame, node: str, parent: str) -> DataFrame:
     return parents.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that never broadcasts it. Spark compares the size of stored files with its threshold; nodes as
+    Parquet are much smaller than as rows, and tables that grow with the input would go through the driver in every round."""
+    return df.hint("merge")
+
+
 def _double(jumps: DataFrame) -> DataFrame:
     """Of ``node, jump``: where the jump from the jump leads; nodes past a root are left out."""
     onward = jumps.select(F.col("node").alias("jump"), F.col("jump").alias("_next"))
-    return jumps.join(onward, "jump").select("node", F.col("_next").alias("jump"))
+    return jumps.join(_shuffled(onward), "jump").select("node", F.col("_next").alias("jump"))
 
 
 def inheritance_problems(parents: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -46,11 +52,11 @@ def inheritance_problems(parents: DataFrame, node: str = "node", parent: str = "
             break
     on = jumps.select(F.col("jump").alias("node")).distinct().withColumn("_on", F.lit(True))
     kind = F.when(F.col("_on"), "circle").otherwise("below_circle")
-    circles = jumps.select("node").join(on, "node", "left").select("node", kind.alias("problem"), F.lit(CIRCLE).alias("code"))
+    circles = jumps.select("node").join(_shuffled(on), "node", "left").select("node", kind.alias("problem"), F.lit(CIRCLE).alias("code"))
     several = parents.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.count_distinct(F.coalesce(F.col(parent).cast("string"), F.lit(""))).alias("n"))
     none = F.lit(None).cast("string").alias("code")
     several = several.where("n > 1").select("node", F.lit("several_parents").alias("problem"), none)
-    unknown = links.where("parent IS NOT NULL").join(links.select(F.col("node").alias("parent")), "parent", "left_anti")
+    unknown = links.where("parent IS NOT NULL").join(_shuffled(links.select(F.col("node").alias("parent"))), "parent", "left_anti")
     return circles.unionByName(several).unionByName(unknown.select("node", F.lit("unknown_parent").alias("problem"), none))
 
 
@@ -80,12 +86,12 @@ def inherit_chains(
     if on_circle == "raise" and (first := bad.orderBy("node").first()):
         raise CircularInheritanceError(f"{CIRCLE}: {bad.count()} nodes inherit in a circle, e.g. {first['node']}")
     own = annotations.select(F.col(node).alias("node"), F.col(name).alias("name"), *cols)
-    own = own.join(bad, "node", "left_anti")
-    jumps = _links(parents, node, parent).where("parent IS NOT NULL").withColumnRenamed("parent", "jump").join(bad, "node", "left_anti")
+    own = own.join(_shuffled(bad), "node", "left_anti")
+    jumps = _links(parents, node, parent).where("parent IS NOT NULL").withColumnRenamed("parent", "jump").join(_shuffled(bad), "node", "left_anti")
     held, jumps = stored(own, "annotations"), stored(jumps, "jumps")
     while jumps.limit(1).count():
         far = held.select(F.col("node").alias("jump"), F.col("name").alias("_name"), *[F.col(c).alias(f"_far_{c}") for c in cols])
-        given = jumps.join(far, "jump").drop("jump").withColumnRenamed("node", "_node")
+        given = jumps.join(_shuffled(far), "jump").drop("jump").withColumnRenamed("node", "_node")
         both = held.join(given, F.col("node").eqNullSafe(F.col("_node")) & F.col("name").eqNullSafe(F.col("_name")), "full_outer")
         inherited = F.col("_node").isNotNull()
         merged = both.select(

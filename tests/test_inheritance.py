@@ -77,3 +77,15 @@ def test_rounds_go_with_the_logarithm_of_the_depth(spark, monkeypatch):
     monkeypatch.setattr(inheritance, "stored", lambda df, name: calls.append(name) or stored(df, name))
     run(spark, [("n0", "kw", "W", None)], [(f"n{i}", f"n{i - 1}" if i else None) for i in range(65)])
     assert calls.count("annotations") <= 8
+
+
+def test_no_table_of_nodes_is_broadcast(spark, monkeypatch):
+    """Whatever their size: broadcast nodes go through the driver, round by round."""
+    from plantspark.operators import inheritance
+
+    plans, stored = [], inheritance.stored
+    monkeypatch.setattr(inheritance, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored(df, name))
+    parents = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(9)] + [("c", "c")]
+    assert len(run(spark, [("n0", "kw", "W", None)], parents)[0]) == 9
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "BroadcastExchange" in p]
