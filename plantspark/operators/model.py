@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 from functools import partial
 from itertools import product
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
@@ -28,6 +29,10 @@ TIME_FEATURES = ["hour", "month", "day_of_week", "is_weekend"]
 # ---------------------------------------------------------------- fixed values
 #: Rows a kind of model needs before it is worth fitting.
 MIN_SAMPLES = {"random_forest": 100, "xgboost": 500, "lightgbm": 1000}
+#: Rows of a task while a model is fitted: Spark ML holds each as objects and reads them again for every level of a tree.
+FIT_ROWS = 1_000_000
+#: Fewer rows are not worth a task of their own.
+MIN_FIT_ROWS = 50_000
 
 DEFAULT_FEATURES = [
     "CH_0_RT", "CH_1_RT", "CH_2_RT", "CH_3_RT",
@@ -108,6 +113,25 @@ def _stages(cfg: ModelConfig, names: Sequence[str]):
     return [*stages, _estimator(cfg)]
 
 
+@contextmanager
+def _vectors(rows: DataFrame, first: Sequence, names: Sequence[str], n_rows: int) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """The fitted stages before the estimator, and ``features, label`` of about ``n_rows`` complete ``rows``.
+
+    Split, features and vectors are computed once and kept on the executors' disks, in tasks of at most about ``FIT_ROWS`` rows (as many
+    for each core), as an estimator reads its raw input several times. Rows of a task are put in order by a hash, so that the
+    same rows give the same model however the shuffle hands them over.
+    """
+    shaped = Pipeline(stages=list(first)).fit(rows)
+    vectors = shaped.transform(rows.withColumn("_order", F.xxhash64(*names, "label"))).select("features", "label", "_order")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores * -(-n_rows // (cores * FIT_ROWS)), -(-n_rows // MIN_FIT_ROWS)))
+    spread = vectors.repartition(parts).sortWithinPartitions("_order").select("features", "label").persist(StorageLevel.DISK_ONLY)
+    try:
+        yield shaped, spread
+    finally:
+        spread.unpersist()
+
+
 @dataclass
 class PowerModel:
     """A fitted model with the configuration and feature order it needs for scoring."""
@@ -156,7 +180,9 @@ class PowerModel:
 def is_test(keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> Column:
     """Whether a row is for testing: the first seven hex digits of md5 of ``seed|key|...`` below the share of their range."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") < F.lit(int(test_share * 16**7))
+    limit = int(test_share * 16**7)
+    # Seven lower-case digits compare as text as they do as numbers; only the full range needs an eighth.
+    return F.substring(F.md5(text), 1, 7) < F.lit(f"{max(0, limit):07x}" if limit < 16**7 else "g")
 
 
 def hash_split(df: DataFrame, keys: Sequence[str] = (), test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -184,16 +210,28 @@ def train(
 ) -> PowerModel:
     """Fit on the training part and measure on the rest; all work runs on the executors."""
     cfg = cfg or ModelConfig()
+    return train_kinds(df, cfg, [cfg.kind], test_share, split, min_samples)[cfg.kind]
+
+
+def train_kinds(
+    df: DataFrame, cfg: ModelConfig, kinds: Sequence[str], test_share: float = 0.2, split: str = "random", min_samples: int = 10
+) -> dict[str, PowerModel]:
+    """Models of several kinds, each as :func:`train` gives it, fitted on vectors that are computed once for all of them."""
     ready, names = prepare(df, cfg)
     if "label" not in ready.columns:
         raise ValueError(f"target {cfg.target} is not in the table")
-    require_samples(ready, [] if cfg.impute else names, "label", min_samples)
+    n_rows = require_samples(ready, [] if cfg.impute else names, "label", min_samples)
     rows = complete_cases(ready, ["label"] if cfg.impute else [*names, "label"])
     fit_on, check_on = time_split(rows, cfg.ts, test_share) if split == "time" else hash_split(rows, cfg.row_keys, test_share, cfg.seed)
-    model = Pipeline(stages=_stages(cfg, names)).fit(fit_on)
-    scored = model.transform(check_on)
-    m = regression_metrics(scored, "label", "prediction").first()
-    return PowerModel(model, cfg, names, {k: v for k, v in m.asDict().items()})
+    found = {}
+    with _vectors(fit_on, _stages(cfg, names)[:-1], names, n_rows) as (shaped, vectors):
+        for kind in kinds:
+            own = replace(cfg, kind=kind)
+            found[kind] = PowerModel(PipelineModel(stages=[*shaped.stages, _estimator(own).fit(vectors)]), own, names)
+    for fitted in found.values():
+        m = regression_metrics(fitted.model.transform(check_on), "label", "prediction").first()
+        fitted.metrics = {k: v for k, v in m.asDict().items()}
+    return found
 
 
 def regression_metrics(
@@ -309,19 +347,24 @@ def search(
     fit_on, check_on = hash_split(rows, cfg.row_keys, 1 - train_share, cfg.seed)
     combos = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
 
-    def pipeline(combo: Mapping) -> Pipeline:
-        *first, estimator = _stages(cfg, names)
-        return Pipeline(stages=[*first, estimator.copy({getattr(estimator, k): v for k, v in combo.items()})])
+    n_rows = rows.count()
+    *first, estimator = _stages(cfg, names)
+
+    def fit(combo: Mapping, shaped: PipelineModel, vectors: DataFrame) -> PipelineModel:
+        own = estimator.copy({getattr(estimator, k): v for k, v in combo.items()})
+        return PipelineModel(stages=[*shaped.stages, own.fit(vectors)])
 
     def validate(combo: Mapping) -> float:
-        scored = pipeline(combo).fit(fit_on).transform(check_on)
+        scored = fit(combo, *common).transform(check_on)
         return float(regression_metrics(scored, "label", "prediction").first()["rmse"])
 
-    done = side_by_side(df.sparkSession, {str(combo): lambda c=combo: validate(c) for combo in combos}, parallel)
+    with _vectors(fit_on, first, names, n_rows) as common:
+        done = side_by_side(df.sparkSession, {str(combo): lambda c=combo: validate(c) for combo in combos}, parallel)
     results = [{**c, "rmse": done[str(c)][0]} | ({"error": done[str(c)][1]} if done[str(c)][1] else {}) for c in combos]
     good = [r for r in results if r["rmse"] is not None]
     if not good:
         raise ValueError(f"no combination could be fitted, e.g. {results[0].get('error') if results else 'none was given'}")
     best = min(good, key=lambda r: r["rmse"])
-    fitted = pipeline({k: v for k, v in best.items() if k != "rmse"}).fit(rows)
+    with _vectors(rows, first, names, n_rows) as whole:
+        fitted = fit({k: v for k, v in best.items() if k != "rmse"}, *whole)
     return PowerModel(fitted, cfg, names, {"rmse": best["rmse"]}), results

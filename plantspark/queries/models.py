@@ -9,7 +9,6 @@ from plantspark.operators import consistency as co
 from plantspark.operators import features, model
 from plantspark.operators import setpoints as sp
 from plantspark.plans import ranks
-from plantspark.plans.stored import stored
 from plantspark.queries.registry import PLANT, meters, plant, query, r6, table
 
 _PAIRS = """comp AS (
@@ -272,13 +271,13 @@ FROM lineitem, kinds WHERE {_TEST_ROW} GROUP BY 1""",
 def models_learn(spark, sf):
     """Power by a formula of the inputs; on test rows a model must err less than half as much as the mean of the training rows."""
     power = F.lit(12.0) * F.col("hz") + F.when(F.col("rh") > 50, F.lit(150.0)).otherwise(F.lit(0.0)) + F.lit(2.0) * F.col("temp")
-    m = stored(meters(spark, sf).withColumn("kw", power), "formula")
+    m = meters(spark, sf).withColumn("kw", power)
     train, test = model.hash_split(m, ["run", "line"])
     mean = train.agg(F.avg("kw")).first()[0]
     plain = test.agg(F.count("*"), F.sqrt(F.avg((F.col("kw") - mean) * (F.col("kw") - mean)))).first()
     rows = []
-    for kind in ("gbt", "random_forest"):
-        found = model.train(m, _config(kind, 8)).metrics
+    for kind, fitted in model.train_kinds(m, _config("gbt", 8), ("gbt", "random_forest")).items():
+        found = fitted.metrics
         rows.append((kind, found["n"], bool(found["rmse"] < plain[1] / 2 and found["n"] == plain[0])))
     return spark.createDataFrame(rows, "kind string, n_test long, halves_the_error boolean")
 

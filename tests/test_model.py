@@ -112,3 +112,31 @@ def test_eligible(spark):
 def test_too_few_rows(plant):
     with pytest.raises(ValueError, match="complete rows"):
         md.train(plant.limit(5))
+
+
+def test_fits_work_on_bounded_parts_of_vectors(spark, plant, monkeypatch):
+    """However the input lies, tasks of a fit hold few rows, with all of them and nothing computed twice."""
+    monkeypatch.setattr(md, "FIT_ROWS", 10)
+    monkeypatch.setattr(md, "MIN_FIT_ROWS", 2)
+    ready, names = md.prepare(plant.coalesce(1), md.ModelConfig())
+    with md._vectors(ready, md._stages(md.ModelConfig(), names)[:-1], names, 200) as (shaped, vectors):
+        sizes = [r["count"] for r in vectors.groupBy(F.spark_partition_id()).count().collect()]
+        label = vectors.agg(F.sum("label")).first()[0]
+    assert sum(sizes) == 200 and max(sizes) <= 12 and len(shaped.stages) == 1
+    assert label == pytest.approx(plant.agg(F.sum("CH_SYS_TOTAL_KW")).first()[0])
+
+
+def test_kinds_side_by_side_equal_single_fits(plant):
+    cfg = md.ModelConfig(trees=3, depth=3)
+    both = md.train_kinds(plant, cfg, ("gbt", "random_forest"))
+    assert list(both) == ["gbt", "random_forest"] and both["random_forest"].config.kind == "random_forest"
+    for kind, fitted in both.items():
+        alone = md.train(plant, md.ModelConfig(trees=3, depth=3, kind=kind))
+        assert alone.metrics == fitted.metrics and alone.importance() == fitted.importance()
+
+
+def test_test_rows_follow_the_number_of_the_hash(spark):
+    ids = spark.range(2000)
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"))), 1, 7), 16, 10).cast("long")
+    for share in (0.0, 1e-3, 0.2, 0.9999, 1.0, 1.5):
+        assert ids.where(md.is_test(["id"], share) != (digits < int(share * 16**7))).count() == 0
